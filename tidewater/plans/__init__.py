@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "preparation")
+MODULES = ("cleaning", "preparation", "retrieval")
 
 
 def load_all() -> None:
