@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "preparation", "retrieval")
+MODULES = ("cleaning", "preparation", "retrieval", "monitoring")
 
 
 def load_all() -> None:
