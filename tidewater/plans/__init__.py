@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "preparation", "retrieval", "monitoring")
+MODULES = ("cleaning", "preparation", "retrieval", "monitoring", "metadata")
 
 
 def load_all() -> None:
