@@ -72,3 +72,22 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     """First `k` rows per group; Spark keeps only `k` rows per group and task before the shuffle."""
     window = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
+
+
+def last_known(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, value: Column, name: str
+) -> DataFrame:
+    """Add the last non-null `value` of the key at or before each row: the as-of look-up."""
+    sliced = df.withColumn("_slice", slice_by).withColumn("_value", value)
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    edges = (
+        sliced.groupBy(*keys, "_slice")
+        .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_edge"))
+        .withColumn("_edge", F.last("_edge", ignorenulls=True).over(before))
+    )
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return (
+        sliced.join(edges, [*keys, "_slice"], "left")
+        .withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_edge")))
+        .drop("_slice", "_edge", "_value")
+    )

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "preparation", "retrieval", "monitoring", "metadata")
+MODULES = ("cleaning", "preparation", "retrieval", "monitoring", "metadata", "governing", "tables")
 
 
 def load_all() -> None:
