@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "preparation", "retrieval", "monitoring", "metadata", "governing", "tables")
+MODULES = ("cleaning", "preparation", "retrieval", "monitoring", "metadata", "governing", "tables", "ingest", "streams")
 
 
 def load_all() -> None:

@@ -25,10 +25,10 @@ def get_by_id(spark: SparkSession, folder: str) -> DataFrame:
     return R.get(jobs(spark, folder), id=77)
 
 
-@query("get_by_compound_key", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey = 0 AND l_linenumber = 7")
+@query("get_by_compound_key", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey = 0 AND l_linenumber = 4")
 def get_by_compound_key(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return R.get(lines, l_orderkey=0, l_linenumber=7)
+    return R.get(lines, l_orderkey=0, l_linenumber=4)
 
 
 @query("paged_list", f"WITH {JOBS_SQL} SELECT * FROM jobs ORDER BY id LIMIT 50 OFFSET 200")

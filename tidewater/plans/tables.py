@@ -88,9 +88,9 @@ def dataset_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.describe_datasets(spark, {name: f"{folder}/{name}.parquet" for name in TABLES}, split="lang")
 
 
-@query("query_path_default", "SELECT * FROM nation")
+@query("query_path_default", "SELECT * FROM orders")
 def query_path_default(spark: SparkSession, folder: str) -> DataFrame:
-    return sql.query_path(spark, f"{folder}/nation.parquet")
+    return sql.query_path(spark, f"{folder}/orders.parquet")
 
 
 @query("query_path_sql", "SELECT p_brand, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM part WHERE p_size >= 10 GROUP BY p_brand")
