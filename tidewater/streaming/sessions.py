@@ -14,9 +14,15 @@ from tidewater.streaming.windows import event_time
 
 
 def inactivity_sessions(
-    df: DataFrame, user: str = "user_id", gap: str = "1 hour", ts: str = "ts", delay: str = "10 minutes"
+    df: DataFrame,
+    user: str = "user_id",
+    ttl: timedelta = timedelta(hours=1),
+    ts: str = "ts",
+    delay: str = "10 minutes",
 ) -> DataFrame:
-    """Sessions that end after `gap` without an event; works on streams and batches."""
+    """Sessions that end after `ttl` without an event; works on streams and batches."""
+    # Spark joins windows that touch, while an access exactly `ttl` later is a new session.
+    gap = f"{ttl // timedelta(microseconds=1) - 1} microseconds"
     return (
         event_time(df, ts, delay)
         .groupBy(F.session_window(ts, gap).alias("session"), user)
@@ -79,10 +85,12 @@ def logout_sessions(
             start, last, n, pending, logouts = state.get
             session = (start, last, n) if n else None
             waiting = list(zip(pending, logouts))
+        watermark = state.getCurrentWatermarkMs() * 1000
         for batch in batches:
+            # What is older than the watermark is late: the sessions there are settled.
+            batch = batch[batch["moment"] >= watermark]
             waiting += list(zip(batch["moment"].tolist(), batch["logout"].tolist()))
         waiting.sort()
-        watermark = state.getCurrentWatermarkMs() * 1000
         ready = [e for e in waiting if e[0] < watermark]
         waiting = waiting[len(ready):]
         closed, session = fold(session, ready, ttl_micros, watermark)
