@@ -1,0 +1,15 @@
+"""Input parallelism."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table of fewer files than cores to all cores, before work that is heavy per row.
+
+    A file with one row group is one task however many cores wait. A table of many files is left as
+    it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python's str.strip() and str.split() treat as white space; none is special in a class.
+# The characters Python's str.strip() and str.split() treat as white space, and the same set as a
+# pattern: a Unicode property is several times faster than a class that lists them.
 WHITESPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-WHITESPACE_RUN = f"[{WHITESPACE_CHARS}]+"
+WHITESPACE_RUN = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
 
 def strip(col: Column) -> Column:

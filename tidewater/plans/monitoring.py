@@ -90,13 +90,13 @@ def last_value_gauge(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "average_per_version",
-    """SELECT c_custkey, round(coalesce(avg(o_totalprice), 0), 4) AS average
+    """SELECT c_custkey, round(coalesce(avg(o_totalprice), 0), 8) AS average
     FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey""",
 )
 def average_per_version(spark: SparkSession, folder: str) -> DataFrame:
     keys = table(spark, folder, "customer").select("c_custkey")
     log = table(spark, folder, "orders").where("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "c_custkey")
-    return rounded(M.average_per_key(keys, log, "c_custkey", "o_totalprice"), average=4)
+    return rounded(M.average_per_key(keys, log, "c_custkey", "o_totalprice"), average=8)
 
 
 RULES = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text as X
 from tidewater.operators import prepare as P
-from tidewater.plans.base import query, table
+from tidewater.plans.base import query, table, texts
 
 WORDS_SQL = f"list_filter(regexp_split_to_array(text, '[{X.WHITESPACE_CHARS}]+'), lambda x: x <> '')"
 
@@ -50,7 +50,7 @@ def choose_split(spark: SparkSession, folder: str) -> DataFrame:
     FROM t""",
 )
 def tokenize(spark: SparkSession, folder: str) -> DataFrame:
-    out = P.tokenize(table(spark, folder, "documents").select("doc_id", "text"))
+    out = P.tokenize(texts(spark, folder).select("doc_id", "text"))
     return out.select("doc_id", "n_tokens", "n_kept", F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
@@ -63,7 +63,7 @@ def tokenize(spark: SparkSession, folder: str) -> DataFrame:
     FROM t GROUP BY source, lang""",
 )
 def token_budget(spark: SparkSession, folder: str) -> DataFrame:
-    out = P.token_budget(table(spark, folder, "documents"), ["source", "lang"], epochs=3)
+    out = P.token_budget(texts(spark, folder), ["source", "lang"], epochs=3)
     return out.withColumn("truncated_share", F.round("truncated_share", 6))
 
 
@@ -105,7 +105,7 @@ def _reward_sql(text: str) -> str:
 
 @query("document_reward", f"SELECT doc_id, round({_reward_sql('text')}, 6) AS reward FROM documents")
 def document_reward(spark: SparkSession, folder: str) -> DataFrame:
-    out = P.with_reward(table(spark, folder, "documents").select("doc_id", "text"))
+    out = P.with_reward(texts(spark, folder).select("doc_id", "text"))
     return out.select("doc_id", F.round("reward", 6).alias("reward"))
 
 
@@ -115,7 +115,7 @@ def document_reward(spark: SparkSession, folder: str) -> DataFrame:
     FROM documents GROUP BY source, lang""",
 )
 def mean_reward(spark: SparkSession, folder: str) -> DataFrame:
-    out = P.with_reward(table(spark, folder, "documents").select("source", "lang", "text"))
+    out = P.with_reward(texts(spark, folder).select("source", "lang", "text"))
     return P.mean_reward(out, ["source", "lang"]).withColumn("mean_reward", F.round("mean_reward", 6))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import embed as E
 from tidewater.operators import search as S
-from tidewater.plans.base import query, table
+from tidewater.plans.base import query, table, texts
 from tidewater.plans.preparation import WORDS_SQL
 
 TERMS = "list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -21,7 +21,7 @@ TERMS = "list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'
            md5(array_to_string(w[i * 512 + 1 : i * 512 + 512], ' ')) AS digest FROM c""",
 )
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    out = E.chunks(table(spark, folder, "documents"), "doc_id")
+    out = E.chunks(texts(spark, folder), "doc_id")
     return out.select("doc_id", "chunk_no", "n_tokens", F.md5("text").alias("digest"))
 
 
@@ -32,7 +32,7 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
     SELECT doc_id, count(*) AS n_chunks, sum(len(w[i * 150 + 1 : i * 150 + 200]))::BIGINT AS n_tokens FROM c GROUP BY doc_id""",
 )
 def chunks_overlapping(spark: SparkSession, folder: str) -> DataFrame:
-    out = E.chunks(table(spark, folder, "documents"), "doc_id", size=200, overlap=50)
+    out = E.chunks(texts(spark, folder), "doc_id", size=200, overlap=50)
     return out.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
 
 
@@ -48,7 +48,7 @@ def _embedded_sql(relation: str, key: str) -> str:
     f"SELECT k AS doc_id, bucket::INT AS position, round(weight, 5) AS weight FROM {_embedded_sql('documents', 'doc_id')}",
 )
 def embed_documents(spark: SparkSession, folder: str) -> DataFrame:
-    out = E.embed(table(spark, folder, "documents").select("doc_id", "text"))
+    out = E.embed(texts(spark, folder).select("doc_id", "text"))
     cells = out.select("doc_id", F.posexplode("vector").alias("position", "weight"))
     return cells.where("weight <> 0").withColumn("weight", F.round(F.col("weight").cast("double"), 5))
 
@@ -108,7 +108,7 @@ def asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return texts(spark, folder).select(F.col("doc_id").alias("id"), "text")
 
 
 BM25_SQL = f"""
@@ -186,7 +186,9 @@ def delete_documents(spark: SparkSession, folder: str) -> DataFrame:
     f"""SELECT count(*) AS num_documents, sum(ceil(len({WORDS_SQL}) / 512.0))::BIGINT AS num_chunks, 64 AS dimension FROM documents""",
 )
 def index_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return E.index_stats(E.embed(corpus(spark, folder)))
+    """Documents as an index whose vectors are the given ones; a document may have none."""
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return E.index_stats(corpus(spark, folder).join(vectors, "id", "left"))
 
 
 @query(
