@@ -62,6 +62,14 @@ def test_string_ids_break_ties_by_id(spark):
     assert [r["id"] for r in S.nearest(index, queries, 2).orderBy("rank").collect()] == ["a", "b"]
 
 
+def test_rows_without_a_vector_are_left_out(spark):
+    index = spark.createDataFrame([(1, None), (2, [1.0, 0.0])], "id long, vector array<float>")
+    queries = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, vector array<float>")
+    assert [r["id"] for r in S.nearest(index, queries, 5).collect()] == [2]
+    texts = spark.createDataFrame([(1, None), (2, "a b")], "id int, text string")
+    assert [r["vector"] is None for r in E.embed(texts).orderBy("id").collect()] == [True, False]
+
+
 TEXTS = ["the cat sat", "The dog sat on the mat", "cat cat cat", "", "bird", "a cat and a dog; a bird"]
 
 

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import text as X
 
-BatchEmbedder = Callable[[list[list[str]]], np.ndarray]
+Embedder = Callable[[pa.Array], np.ndarray]
 
 
 def chunks(df: DataFrame, key: str, text: str = "text", size: int = 512, overlap: int = 0) -> DataFrame:
@@ -32,41 +32,48 @@ def chunks(df: DataFrame, key: str, text: str = "text", size: int = 512, overlap
     )
 
 
-@lru_cache(maxsize=1 << 17)
-def _bucket(term: str) -> int:
-    return int.from_bytes(md5(term.encode()).digest()[:4], "big")
-
-
-def hashed_words(dimensions: int = 64) -> BatchEmbedder:
+def hashed_words(dimensions: int = 64) -> Embedder:
     """Bag-of-words embedder without weights: counts per hash bucket, scaled to unit length."""
 
-    def embed(batch: list[list[str]]) -> np.ndarray:
-        out = np.zeros((len(batch), dimensions))
-        for row, terms in enumerate(batch):
-            if len(terms):
-                out[row] = np.bincount([_bucket(t) % dimensions for t in terms], minlength=dimensions)
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norms == 0, 1.0, norms)
+    def embed(terms: pa.ListArray) -> np.ndarray:
+        coded = terms.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        buckets = np.array([int(md5(t.encode()).hexdigest()[:8], 16) % dimensions for t in distinct], dtype=np.int64)
+        cells = pc.list_parent_indices(terms).to_numpy() * dimensions + buckets[coded.indices.to_numpy()]
+        counts = np.bincount(cells, minlength=len(terms) * dimensions).reshape(len(terms), dimensions)
+        norms = np.linalg.norm(counts, axis=1, keepdims=True)
+        return counts / np.where(norms == 0, 1.0, norms)
 
     return embed
 
 
-def embedding(terms: Column, embedder: Callable[[], BatchEmbedder]) -> Column:
-    """Vector column from a term column. `embedder` is a factory: a model is loaded once per task."""
+def embedding(prepared: Column, embedder: Callable[[], Embedder]) -> Column:
+    """Vector column of a prepared column; a null has no vector."""
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embed = embedder()
         for batch in batches:
-            yield pd.Series(list(embed(list(batch)).astype(np.float32)), index=batch.index)
+            vectors = embed(batch).astype(np.float32)
+            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * vectors.shape[1])
+            yield pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()), mask=batch.is_null())
 
-    return run(terms)
+    return run(prepared)
 
 
 def embed(
-    df: DataFrame, text: str = "text", vector: str = "vector", embedder: Callable[[], BatchEmbedder] = hashed_words
+    df: DataFrame,
+    text: str = "text",
+    vector: str = "vector",
+    embedder: Callable[[], Embedder] = hashed_words,
+    prepare: Callable[[Column], Column] = X.terms,
 ) -> DataFrame:
-    return df.withColumn(vector, embedding(X.terms(F.col(text)), embedder))
+    """Add a vector per text.
+
+    `embedder` is a factory, so a model is loaded once per task; it maps an Arrow array of what
+    `prepare` makes of the text (terms, or the text itself for a model) to a matrix.
+    """
+    return df.withColumn(vector, embedding(prepare(F.col(text)), embedder))
 
 
 def content_id(df: DataFrame, text: str = "text", name: str = "id") -> DataFrame:
@@ -79,7 +86,7 @@ def index_rows(
     key: str | None,
     text: str = "text",
     metadata: Sequence[str] = (),
-    embedder: Callable[[], BatchEmbedder] = hashed_words,
+    embedder: Callable[[], Embedder] = hashed_words,
 ) -> DataFrame:
     """Rows of an index table; without a key column the id comes from the content."""
     base = df.select(F.col(key).alias("id"), F.col(text).alias("text"), *metadata) if key else content_id(
@@ -99,7 +106,7 @@ def add_documents(rows: DataFrame, path: str) -> None:
 
 
 def update_documents(
-    index: DataFrame, updates: DataFrame, embedder: Callable[[], BatchEmbedder] = hashed_words
+    index: DataFrame, updates: DataFrame, embedder: Callable[[], Embedder] = hashed_words
 ) -> DataFrame:
     """Index rows with new texts by id (one update per id); only changed texts are embedded again."""
     changes = embed(updates.select("id", "text"), embedder=embedder).select(

@@ -205,31 +205,45 @@ def deletable(parents: DataFrame, children: DataFrame, parent: str) -> DataFrame
 def lineage(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All ancestors of every artifact of `edges(id, parent_id)`: id, ancestor_id, depth.
 
-    Known stretches are joined end to end, so a tree of depth d takes about log2(d) rounds, each cut
-    off through the checkpoint folder. In a cycle every other member is listed once, at its smallest
-    depth. A parent that is not itself listed ends the line and is not an ancestor.
+    Known stretches are joined end to end, so a tree of depth d takes about log2(d) rounds, and each
+    round's new pairs are cut off through the checkpoint folder. In a cycle every other member is
+    listed once, at its smallest depth; pairs are grouped only after a cycle has shown up. A parent
+    that is not itself listed ends the line and is not an ancestor.
     """
     known = edges.select(F.col("id").alias("ancestor_id"))
     step = (
-        edges.where(F.col("parent_id").isNotNull())
+        edges.where(F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("id")))
         .select("id", F.col("parent_id").alias("ancestor_id"))
         .join(known, "ancestor_id", "left_semi")
         .select("id", "ancestor_id", F.lit(1).alias("depth"))
     )
-    reach, length = checkpointed(step), 1
+    parts, length, cyclic = [checkpointed(step)], 1, False
     while max_depth is None or length < max_depth:
+        top = parts[-1].agg(
+            F.max("depth").alias("depth"), F.bool_or(F.col("id") == F.col("ancestor_id")).alias("cyclic")
+        ).first()
+        if top["depth"] is None or top["depth"] < length:
+            break
+        reach, cyclic = reduce(DataFrame.unionByName, parts), cyclic or top["cyclic"]
+        if cyclic:
+            reach = checkpointed(_shortest(reach))
+            parts = [reach]
         far = reach.where(F.col("depth") == length).select("id", F.col("ancestor_id").alias("via"), "depth")
         further = far.join(
             reach.select(F.col("id").alias("via"), "ancestor_id", F.col("depth").alias("more")), "via"
         ).select("id", "ancestor_id", (F.col("depth") + F.col("more")).alias("depth"))
-        merged = reach.unionByName(further).groupBy("id", "ancestor_id").agg(F.min("depth").alias("depth"))
-        reach, length = checkpointed(merged), length * 2
-        if reach.where(F.col("depth") == length).isEmpty():
-            break
-    out = reach.where(F.col("id") != F.col("ancestor_id"))
+        parts.append(checkpointed(further))
+        length *= 2
+    out = reduce(DataFrame.unionByName, parts)
+    out = _shortest(out) if cyclic else out
     return out if max_depth is None else out.where(F.col("depth") <= max_depth)
 
 
+def _shortest(pairs: DataFrame) -> DataFrame:
+    shortest = pairs.groupBy("id", "ancestor_id").agg(F.min("depth").alias("depth"))
+    return shortest.where(F.col("id") != F.col("ancestor_id"))
+
+
 def lineage_of(edges: DataFrame, artifact_id, max_depth: int = 100) -> DataFrame:
     """Ancestors of one artifact by a recursive query, for a look-up in a small tree."""
     view = f"lineage_edges_{abs(hash((id(edges), artifact_id)))}"

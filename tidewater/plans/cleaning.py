@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import text as X
 from tidewater.operators import clean as C
 from tidewater.operators import profile as P
-from tidewater.plans.base import query, table
+from tidewater.plans.base import query, table, texts
 
 WS = X.WHITESPACE_CHARS
 
@@ -37,7 +37,7 @@ def raw_labelled(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("quality") == 1, "Positive").when(F.col("toxic") == 1, "NEGATIVE").when(F.col("quality") == 0, "None")
     )
     return (
-        table(spark, folder, "documents")
+        texts(spark, folder)
         .join(labels, "doc_id", "left")
         .select("doc_id", "text", label.alias("label"))
     )

@@ -49,7 +49,8 @@ def _embedded_sql(relation: str, key: str) -> str:
 )
 def embed_documents(spark: SparkSession, folder: str) -> DataFrame:
     out = E.embed(texts(spark, folder).select("doc_id", "text"))
-    cells = out.select("doc_id", F.posexplode("vector").alias("position", "weight"))
+    # The outer form: a plain explode makes Spark add a filter that embeds every text a second time.
+    cells = out.select("doc_id", F.posexplode_outer("vector").alias("position", "weight"))
     return cells.where("weight <> 0").withColumn("weight", F.round(F.col("weight").cast("double"), 5))
 
 
