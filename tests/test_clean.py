@@ -108,3 +108,16 @@ def test_dataset_ids_are_unique_and_stable(spark):
     assert one[0] == "a-b" and one[1] == "a-b-2" and one[2] == "dataset" and one[5] == "dataset-2"
     many = {r["n"]: r["dataset_id"] for r in C.build_dataset_ids(df.repartition(16), "name", "n").collect()}
     assert one == many
+
+
+def test_directory_names(spark):
+    df = spark.createDataFrame([("org/set",)], "a string").select(X.safe_dir_name(F.col("a")).alias("d"), "a")
+    assert df.select("d", X.from_safe_dir_name(F.col("d")).alias("back")).first() == ("org--set", "org/set")
+
+
+def test_keep_columns_come_from_the_first_row_of_a_group(spark):
+    df = spark.createDataFrame([(2, "z", "t", "l"), (1, "y", "t", "l"), (3, "x", "u", "l")], "k int, m string, text string, label string")
+    one = C.clean(df, C.CleanConfig(), keep=("k",))
+    assert one.columns == ["k", "text", "label"] and sorted(r["k"] for r in one.collect()) == [1, 3]
+    two = C.clean(df, C.CleanConfig(), keep=("k", "m"))
+    assert sorted((r["k"], r["m"]) for r in two.collect()) == [(1, "y"), (3, "x")]

@@ -157,8 +157,12 @@ def clean(df: DataFrame, config: CleanConfig = SENTIMENT, keep: tuple[str, ...]
         out = out.where(F.col(target).isNotNull())
     if config.drop_duplicates:
         if keep:
-            first = F.min(F.struct(*keep)).alias("_first")
-            out = out.groupBy(text, target).agg(first).select("_first.*", text, target)
+            if len(keep) == 1:
+                out = out.groupBy(text, target).agg(F.min(keep[0]).alias(keep[0]))
+            else:
+                out = out.groupBy(text, target).agg(F.min(F.struct(*keep)).alias("_first"))
+                out = out.select("_first.*", text, target)
+            out = out.select(*keep, text, target)
         else:
             out = out.dropDuplicates([text, target])
     return out

@@ -17,6 +17,8 @@ DEFAULT_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2
 # Alert channels and the one used when a rule names none.
 CHANNELS = ("email", "slack", "sms", "webhook")
 DEFAULT_CHANNELS = ("email",)
+# Buckets of the drift test: enough that one task orders a few million distinct values.
+MIN_BUCKETS, MAX_BUCKETS, VALUES_PER_BUCKET = 200, 20_000, 2_000_000
 
 
 def data_drift(
@@ -25,13 +27,14 @@ def data_drift(
     value: str = "value",
     feature: str | None = None,
     threshold: float = 0.05,
-    buckets: int = 200,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov test: the largest gap between the two empirical distributions.
 
     Equal values are collapsed first. Values then fall into buckets cut at approximate quantiles;
-    each bucket is ordered on its own, starting from the totals of the buckets below. The p-value is
-    the asymptotic one. With an empty sample the statistic is null and no drift is reported.
+    each bucket is ordered on its own, starting from the totals of the buckets below. Without a given
+    number there are 200 buckets, and more, up to 20,000, for samples above 400 million values. The
+    p-value is the asymptotic one. With an empty sample the statistic is null and no drift is reported.
     """
     from pyspark.ml.feature import Bucketizer
 
@@ -39,14 +42,15 @@ def data_drift(
         current.select(F.col(value).cast("double").alias("v"), F.lit(0).alias("b"))
     )
     sides = sides.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    share = [i / buckets for i in range(1, buckets)]
-    cuts = sides.agg(F.percentile_approx("v", share, 10 * buckets).alias("cuts")).first()["cuts"] or [0.0]
+    cuts, n = _cut_points(sides, buckets or MIN_BUCKETS)
+    if buckets is None and n > MIN_BUCKETS * VALUES_PER_BUCKET:
+        cuts, _ = _cut_points(sides, min(MAX_BUCKETS, n // VALUES_PER_BUCKET))
     finite = sorted({c for c in cuts if abs(c) != float("inf")}) or [0.0]
     collapsed = sides.groupBy("v").agg(F.sum("b").alias("nb"), F.sum(1 - F.col("b")).alias("nc"))
     splits = [-float("inf"), *finite, float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="v", outputCol="bucket").transform(collapsed)
 
-    # At most `buckets` rows: the only place where rows are ordered without a partition.
+    # One row per bucket: the only place where rows are ordered without a partition.
     below = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     totals = (
@@ -81,6 +85,12 @@ def data_drift(
     )
 
 
+def _cut_points(sides: DataFrame, buckets: int) -> tuple[list[float], int]:
+    share = [i / buckets for i in range(1, buckets)]
+    row = sides.agg(F.percentile_approx("v", share, 10 * buckets).alias("cuts"), F.count("v").alias("n")).first()
+    return row["cuts"] or [0.0], row["n"]
+
+
 def concept_drift(
     df: DataFrame, correct: Column, is_baseline: Column, threshold: float = 0.05, by: Sequence[str] = ()
 ) -> DataFrame:

@@ -205,6 +205,34 @@ def artifact_search_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def artifact_texts(spark: SparkSession, folder: str) -> DataFrame:
+    tags = F.array("p_brand", F.concat(F.lit("size"), F.col("p_size").cast("string")))
+    return table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"), E.artifact_search_text(F.col("p_name"), F.col("p_type"), tags).alias("text")
+    )
+
+
+@query(
+    "search_artifact_texts",
+    f"""WITH a AS (SELECT p_partkey AS id, p_name || ' ' || p_type || ' ' || p_brand || ' size' || p_size AS text FROM part),
+    q AS (SELECT DISTINCT p_type AS id, 'blue ' || p_type AS text FROM part),
+    av AS MATERIALIZED {_embedded_sql('a', 'id')}, qv AS MATERIALIZED {_embedded_sql('q', 'id')},
+    an AS (SELECT k, sqrt(sum(weight * weight)) AS norm FROM av GROUP BY k),
+    qn AS (SELECT k, sqrt(sum(weight * weight)) AS norm FROM qv GROUP BY k),
+    d AS (SELECT q.k AS query_id, a.k AS id, round(1 - sum(q.weight * a.weight) / (any_value(qn.norm) * any_value(an.norm)), 9) AS distance
+      FROM qv q JOIN av a ON q.bucket = a.bucket JOIN qn ON qn.k = q.k JOIN an ON an.k = a.k GROUP BY q.k, a.k),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d)
+    SELECT query_id, id, rank::INT AS rank, round(distance, 6) AS distance FROM r WHERE rank <= 10""",
+)
+def search_artifact_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Artifacts by meaning: one query per artifact type, over name, description and tags."""
+    asked_types = table(spark, folder, "part").select(
+        F.col("p_type").alias("query_id"), F.concat(F.lit("blue "), F.col("p_type")).alias("text")
+    ).distinct()
+    hits = S.nearest(E.embed(artifact_texts(spark, folder)), E.embed(asked_types), 10)
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
 @query("nearest_by_cell_recall")
 def nearest_by_cell_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Recall of the cell search against the exact search, per label centroid."""
