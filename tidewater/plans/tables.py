@@ -154,9 +154,9 @@ SHAPES = {
         (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')
       UNION ALL SELECT 'anti', c_custkey FROM customer WHERE NOT EXISTS
         (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')""",
-    "sql_range_join": """SELECT band, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders
-      JOIN (VALUES ('low', 0.0, 100000.0), ('mid', 100000.0, 300000.0), ('high', 300000.0, 1e12)) AS bands(band, lo, hi)
-      ON o_totalprice >= lo AND o_totalprice < hi GROUP BY band""",
+    "sql_range_join": """SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM orders
+      JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 90 DAY
+      AND l_extendedprice < o_totalprice GROUP BY o_orderpriority""",
     "sql_aggregate_distinct": """SELECT l_returnflag, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers,
       round(avg(l_quantity), 6) AS avg_qty, round(stddev_samp(l_quantity), 6) AS sd, min(l_shipdate) AS first_ship
       FROM lineitem GROUP BY l_returnflag HAVING count(*) > 10""",
