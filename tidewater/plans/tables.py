@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +71,17 @@ def removable_versions(spark: SparkSession, folder: str) -> DataFrame:
     return versioned.removable(monthly(spark, folder)[1], "2000-02-03 00:00:00")
 
 
-@query("table_statistics")
+def _per_table_sql(columns: str) -> str:
+    """One row per table; `{t}` is the table, `{n_columns}` its number of columns."""
+    width = "(SELECT count(*)::INT FROM information_schema.columns WHERE table_name = '{t}')"
+    rows = [f"SELECT {columns} FROM {{t}}".replace("{n_columns}", width).replace("{t}", name) for name in TABLES]
+    return "\nUNION ALL ".join(rows)
+
+
+@query(
+    "table_statistics",
+    _per_table_sql("'{t}' AS table_name, count(*) AS num_rows, {n_columns} AS num_columns, true AS has_files, 0::BIGINT AS version"),
+)
 def table_statistics(spark: SparkSession, folder: str) -> DataFrame:
     parts = [
         versioned.statistics(table(spark, folder, name), files.list_files(spark, f"{folder}/{name}.parquet"), 0).withColumn(
@@ -77,15 +89,25 @@ def table_statistics(spark: SparkSession, folder: str) -> DataFrame:
         )
         for name in TABLES
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    out = reduce(DataFrame.unionByName, parts)
+    # SQL cannot see the files, so only that there are some is compared.
+    return out.select("table_name", "num_rows", "num_columns", (F.col("size_bytes") > 0).alias("has_files"), "version")
 
 
-@query("dataset_catalog")
+@query(
+    "dataset_catalog",
+    "WITH langs AS (SELECT string_agg(DISTINCT lang, ',' ORDER BY lang) AS splits FROM documents)\n"
+    + _per_table_sql(
+        "'{t}' AS dataset_id, count(*) AS num_rows, {n_columns} AS num_columns, true AS has_files, "
+        "CASE WHEN '{t}' = 'documents' THEN (SELECT splits FROM langs) ELSE 'train' END AS splits"
+    ),
+)
 def dataset_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    return catalog.describe_datasets(spark, {name: f"{folder}/{name}.parquet" for name in TABLES}, split="lang")
+    out = catalog.describe_datasets(spark, {name: f"{folder}/{name}.parquet" for name in TABLES}, split="lang")
+    return out.select(
+        "dataset_id", "num_rows", "num_columns", (F.col("size_mb") > 0).alias("has_files"),
+        F.array_join("splits", ",").alias("splits"),
+    )
 
 
 @query("query_path_default", "SELECT * FROM orders")
