@@ -18,14 +18,20 @@ def write_alerts(path: str, rules: Sequence[AlertRule]) -> Callable[[DataFrame,
     """A `foreachBatch` function. Its batch id names the folder, so a replay overwrites its own rows."""
 
     def write(metrics: DataFrame, batch_id: int) -> None:
-        found = alerts(metrics, rules)
+        found = alerts(metrics, rules).persist()
         try:
-            written = metrics.sparkSession.read.option("basePath", path).parquet(path)
-            earlier = written.where(F.col("batch_id") != batch_id).select(*ALERT_KEY)
-            found = found.join(earlier, ALERT_KEY, "left_anti")
+            new = found.join(_earlier(found, batch_id), ALERT_KEY, "left_anti")
         except AnalysisException:
-            pass
-        found.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            # The first batch finds no folder yet.
+            new = found
+        new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        found.unpersist()
+
+    def _earlier(found: DataFrame, batch_id: int) -> DataFrame:
+        """Keys other batches wrote, no further back than this batch's oldest window."""
+        written = found.sparkSession.read.option("basePath", path).parquet(path)
+        oldest = found.agg(F.min("window_start")).scalar()
+        return written.where((F.col("batch_id") != batch_id) & (F.col("window_start") >= oldest)).select(*ALERT_KEY)
 
     return write
 
