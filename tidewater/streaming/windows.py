@@ -12,9 +12,15 @@ from tidewater.operators import clean as C
 
 
 def event_time(df: DataFrame, ts: str = "ts", delay: str | None = "10 minutes") -> DataFrame:
-    """Event time as a timestamp with a watermark (watermarks reject zone-less timestamps)."""
+    """Event time with a watermark on a stream; a batch is left as it is.
+
+    Watermarks reject zone-less timestamps, so a stream reads them in the session time zone: set it
+    to UTC, or windows of a day start at another hour than those of a batch.
+    """
+    if not df.isStreaming:
+        return df
     out = df.withColumn(ts, F.col(ts).cast("timestamp"))
-    return out if delay is None or not df.isStreaming else out.withWatermark(ts, delay)
+    return out if delay is None else out.withWatermark(ts, delay)
 
 
 def windowed_metrics(
