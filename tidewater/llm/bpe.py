@@ -15,9 +15,11 @@ from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from tidewater.llm.common import bound_batches
+
 #: Characters of text that a task tokenises at a time, and words it remembers, in two generations.
-SLICE_CHARS = 1 << 23
-REMEMBERED_WORDS = 250_000
+SLICE_CHARS = 1 << 22
+REMEMBERED_WORDS = 150_000
 #: Stand for "no symbol": beyond a word's end, and merged into the symbol on the left.
 END, GONE = (1 << 20) - 1, (1 << 20) - 2
 #: Text that any Unicode version lower-cases and splits alike: printable ASCII, line ends, Latin-1 letters. The pattern
@@ -250,6 +252,7 @@ class Bpe:
     """
 
     def __init__(self, spark: SparkSession, path: str):
+        bound_batches(spark)
         self.specification = spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
     def encode(self, text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,6 +11,9 @@ from tidewater.session import checkpointed, ensure_checkpoint_dir
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch that goes to Python; a task holds a few times that in texts and results.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A table that the code broadcasts has at most so many rows of fixed width.
 BROADCAST_ROWS = 100_000
 
@@ -22,6 +26,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to BATCH_BYTES, so that long texts do not pile up in a Python worker."""
+    current = re.fullmatch(r"(\d+)b?", spark.conf.get(BATCH_SETTING))
+    if not current or int(current[1]) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the session's shared checkpoint folder, for a table that a job writes."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
