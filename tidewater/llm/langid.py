@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from tidewater.llm.common import bound_batches
+
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Bytes of a window, which the network reads in both directions, and windows that a task holds at a time.
@@ -231,15 +233,17 @@ def train(documents: DataFrame, usable: Column, training: Training = Training(),
     Counts of languages make the rate of a language so that about per_language of its documents pass, by hash of the
     identifier: a scan, no shuffle of texts.
     """
-    labelled = documents.where(usable & F.col(text).isNotNull() & F.col(language).isNotNull())
-    counts = labelled.groupBy(F.col(language).alias("_language")).count().orderBy(F.desc("count"), "_language").limit(training.languages)
+    labelled = documents.where(usable).select(
+        F.col(identifier).alias("i"), F.col(text).alias("t"), F.col(language).alias("l")
+    ).where("t is not null and l is not null")
+    counts = labelled.groupBy(F.col("l").alias("_language")).count().orderBy(F.desc("count"), "_language").limit(training.languages)
     rate = F.greatest(F.lit(1), F.expr(f"count div {training.per_language}"))
     rates = counts.select("_language", rate.alias("_rate"))
     bound = 4 * training.per_language * training.languages
     sample = (
-        labelled.join(F.broadcast(rates), F.col(language) == F.col("_language"))
-        .where(F.pmod(F.xxhash64(F.lit(training.seed), F.col(identifier)), F.col("_rate")) == 0)
-        .select(F.col(identifier).alias("i"), F.col(text).alias("t"), F.col(language).alias("l"))
+        labelled.join(F.broadcast(rates), F.col("l") == F.col("_language"))
+        .where(F.pmod(F.xxhash64(F.lit(training.seed), "i"), F.col("_rate")) == 0)
+        .select("i", "t", "l")
         .limit(bound)
         .collect()
     )
@@ -295,6 +299,7 @@ def language_column(spark: SparkSession, network: Network | None, text: Column)
     Null texts and texts without a letter are `und` with score 0, as is everything if nothing was learned. Long texts
     are read window by window, to the end. Only the text decides: repeated rows and other columns change nothing.
     """
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(network)
 
     @F.arrow_udf(T._parse_datatype_string("language string, score double"))

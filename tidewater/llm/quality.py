@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
+from tidewater.llm.common import bound_batches
 from tidewater.session import checkpointed
 
 #: Words in a window that counts as repeated, and the plain rules that hold whatever the data.
@@ -121,6 +122,7 @@ def judge(
     Null texts count as empty and fail. Null language and null source are groups of their own. Repeated rows are judged
     alike and all count. An empty table gives no rows. Other columns are not read.
     """
+    bound_batches(df.sparkSession)
     counted = df.select(
         F.col(identifier).alias("identifier"),
         F.to_json(F.struct(F.col(language).alias("l"), F.col(source).alias("s"))).alias("group"),

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tidewater.llm.bpe import WordBpe, slices
-from tidewater.llm.common import partitions
+from tidewater.llm.common import bound_batches, partitions
 
 #: Identifiers in a block, and the share of them that must fit the block's width; the others are exceptions.
 BLOCK = 128
@@ -120,6 +120,7 @@ def library_of(specification: str) -> LibraryBpe:
 
 def token_ids(spark: SparkSession, path: str, text: Column, end: int | None) -> Column:
     """Identifiers of whole texts as little-endian 32-bit integers in a binary column, `end` appended to each."""
+    bound_batches(spark)
     specification = spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
     tail = b"" if end is None else np.array([end], dtype="<i4").tobytes()
 

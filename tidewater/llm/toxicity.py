@@ -13,6 +13,8 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from tidewater.llm.common import bound_batches
+
 #: A sentence ends at one of these.
 SENTENCE_END = re.compile(r"[.!?\n]+")
 #: What stands around a word and is no part of it.
@@ -143,22 +145,21 @@ def train(documents: DataFrame, labels: DataFrame, training: Training = Training
     """Fit on `labels` (identifier, label 0/1) joined with documents: per class, the identifiers of smallest hash.
 
     The identifiers are chosen from the labels alone, so at most twice per_class rows meet the documents. Labels without
-    a document, null labels and null identifiers are left out; of repeated labels the largest counts.
+    a document, null labels and null identifiers are left out; of repeated labels the largest counts, of repeated
+    documents the smallest text.
     """
+    rows = documents.select(F.col(identifier).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     clean = labels.select(F.col(identifier).alias("_id"), F.col("label").cast("int").alias("label")).dropna()
     single = clean.groupBy("_id").agg(F.max("label").alias("label"))
     order = (F.xxhash64("_id"), F.col("_id"))
     chosen = single.where("label <> 0").orderBy(*order).limit(training.per_class).unionByName(
         single.where("label = 0").orderBy(*order).limit(training.per_class)
     )
-    rows = (
-        documents.join(F.broadcast(chosen), documents[identifier] == chosen["_id"])
-        .select("_id", F.coalesce(F.col(text), F.lit("")).alias("_text"), "label")
-        .dropDuplicates(["_id"])
-        .collect()
+    sample = (
+        rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "label").agg(F.min("_text").alias("_text")).collect()
     )
-    rows.sort(key=lambda r: r["_id"])
-    return fit([r["_text"] for r in rows], [int(r["label"] != 0) for r in rows], training)
+    sample.sort(key=lambda r: r["_id"])
+    return fit([r["_text"] for r in sample], [int(r["label"] != 0) for r in sample], training)
 
 
 def score_column(spark: SparkSession, model: SentenceModel, text: Column, offending: float = 0.5) -> Column:
@@ -167,6 +168,7 @@ def score_column(spark: SparkSession, model: SentenceModel, text: Column, offend
     Offending are the sentences whose own probability is at least `offending`; start and length are code points.
     Null texts and texts without a word have no sentence and score 0. Long texts are scored sentence by sentence.
     """
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     kind = T._parse_datatype_string(f"score double, offending {SENTENCES}")
 
