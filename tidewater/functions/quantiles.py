@@ -1,86 +1,106 @@
-"""Exact quantiles by narrowing value ranges; no task ever holds a whole column."""
+"""Exact quantiles by narrowing ranks; no task ever holds a whole column."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Accuracy of the quantile sketch of a pass; it looks twice the error to either side of a rank.
+ACCURACY = 10_000
+
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], bins: int = 2048
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = ACCURACY
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of numeric columns, nulls left out.
 
-    Each pass counts values per bin of the range that holds a wanted rank and keeps one bin of it,
-    so a pass narrows `bins`-fold and shuffles at most `bins` rows per range and task. It ends when
-    the bin holds one distinct value. Passes read the numeric columns only.
+    A pass asks a mergeable sketch for values near each wanted rank and counts exactly how many values lie below them.
+    Either one of them has the rank, or two of them enclose it with a few of the sketch's errors between. Ranks shrink,
+    not values, so the number of passes is about log(rows) / log(accuracy) for any values, and a task hands on a few
+    numbers and a sketch. Infinities are values like any other; between a finite value and an infinity the
+    interpolation gives that infinity.
     """
-    first = df.agg(
-        *[f(F.col(f"`{c}`").cast("double")).alias(f"{n}_{i}")
-          for i, c in enumerate(columns)
-          for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    ).first()
-    wanted: dict[tuple[int, int], tuple[float, float, int]] = {}
-    found: dict[tuple[int, int], float] = {}
-    for i, _ in enumerate(columns):
-        n, lo, hi = first[f"n_{i}"], first[f"lo_{i}"], first[f"hi_{i}"]
-        if not n:
-            continue
-        for p in probabilities:
+    values = [F.col(f"`{c}`").cast("double") for c in columns]
+    counts = df.agg(*[F.count(v).alias(f"n_{i}") for i, v in enumerate(values)]).first() if columns else []
+    wanted: dict[tuple[int, int], Open] = {}
+    for i, n in enumerate(counts):
+        for p in probabilities if n else ():
             for rank in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))):
-                if lo == hi:
-                    found[i, rank] = lo
-                else:
-                    wanted[i, rank] = (lo, hi, 0)
+                wanted[i, rank] = Open(None, None, 0, n)
+    found: dict[tuple[int, int], float] = {}
     while wanted:
-        ranges = sorted({(i, lo, hi) for (i, _), (lo, hi, _) in wanted.items()})
-        counted = _count_bins(df, columns, ranges, bins)
-        for (i, rank), (lo, hi, below) in list(wanted.items()):
-            for count, smallest, largest in counted[ranges.index((i, lo, hi))]:
-                if rank < below + count:
-                    break
-                below += count
-            if smallest == largest:
-                found[i, rank] = smallest
+        candidates = _candidates(df, values, wanted, accuracy)
+        below = _counts_below(df, values, candidates)
+        for (i, rank), inside in list(wanted.items()):
+            answer = inside.narrow(rank, [(v, *below[i, v]) for v in candidates[i, rank]])
+            if answer is not None:
+                found[i, rank] = answer
                 del wanted[i, rank]
-            else:
-                wanted[i, rank] = (smallest, largest, below)
     out: dict[str, list[float | None]] = {}
     for i, column in enumerate(columns):
-        n = first[f"n_{i}"]
         out[column] = []
         for p in probabilities:
-            if not n:
+            if not counts[i]:
                 out[column].append(None)
                 continue
-            position = p * (n - 1)
+            position = p * (counts[i] - 1)
             low, high = found[i, math.floor(position)], found[i, math.ceil(position)]
-            out[column].append(low + (high - low) * (position - math.floor(position)))
+            share = position - math.floor(position)
+            if low == high or not share:
+                out[column].append(low)
+            elif math.isinf(low) or math.isinf(high):
+                out[column].append(low * (1 - share) + high * share)
+            else:
+                out[column].append(low + (high - low) * share)
     return out
 
 
-def _count_bins(df: DataFrame, columns: Sequence[str], ranges: list, bins: int) -> list[list[tuple]]:
-    """Per range, its non-empty bins in order as (count, smallest, largest)."""
+class Open:
+    """Values strictly between `low` and `high` (None: no limit), with `before` values below and `count` inside."""
+
+    def __init__(self, low: float | None, high: float | None, before: int, count: int) -> None:
+        self.low, self.high, self.before, self.count = low, high, before, count
+
+    def condition(self, value: Column) -> Column:
+        inside = value.isNotNull()
+        if self.low is not None:
+            inside = inside & (value > self.low)
+        return inside if self.high is None else inside & (value < self.high)
+
+    def shares(self, rank: int, margin: float) -> list[float]:
+        middle = (rank - self.before + 0.5) / self.count
+        return [min(1.0, max(0.0, middle + step * margin)) for step in (-1.0, 0.0, 1.0)]
+
+    def narrow(self, rank: int, counted: list[tuple[float, int, int]]) -> float | None:
+        """Take in values with how many of the column are smaller, and smaller or equal; the value of the rank, if known."""
+        end = self.before + self.count
+        for value, smaller, up_to in counted:
+            if smaller <= rank < up_to:
+                return value
+            if up_to <= rank and (self.low is None or value > self.low):
+                self.low, self.before = value, up_to
+            elif smaller > rank and (self.high is None or value < self.high):
+                self.high, end = value, smaller
+        self.count = end - self.before
+        return None
+
+
+def _candidates(df: DataFrame, values: list[Column], wanted: dict, accuracy: int) -> dict[tuple[int, int], list[float]]:
+    asked = [
+        F.percentile_approx(F.when(inside.condition(values[i]), values[i]), inside.shares(rank, 2.0 / accuracy), accuracy).alias(f"c{k}")
+        for k, ((i, rank), inside) in enumerate(wanted.items())
+    ]
+    row = df.agg(*asked).first()
+    return {key: sorted(set(row[f"c{k}"])) for k, key in enumerate(wanted)}
+
+
+def _counts_below(df: DataFrame, values: list[Column], candidates: dict) -> dict[tuple[int, float], tuple[int, int]]:
+    asked = sorted({(i, v) for (i, _), found in candidates.items() for v in found})
     cells = []
-    for r, (i, lo, hi) in enumerate(ranges):
-        value = F.col(f"`{columns[i]}`").cast("double")
-        # Halving first keeps the width finite for ranges near the largest double.
-        share = (value / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
-        bin_no = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
-        cells.append(
-            F.when(value.between(lo, hi), F.struct(F.lit(r).alias("range"), bin_no.alias("bin"), value.alias("value")))
-        )
-    rows = (
-        df.select(F.explode(F.array(*cells)).alias("cell"))
-        .where("cell is not null")
-        .groupBy("cell.range", "cell.bin")
-        .agg(F.count("*").alias("n"), F.min("cell.value").alias("lo"), F.max("cell.value").alias("hi"))
-        .collect()
-    )
-    out: list[list[tuple]] = [[] for _ in ranges]
-    for row in sorted(rows, key=lambda x: (x["range"], x["bin"])):
-        out[row["range"]].append((row["n"], row["lo"], row["hi"]))
-    return out
+    for k, (i, v) in enumerate(asked):
+        cells += [F.count_if(values[i] < v).alias(f"s{k}"), F.count_if(values[i] <= v).alias(f"u{k}")]
+    row = df.agg(*cells).first()
+    return {key: (row[f"s{k}"], row[f"u{k}"]) for k, key in enumerate(asked)}
