@@ -160,3 +160,16 @@ def test_artifact_text(spark):
     df = spark.createDataFrame([("n", None, ["t", "u"]), ("m", "d", [])], "n string, d string, t array<string>")
     got = [r[0] for r in df.select(E.artifact_search_text(F.col("n"), F.col("d"), F.col("t"))).collect()]
     assert got == ["n  t u", "m d "]
+
+
+def test_l2_of_near_vectors(spark):
+    """Large vectors that differ by little: norms and products alone cannot tell their distances."""
+    base = np.full(64, 1e4)
+    offsets = {1: 1e-5, 2: 1e-7, 3: 1e-4, 4: 3.0}
+    rows = [(i, [float(x) for x in base + o * (np.arange(64) == i)]) for i, o in offsets.items()]
+    rows += [(100 + k, [float(x) for x in base + 50 + k]) for k in range(40)]
+    index = spark.createDataFrame(rows, "id long, vector array<double>").repartition(2)
+    queries = spark.createDataFrame([(0, [float(x) for x in base])], "query_id int, vector array<double>")
+    got = S.nearest(index, queries, 4, "l2").orderBy("rank").collect()
+    assert [r["id"] for r in got] == [2, 1, 3, 4]
+    assert [r["distance"] for r in got] == pytest.approx([1e-7, 1e-5, 1e-4, 3.0], rel=0.02)

@@ -2,7 +2,8 @@
 
 A query batch is small next to the corpus, so queries travel to the corpus: each task scores its
 own rows against the whole batch and passes on k rows per query. No query-document pairs are
-shuffled or joined. A batch above the bound is searched in blocks, one corpus pass per block.
+shuffled or joined. What travels is bounded (`BatchLimits`): a larger batch is a stated query set
+that is searched in blocks, all of it against all rows, one corpus pass per block.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ from tidewater.functions.ordering import top_per_group
 # inside a task cannot change the order of hits.
 DECIMALS = 9
 RRF_CONSTANT = 60
+# Vector pairs measured, and scores added up, at a time in a task.
+PAIRS_AT_ONCE = 1 << 16
+SCORES_AT_ONCE = 4_000_000
+# A larger vocabulary of a query batch is looked up in the task instead of in the plan.
+TERMS_IN_PLAN = 5_000
 
 
 @dataclass(frozen=True)
@@ -108,20 +114,41 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def distances(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    """Distance of every row to every query, in double precision. A zero vector is at cosine distance 1."""
+def distances(rows: np.ndarray, queries: np.ndarray, metric: str, k: int | None = None) -> np.ndarray:
+    """Distance of every row to every query, in double precision. A zero vector is at cosine distance 1.
+
+    Under l2 the norms and products only shortlist, as their difference loses the digits of vectors that lie close
+    together. What may be among a query's `k` nearest rows, given the error of that difference, is measured by its
+    differences; the rest is infinitely far. Without `k` all pairs are measured so.
+    """
+    if metric == "l2":
+        return _l2(rows, queries, k)
     dots = rows @ queries.T
     if metric == "dot":
         return 1.0 - dots
-    row_norms, query_norms = (rows**2).sum(axis=1), (queries**2).sum(axis=1)
     if metric == "cosine":
+        row_norms, query_norms = (rows**2).sum(axis=1), (queries**2).sum(axis=1)
         scale = np.sqrt(row_norms)[:, None] * np.sqrt(query_norms)[None, :]
         return 1.0 - np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
-    if metric == "l2":
-        return np.sqrt(np.maximum(row_norms[:, None] + query_norms[None, :] - 2.0 * dots, 0.0))
     raise ValueError(f"unknown metric {metric}: use cosine, l2 or dot")
 
 
+def _l2(rows: np.ndarray, queries: np.ndarray, k: int | None) -> np.ndarray:
+    out = np.full((len(rows), len(queries)), np.inf)
+    if k is None or len(rows) <= k:
+        near = np.ones(out.shape, dtype=bool)
+    else:
+        sums = (rows**2).sum(axis=1)[:, None] + (queries**2).sum(axis=1)[None, :]
+        squared = sums - 2.0 * (rows @ queries.T)
+        error = 4.0 * (rows.shape[1] + 4) * np.finfo(np.float64).eps * sums
+        near = squared - error <= np.partition(squared + error, k - 1, axis=0)[k - 1]
+    row, query = np.nonzero(near)
+    for start in range(0, len(row), PAIRS_AT_ONCE):
+        r, q = row[start : start + PAIRS_AT_ONCE], query[start : start + PAIRS_AT_ONCE]
+        out[r, q] = np.sqrt(((rows[r] - queries[q]) ** 2).sum(axis=1))
+    return out
+
+
 def nearest(
     index: DataFrame,
     queries: DataFrame,
@@ -151,7 +178,7 @@ def nearest(
             best = _Best(k)
             for batch in _with_vector(batches):
                 if batch.num_rows and len(query_ids):
-                    best.offer(distances(_matrix(batch.column(1)), vectors, metric), batch.column(0))
+                    best.offer(distances(_matrix(batch.column(1)), vectors, metric, k), batch.column(0))
             yield from _emit(best, query_ids, arrow_schema)
 
         return corpus.mapInArrow(score, schema)
@@ -173,40 +200,50 @@ def search_text(
 
     A query's repeated terms count once. Equal scores are ordered by id.
     """
-    documents = index.select("id", X.terms(F.col("text")).alias("terms"))
+    terms = X.terms(F.col("text"))
     asked = queries.select("query_id", F.array_distinct(X.terms(F.col("text"))).alias("terms"))
     size = asked.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
     schema = _top_k_schema(queries, index.schema["id"])
 
     def run(block: DataFrame) -> DataFrame:
-        pairs = block.select("query_id", F.explode("terms").alias("term"))
-        local = pairs.orderBy("query_id", "term").toArrow()
+        local = block.select("query_id", F.explode("terms").alias("term")).orderBy("query_id", "term").toArrow()
         query_column = local.column("query_id").combine_chunks().dictionary_encode()
         term_column = local.column("term").combine_chunks().cast(pa.string()).dictionary_encode()
         query_ids, vocabulary = query_column.dictionary, term_column.dictionary
-        found = _term_statistics(documents, pairs.select("term").distinct())
-        n_documents = np.array([found.get(t, (0, 0))[0] for t in vocabulary.to_pylist()], dtype=np.float64)
-        n_rows, n_terms = found.get("", (0, 0))
-        weights = np.zeros((len(vocabulary), len(query_ids)))
+        words = vocabulary.to_pylist()
+        # Only terms that the batch asks for leave the JVM, and only documents that have one.
+        hits = F.filter(terms, lambda t: t.isin(words)) if len(words) <= TERMS_IN_PLAN else terms
+        documents = index.select("id", F.coalesce(F.size(terms), F.lit(0)).alias("length"), F.coalesce(hits, F.array().cast("array<string>")).alias("hits"))
+        found = _term_statistics(documents)
+        n_rows, n_terms = found.pop("", (0, 0))
+        n_documents = np.array([found.get(t, (0, 0))[0] for t in words], dtype=np.float64)
         idf = np.log1p((n_rows - n_documents + 0.5) / (n_documents + 0.5))
-        term_index = term_column.indices.to_numpy()
-        weights[term_index, query_column.indices.to_numpy()] = idf[term_index]
+        # The queries of each term, term after term.
+        by_term = np.argsort(term_column.indices.to_numpy(), kind="stable")
+        askers = query_column.indices.to_numpy()[by_term]
+        n_askers = np.bincount(term_column.indices.to_numpy(), minlength=len(words))
+        first_asker = np.cumsum(n_askers) - n_askers
         mean_length = n_terms / n_rows if n_terms else 1.0
         arrow_schema = to_arrow_schema(schema)
-        rows_at_once = max(1, 4_000_000 // max(len(vocabulary), 1))
+        rows_at_once = max(1, SCORES_AT_ONCE // max(len(query_ids), 1))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = _Best(k)
             for batch in batches:
                 for start in range(0, batch.num_rows if len(query_ids) else 0, rows_at_once):
                     part = batch.slice(start, rows_at_once)
-                    counts, lengths = term_counts(part.column(1), vocabulary)
-                    norm = k1 * (1 - b + b * lengths / mean_length)
-                    scores = (counts * (k1 + 1) / (counts + norm[:, None])) @ weights
+                    row, term, count = term_counts(part.column(2), vocabulary)
+                    norm = k1 * (1 - b + b * part.column(1).to_numpy().astype(np.float64) / mean_length)
+                    weight = idf[term] * count * (k1 + 1) / (count + norm[row])
+                    repeats = n_askers[term]
+                    place = np.repeat(first_asker[term] - np.cumsum(repeats) + repeats, repeats) + np.arange(repeats.sum())
+                    cell = np.repeat(row, repeats) * len(query_ids) + askers[place]
+                    scores = np.bincount(cell, weights=np.repeat(weight, repeats), minlength=part.num_rows * len(query_ids))
+                    scores = scores.reshape(part.num_rows, len(query_ids))
                     best.offer(np.where(scores > 0, -scores, np.inf), part.column(0))
             yield from _emit(best, query_ids, arrow_schema)
 
-        return documents.mapInArrow(score, schema)
+        return documents.where(F.size("hits") > 0).mapInArrow(score, schema)
 
     blocks = max(-(-size["queries"] // limits.queries), -(-size["terms"] // limits.terms), 1)
     hits = _run_blocks(asked, size["queries"], max(1, -(-size["queries"] // blocks)), run)
@@ -214,34 +251,27 @@ def search_text(
     return ranked.select("query_id", "id", "rank", (-F.col("value")).alias("score"))
 
 
-def _term_statistics(documents: DataFrame, vocabulary: DataFrame) -> dict[str, tuple[int, int]]:
-    """Documents per term of the vocabulary; under "" the number of documents and of all terms.
+def _term_statistics(documents: DataFrame) -> dict[str, tuple[int, int]]:
+    """Documents per term of `documents(length, hits)`; under "" the number of documents and of all terms.
 
-    One corpus pass: every document adds an empty term that carries its length, and a task shuffles
-    at most one row per term.
+    One corpus pass, summed before the shuffle: a task hands on at most one row per term.
     """
-    spark = documents.sparkSession
-    wanted = vocabulary.unionByName(spark.range(1).select(F.lit("").alias("term")))
-    length = F.coalesce(F.size("terms"), F.lit(0))
-    entries = F.concat(F.coalesce(F.array_distinct("terms"), F.array().cast("array<string>")), F.array(F.lit("")))
+    entries = F.concat(F.array_distinct("hits"), F.array(F.lit("")))
     counted = (
-        documents.select(F.explode(entries).alias("term"), length.alias("length"))
-        .join(wanted, "term", "left_semi")
+        documents.select(F.explode(entries).alias("term"), "length")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
     )
     return {r["term"]: (r["n"], r["total"]) for r in counted.collect()}
 
 
-def term_counts(column: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Counts per row and vocabulary term, and the number of terms per row."""
-    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.float64)
+def term_counts(column: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term of the vocabulary, and count, for every pair that occurs."""
     row = pc.list_parent_indices(column).to_numpy()
     term = pc.index_in(column.flatten(), value_set=vocabulary)
     known = term.is_valid().to_numpy(zero_copy_only=False)
-    cell = row[known] * len(vocabulary) + term.drop_null().to_numpy()
-    counts = np.bincount(cell, minlength=len(column) * len(vocabulary)).reshape(len(column), len(vocabulary))
-    return counts.astype(np.float64), lengths
+    cell, count = np.unique(row[known] * len(vocabulary) + term.drop_null().to_numpy(), return_counts=True)
+    return cell // max(len(vocabulary), 1), cell % max(len(vocabulary), 1), count.astype(np.float64)
 
 
 def fuse(vector_hits: DataFrame, text_hits: DataFrame, k: int = 10, text_weight: float = 0.3) -> DataFrame:
