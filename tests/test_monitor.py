@@ -126,3 +126,22 @@ def test_training_curve_and_trend(spark):
     assert M.final_metrics(df, "run", ["ts"], "loss").first()["perplexity"] == pytest.approx(np.exp(1.0))
     trend = M.weekly_trend(df, "ts", "run").orderBy("week").collect()
     assert [(r["n"], r["change_pct"]) for r in trend] == [(2, None), (1, -50.0)]
+    later = df.union(spark.createDataFrame([("r", 9, dt.datetime(2024, 2, 1), 0.0)], df.schema))
+    gap = M.weekly_trend(later, "ts", "run").orderBy("week").collect()
+    assert [(r["n"], r["change_pct"]) for r in gap] == [(2, None), (1, -50.0), (1, None)]
+
+
+def test_confusion_matrix_counts_every_row(spark):
+    df = spark.createDataFrame([(0, 0), (0, 2), (1, 1), (1, None), (None, 1)], "label int, prediction int")
+    got = {r["label"]: (r["0"], r["1"], r["other"]) for r in M.confusion_matrix(df, "label", "prediction", [0, 1]).collect()}
+    assert got == {0: (1, 0, 1), 1: (0, 1, 1), None: (0, 1, 0)}
+
+
+def test_resolutions_of_one_alert(spark):
+    alerts = spark.createDataFrame([(1, "open"), (2, "open"), (3, "open")], "id int, status string")
+    at = dt.datetime(2024, 1, 1)
+    done = spark.createDataFrame([(1, "late", at + dt.timedelta(hours=1)), (1, "early", at), (2, "x", None), (9, "y", at)],
+                                 "id int, resolved_by string, resolved_at timestamp_ntz")
+    got = {r["id"]: (r["status"], r["resolved_by"]) for r in M.resolve_alerts(alerts, done).collect()}
+    assert got == {1: ("resolved", "early"), 2: ("open", None), 3: ("open", None)}
+    assert M.resolve_alerts(alerts, done).count() == 3

@@ -38,11 +38,40 @@ def test_lineage(spark, name):
     assert got == brute_lineage(TREES[name])
 
 
-def test_lineage_depth_cap_and_single_look_up(spark):
-    df = edges(spark, TREES["deep"])
-    assert R.lineage(df, max_depth=5).agg(F.max("depth")).first()[0] == 5
-    assert {(r["ancestor_id"], r["depth"]) for r in R.lineage_of(df, 4).collect()} == {(3, 1), (2, 2), (1, 3), (0, 4)}
-    assert {r["ancestor_id"] for r in R.lineage_of(edges(spark, TREES["cycle of two"]), 4, 10).collect()} == {1, 2, 3}
+def test_lineage_depth_cap(spark):
+    assert R.lineage(edges(spark, TREES["deep"]), max_depth=5).agg(F.max("depth")).first()[0] == 5
+
+
+@pytest.mark.parametrize("name", list(TREES))
+def test_lineage_of_wanted_ids(spark, name):
+    some = [i for i, _ in TREES[name]][::3]
+    wanted = spark.createDataFrame([(i,) for i in [*some, *some[:1], 10**6]], "id long")
+    got = R.lineage_of(edges(spark, TREES[name]), wanted).select("id", "ancestor_id", "depth").collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {r for r in brute_lineage(TREES[name]) if r[0] in some}
+
+
+def test_lineage_has_no_depth_limit(spark):
+    chain = [(i, i - 1 if i else None) for i in range(131)]
+    got = R.lineage_of(edges(spark, chain), spark.createDataFrame([(130,)], "id long"))
+    assert {(r["ancestor_id"], r["depth"]) for r in got.collect()} == {(i, 130 - i) for i in range(130)}
+
+
+def test_update_with_repeated_unknown_and_null_keys(spark):
+    table = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (None, "c", 7)], "id int, name string, n int")
+    changes = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (1, "older", 0), (9, "q", 1), (None, "z", 1)], "id int, name string, seen int")
+    got = sorted((tuple(r) for r in R.update(table, changes, ["id"], ["seen"]).collect()), key=repr)
+    assert got == sorted([(1, "new", 5), (2, "b", 6), (None, "c", 7)], key=repr)
+    twice = spark.createDataFrame([(2, "x"), (2, "y")], "id int, name string")
+    assert sorted(r["name"] for r in R.update(table, twice, ["id"]).collect()) == ["a", "c", "y"]
+
+
+def test_text_search_of_artifacts(spark):
+    rows = [(1, "tiny model", "for tests", ["nlp"], "model", "staging", 1), (2, "big model", None, ["vision"], "model", "prod", 2),
+            (3, "report", "on a tiny model", [], "doc", "prod", 3)]
+    df = spark.createDataFrame(rows, "id long, name string, description string, tags array<string>, type string, governance_status string, created_at int")
+    assert [r["id"] for r in R.search_artifacts(df, text="tiny nlp").collect()] == [1, 3]
+    assert [r["id"] for r in R.search_artifacts(df, artifact_type="doc", text="tiny").collect()] == [3]
+    assert R.search_artifacts(df, text="absent").isEmpty()
 
 
 def test_upsert_update_delete(spark):

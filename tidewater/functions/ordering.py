@@ -3,18 +3,27 @@
 A window over a key alone puts every row of a hot key into one task. Here the key is cut into
 slices (a day, a range of ids): rows are ordered inside a slice, and one summary row per slice
 carries the state across slice borders. Only the summary rows are ordered per key.
-The slice must be a non-decreasing function of the first ordering column, and keys must not be null.
+The slice must be a non-decreasing function of the first ordering column. Null keys are a key like any other, and a null
+ordering value comes first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _same_key(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their key's summary row, null keys included."""
+    renamed = summary.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return rows.join(renamed, reduce(lambda a, b: a & b, same), "left").drop(*[f"_right_{k}" for k in keys])
+
+
 def previous_row(
     df: DataFrame,
     keys: Sequence[str],
@@ -37,7 +46,7 @@ def previous_row(
     )
     inside = W.partitionBy(*keys, "_slice").orderBy(*order)
     return (
-        sliced.join(edges, [*keys, "_slice"], "left")
+        _same_key(sliced, edges, [*keys, "_slice"])
         .withColumn(name, F.coalesce(step(picked).over(inside), F.col("_edge")))
         .drop("_slice", "_edge")
     )
@@ -62,7 +71,7 @@ def running_sum(
     )
     inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        sliced.join(offsets, [*keys, "_slice"], "left")
+        _same_key(sliced, offsets, [*keys, "_slice"])
         .withColumn(name, F.col("_offset") + F.sum("_value").over(inside))
         .drop("_slice", "_offset", "_value")
     )
@@ -87,7 +96,7 @@ def last_known(
     )
     inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        sliced.join(edges, [*keys, "_slice"], "left")
+        _same_key(sliced, edges, [*keys, "_slice"])
         .withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_edge")))
         .drop("_slice", "_edge", "_value")
     )

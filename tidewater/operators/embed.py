@@ -106,10 +106,15 @@ def add_documents(rows: DataFrame, path: str) -> None:
 
 
 def update_documents(
-    index: DataFrame, updates: DataFrame, embedder: Callable[[], Embedder] = hashed_words
+    index: DataFrame, updates: DataFrame, embedder: Callable[[], Embedder] = hashed_words, order: str | None = None
 ) -> DataFrame:
-    """Index rows with new texts by id (one update per id); only changed texts are embedded again."""
-    changes = embed(updates.select("id", "text"), embedder=embedder).select(
+    """Index rows with new texts by id; only changed texts are embedded again.
+
+    Of several updates of an id the one with the largest `order` counts, or without that the largest text.
+    """
+    position = F.struct(*([order] if order else []), "text")
+    single = updates.groupBy("id").agg(F.max_by("text", position).alias("text"))
+    changes = embed(single, embedder=embedder).select(
         "id", F.col("text").alias("_text"), F.col("vector").alias("_vector")
     )
     others = [c for c in index.columns if c not in ("id", "text", "vector")]

@@ -184,8 +184,13 @@ def open_alerts(df: DataFrame, skip: int = 0, limit: int = 100, key: str = "id")
 
 
 def resolve_alerts(df: DataFrame, resolutions: DataFrame, key: str = "id") -> DataFrame:
-    """Set status, resolver and time on the alerts named in `resolutions(id, resolved_by, resolved_at)`."""
-    done = resolutions.select(key, F.col("resolved_by").alias("_by"), F.col("resolved_at").alias("_at"))
+    """Set status, resolver and time on the alerts named in `resolutions(id, resolved_by, resolved_at)`.
+
+    Of several resolutions of one alert the earliest counts; a resolution without a time resolves nothing.
+    """
+    first = F.min(F.struct("resolved_at", "resolved_by"))
+    done = resolutions.where("resolved_at IS NOT NULL").groupBy(key).agg(first.alias("_first"))
+    done = done.select(key, F.col("_first.resolved_by").alias("_by"), F.col("_first.resolved_at").alias("_at"))
     return df.join(done, key, "left").select(
         *[c for c in df.columns if c not in ("status", "resolved_by", "resolved_at")],
         F.when(F.col("_at").isNotNull(), "resolved").otherwise(F.col("status")).alias("status"),
@@ -221,9 +226,14 @@ def classification_metrics(df: DataFrame, label: str, prediction: str, by: Seque
     )
 
 
-def confusion_matrix(df: DataFrame, label: str, prediction: str, values: Sequence) -> DataFrame:
-    """Counts per label (rows) and predicted value (columns)."""
-    return df.groupBy(label).pivot(prediction, list(values)).count().na.fill(0)
+def confusion_matrix(df: DataFrame, label: str, prediction: str, values: Sequence, other: str = "other") -> DataFrame:
+    """Counts per label (rows) and predicted value (columns); other and missing predictions count under `other`.
+
+    The counts of a table add up to its rows.
+    """
+    known = F.col(prediction).isin(list(values))
+    counts = [F.count_if(F.col(prediction) == F.lit(v)).alias(str(v)) for v in values]
+    return df.groupBy(label).agg(*counts, F.count_if(~F.coalesce(known, F.lit(False))).alias(other))
 
 
 def training_curve(
@@ -254,11 +264,13 @@ def latest_status_counts(
 
 
 def weekly_trend(df: DataFrame, ts: str, by: str) -> DataFrame:
-    """Rows per week and group with the change in percent from the week listed before."""
+    """Rows per week and group with the change in percent from the week before; null if that week has no row."""
     weeks = df.groupBy(by, F.date_trunc("week", F.col(ts)).cast("timestamp_ntz").alias("week")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    before = F.lag("n").over(W.partitionBy(by).orderBy("week"))
+    ordered = W.partitionBy(by).orderBy("week")
+    adjacent = F.lag("week").over(ordered) == F.col("week") - F.expr("INTERVAL 7 DAYS")
+    before = F.when(adjacent, F.lag("n").over(ordered))
     return weeks.withColumn("change_pct", F.try_divide(F.col("n") - before, before) * 100)
 
 

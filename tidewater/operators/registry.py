@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.ordering import top_per_group
+from tidewater.operators.embed import artifact_search_text
+from tidewater.operators.search import search_text
 from tidewater.session import checkpointed
 
 # State of an external run -> state of the job.
@@ -49,9 +51,25 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order:
     return existing.join(newest.select(*keys), list(keys), "left_anti").unionByName(newest, allowMissingColumns=True)
 
 
-def update(df: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Set the columns the change set has, for the keys it names (one change per key)."""
+def one_per_key(changes: DataFrame, keys: Sequence[str], order: Sequence[Column | str] = ()) -> DataFrame:
+    """The last change of each key by `order`; without an order, or among equals, the largest by all other columns."""
     named = [c for c in changes.columns if c not in keys]
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    position = F.struct(*by, *[F.col(c) for c in named]) if by or named else F.lit(0)
+    last = F.max_by(F.struct(*named), position) if named else F.lit(None)
+    picked = changes.groupBy(*keys).agg(last.alias("_last"))
+    return picked.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in named])
+
+
+def update(
+    df: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[Column | str] = ()
+) -> DataFrame:
+    """Set the columns the change set has, for the keys it names; of several changes of a key the last by `order` counts.
+
+    Columns used only to order changes are not set. Rows and changes with a null key stay apart.
+    """
+    changes = one_per_key(changes, keys, order)
+    named = [c for c in changes.columns if c not in keys and c in df.columns]
     marked = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in named], F.lit(True).alias("_changed"))
     joined = df.join(marked, list(keys), "left")
     columns = [
@@ -153,11 +171,22 @@ def search_artifacts(
     status: str | None = None,
     tags: Sequence[str] | None = None,
     limit: int = 10,
+    text: str | None = None,
 ) -> DataFrame:
-    """Artifacts by type, status and any of the tags, newest first."""
+    """Artifacts by type, status and any of the tags, newest first.
+
+    With `text` the artifacts whose name, description or tags hold its terms come best match first (BM25, `score`), and
+    those that hold none are left out. The filters come first.
+    """
     out = filtered(df, type=artifact_type, governance_status=status)
     if tags:
         out = out.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])))
+    if text is not None:
+        described = F.col("description") if "description" in df.columns else F.lit(None).cast("string")
+        index = out.select("id", artifact_search_text(F.col("name"), described, F.col("tags")).alias("text"))
+        asked = df.sparkSession.createDataFrame([(0, text)], "query_id int, text string")
+        hits = search_text(index, asked, limit).select("id", "score", "rank")
+        return out.join(hits, "id").orderBy("rank").drop("rank")
     return out.orderBy(F.desc("created_at"), F.col("id")).limit(limit)
 
 
@@ -244,20 +273,32 @@ def _shortest(pairs: DataFrame) -> DataFrame:
     return shortest.where(F.col("id") != F.col("ancestor_id"))
 
 
-def lineage_of(edges: DataFrame, artifact_id, max_depth: int = 100) -> DataFrame:
-    """Ancestors of one artifact by a recursive query, for a look-up in a small tree."""
-    view = f"lineage_edges_{abs(hash((id(edges), artifact_id)))}"
-    edges.createOrReplaceTempView(view)
-    try:
-        return edges.sparkSession.sql(
-            f"""WITH RECURSIVE up(ancestor_id, depth) AS (
-                  SELECT parent_id, 1 FROM {view} WHERE id = :id AND parent_id <> id
-                  UNION ALL
-                  SELECT e.parent_id, up.depth + 1 FROM up JOIN {view} e ON e.id = up.ancestor_id
-                  WHERE e.parent_id <> e.id AND up.depth < :cap)
-                SELECT :id AS id, ancestor_id, min(depth) AS depth FROM up
-                WHERE ancestor_id <> :id AND ancestor_id IN (SELECT id FROM {view}) GROUP BY ancestor_id""",
-            args={"id": artifact_id, "cap": max_depth},
+def lineage_of(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Ancestors of the artifacts of `wanted(id)` in `edges(id, parent_id)`: id, ancestor_id, depth; no depth limit.
+
+    Each round knows the ancestors up to a depth for the wanted ids, and a jump of that length for every artifact; both
+    double, so a line of depth d takes log2(d) rounds. Only the wanted ids' pairs are kept. Equal to `lineage` on the
+    same ids, cycles and unlisted parents included.
+    """
+    known = edges.select(F.col("id").alias("to")).distinct()
+    jump = checkpointed(
+        edges.where(F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("id")))
+        .select(F.col("id").alias("from"), F.col("parent_id").alias("to"))
+        .join(known, "to", "left_semi")
+        .distinct()
+    )
+    # Each wanted artifact is its own ancestor at depth 0, from where the first jump starts.
+    found = checkpointed(wanted.select("id").distinct().select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("depth")))
+    length = 1
+    while True:
+        reached = found.join(jump, found["ancestor_id"] == jump["from"]).select(
+            "id", F.col("to").alias("ancestor_id"), (F.col("depth") + length).alias("depth")
         )
-    finally:
-        edges.sparkSession.catalog.dropTempView(view)
+        new = reached.groupBy("id", "ancestor_id").agg(F.min("depth").alias("depth"))
+        new = checkpointed(new.join(found.select("id", "ancestor_id"), ["id", "ancestor_id"], "left_anti"))
+        if new.isEmpty():
+            return found.where("depth > 0")
+        found = checkpointed(found.unionByName(new.select(*found.columns)))
+        further = jump.select(F.col("from").alias("to"), F.col("to").alias("_to"))
+        jump = checkpointed(jump.join(further, "to").select("from", F.col("_to").alias("to")).distinct())
+        length *= 2

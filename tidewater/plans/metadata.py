@@ -333,3 +333,30 @@ def part_tree(spark: SparkSession, folder: str) -> DataFrame:
 )
 def lineage(spark: SparkSession, folder: str) -> DataFrame:
     return R.lineage(part_tree(spark, folder))
+
+
+@query(
+    "lineage_of_used_parts",
+    """WITH RECURSIVE up AS (
+      SELECT DISTINCT l_partkey AS id, l_partkey // 2 AS ancestor_id, 1 AS depth FROM lineitem WHERE l_partkey > 0
+      UNION ALL SELECT id, ancestor_id // 2, depth + 1 FROM up WHERE ancestor_id > 0)
+    SELECT id, ancestor_id, depth FROM up""",
+)
+def lineage_of_used_parts(spark: SparkSession, folder: str) -> DataFrame:
+    used = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("id"))
+    return R.lineage_of(part_tree(spark, folder), used)
+
+
+@query(
+    "update_with_repeated_keys",
+    f"""WITH {JOBS_SQL}, changes AS (SELECT l_orderkey AS id, l_returnflag AS status, l_shipdate AS seen_at, l_linenumber AS line FROM lineitem),
+    last AS (SELECT id, arg_max(status, (seen_at, line, status)) AS status FROM changes GROUP BY id)
+    SELECT jobs.id, coalesce(last.status, jobs.status) AS status, created_at FROM jobs LEFT JOIN last USING (id)""",
+)
+def update_with_repeated_keys(spark: SparkSession, folder: str) -> DataFrame:
+    changes = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("status"), F.col("l_shipdate").alias("seen_at"),
+        F.col("l_linenumber").alias("line"),
+    )
+    rows = jobs(spark, folder).select("id", "status", "created_at")
+    return R.update(rows, changes, ["id"], ["seen_at", "line"])

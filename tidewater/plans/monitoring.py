@@ -210,7 +210,8 @@ def classification_metrics(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "confusion_matrix",
     f"""WITH {PREDICTED_SQL} SELECT toxic, count(*) FILTER (WHERE prediction = 0) AS predicted_0,
-      count(*) FILTER (WHERE prediction = 1) AS predicted_1 FROM predicted GROUP BY toxic""",
+      count(*) FILTER (WHERE prediction = 1) AS predicted_1, count(*) FILTER (WHERE prediction NOT IN (0, 1) OR prediction IS NULL) AS other
+    FROM predicted GROUP BY toxic""",
 )
 def confusion_matrix(spark: SparkSession, folder: str) -> DataFrame:
     out = M.confusion_matrix(predicted(spark, folder), "toxic", "prediction", [0, 1])
@@ -258,7 +259,8 @@ def dashboard_status_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "weekly_trend",
     """WITH w AS (SELECT event_type, date_trunc('week', ts)::TIMESTAMP AS week, count(*) AS n FROM events GROUP BY ALL)
-    SELECT *, round((n - lag(n) OVER p) / lag(n) OVER p * 100, 6) AS change_pct FROM w WINDOW p AS (PARTITION BY event_type ORDER BY week)""",
+    SELECT *, CASE WHEN lag(week) OVER p = week - INTERVAL 7 DAY THEN round((n - lag(n) OVER p) / lag(n) OVER p * 100, 6) END AS change_pct
+    FROM w WINDOW p AS (PARTITION BY event_type ORDER BY week)""",
 )
 def weekly_trend(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(M.weekly_trend(events(spark, folder), "ts", "event_type"), change_pct=6)
