@@ -105,11 +105,24 @@ def test_dataset_ids_are_unique_and_stable(spark):
     df = spark.createDataFrame(list(enumerate(names)), "n long, name string")
     one = {r["n"]: r["dataset_id"] for r in C.build_dataset_ids(df, "name", "n", rows_per_slice=2).collect()}
     assert len(set(one.values())) == len(names)
-    assert one[0] == "a-b" and one[1] == "a-b-2" and one[2] == "dataset" and one[5] == "dataset-2"
+    assert one == {0: "a-b", 1: "a-b-3", 2: "dataset", 3: "a-b-4", 4: "a-b-2", 5: "dataset-2"}
     many = {r["n"]: r["dataset_id"] for r in C.build_dataset_ids(df.repartition(16), "name", "n").collect()}
     assert one == many
 
 
+def test_dataset_ids_skip_what_is_taken(spark):
+    def ids(names, taken=()):
+        df = spark.createDataFrame(list(enumerate(names)), "n long, name string")
+        held = spark.createDataFrame([(t,) for t in taken], "dataset_id string") if taken else None
+        return [r["dataset_id"] for r in C.build_dataset_ids(df, "name", "n", taken=held).orderBy("n").collect()]
+
+    assert ids(["a", "a-2", "a"]) == ["a", "a-2", "a-3"]
+    assert ids(["a"], ["a"]) == ["a-2"]
+    assert ids(["a"], ["a", "a-2", "a-4"]) == ["a-3"]
+    assert ids(["a", "a"], ["a", "a-2", "a-4"]) == ["a-3", "a-5"]
+    assert ids(["a-2", "a", "a"], ["a-2"]) == ["a-2-2", "a", "a-3"]
+
+
 def test_directory_names(spark):
     df = spark.createDataFrame([("org/set",)], "a string").select(X.safe_dir_name(F.col("a")).alias("d"), "a")
     assert df.select("d", X.from_safe_dir_name(F.col("d")).alias("back")).first() == ("org--set", "org/set")

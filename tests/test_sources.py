@@ -15,7 +15,7 @@ def test_read_by_suffix(spark, tmp_path, suffix):
     path = tmp_path / f"data.{suffix}"
     {"csv": lambda: frame.to_csv(path, index=False), "json": lambda: frame.to_json(path, orient="records"),
      "jsonl": lambda: frame.to_json(path, orient="records", lines=True), "parquet": lambda: frame.to_parquet(path)}[suffix]()
-    got = files.read_file(spark, str(path)).orderBy("n").select("text", "n").collect()
+    got = files.read_file(spark, str(path), multi_line=True if suffix == "csv" else None).orderBy("n").select("text", "n").collect()
     assert [(r["text"], r["n"]) for r in got] == list(frame.itertuples(index=False, name=None))
 
 
@@ -102,6 +102,13 @@ def test_catalog(spark, tmp_path):
     assert len(row) == 1 and (row[0]["num_rows"], row[0]["columns"]) == (5, ["id"])
     with pytest.raises(ValueError):
         catalog.register(spark.range(1), root, "x", days(1), colour="red")
+    assert catalog.update_quality(spark, root, "org/set", days(3), "passed", 91.5)
+    assert not catalog.update_quality(spark, root, "absent", days(3), "passed", 1.0)
+    row = catalog.read_catalog(spark, root).first()
+    assert (row["quality_status"], row["quality_score"], row["num_rows"], row["columns"]) == ("passed", 91.5, 5, ["id"])
+    assert catalog.delete_dataset(spark, root, "org/set", days(4)) and not catalog.delete_dataset(spark, root, "org/set", days(5))
+    assert catalog.read_catalog(spark, root).isEmpty() and catalog.read_catalog(spark, root, deleted=True).count() == 1
+    assert catalog.describe_datasets(spark, {}).isEmpty()
     described = catalog.describe_datasets(spark, {"org/set": path, "org--set": path}).collect()
     assert len(described) == 1 and described[0]["splits"] == ["train"] and described[0]["size_mb"] > 0
 
@@ -148,13 +155,24 @@ def test_ingest_publishes_or_rejects(spark, tmp_path):
     report = json.loads(spark.read.text(done.report_path).first()["value"])
     assert report["total_rows"] == 20 and report["timestamp"] == days(1)
 
+    again = I.ingest_file(spark, str(good), root, days(1), name="Good Set")
+    assert again.dataset_id == "good-set-2" and again.path != done.path
+    assert spark.read.parquet(done.path).count() == spark.read.parquet(again.path).count() == 20
+
     repeated = spark.createDataFrame([("same", "positive")] * 5, "text string, label string")
     failed = I.ingest(repeated, root, "bad", days(2), C.SENTIMENT.with_overrides(drop_duplicates=False))
     assert not failed.quality_passed and failed.path is None
     assert {i["type"] for i in failed.issues} == {"uniqueness", "consistency"}
-    assert [r["dataset_id"] for r in catalog.read_catalog(spark, root).collect()] == ["good-set"]
+    assert sorted(r["dataset_id"] for r in catalog.read_catalog(spark, root).collect()) == ["good-set", "good-set-2"]
     log = {r["dataset_id"]: r["status"] for r in catalog.read_validations(spark, root).collect()}
-    assert log == {"good-set": "passed", "bad": "failed"}
+    assert log == {"good-set": "passed", "good-set-2": "passed", "bad": "failed"}
+
+
+def test_csv_line_breaks_are_an_option(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    path.write_text('text,label\n"one\ntwo",a\n')
+    assert files.read_file(spark, str(path), multi_line=True).first()["text"] == "one\ntwo"
+    assert files.read_file(spark, str(path)).count() == 2
 
 
 def test_append_records(spark, tmp_path):

@@ -26,10 +26,14 @@ def terms(col: Column) -> Column:
     return F.array_remove(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), "")
 
 
+# The characters an id may not have, what stands for a run of them, and the id of a name without any other.
+UNSAFE, SAFE, NAMELESS = r"[^a-zA-Z0-9_-]+", "-", "dataset"
+
+
 def slug(col: Column) -> Column:
     """Id-safe form of a name; a name without any safe character becomes `dataset`."""
-    cleaned = F.btrim(F.regexp_replace(F.lower(col), r"[^a-zA-Z0-9_-]+", "-"), F.lit("-"))
-    return F.when(F.length(cleaned) > 0, cleaned).otherwise(F.lit("dataset"))
+    cleaned = F.btrim(F.regexp_replace(F.lower(col), UNSAFE, SAFE), F.lit(SAFE))
+    return F.when(F.length(cleaned) > 0, cleaned).otherwise(F.lit(NAMELESS))
 
 
 def safe_dir_name(col: Column) -> Column:

@@ -168,22 +168,36 @@ def clean(df: DataFrame, config: CleanConfig = SENTIMENT, keep: tuple[str, ...]
     return out
 
 
-def build_dataset_ids(df: DataFrame, name: str, order: str, rows_per_slice: int = 100_000) -> DataFrame:
-    """Slug ids for a batch of names; later rows of a taken slug get `-2`, `-3`, … in `order`.
+def build_dataset_ids(
+    df: DataFrame, name: str, order: str, rows_per_slice: int = 100_000, taken: DataFrame | None = None
+) -> DataFrame:
+    """Slug ids for a batch of names: later rows of a slug, in `order`, get the smallest free `-2`, `-3`, ….
 
-    Numbering runs over slices of `order` (a dense integer), so a slug shared by a third of all
-    rows is numbered by many tasks. A suffix that lands on another slug is numbered again.
+    An id is free if `taken(dataset_id)` does not hold it and no name of the batch has it as its slug: that belongs to
+    the first row of that name. Numbering runs over slices of `order` (a dense integer), so a slug shared by a third of
+    all rows is numbered by many tasks.
     """
-    out = df.withColumn("dataset_id", X.slug(F.col(name)))
+    slugs = df.withColumn("_slug", X.slug(F.col(name)))
     slices = F.floor(F.col(order) / F.lit(rows_per_slice))
-    while True:
-        out = running_sum(out, ["dataset_id"], [order], slices, F.lit(1), "_n")
-        out = out.withColumn(
-            "dataset_id",
-            F.when(F.col("_n") > 1, F.concat_ws("-", "dataset_id", F.col("_n").cast("string"))).otherwise(
-                F.col("dataset_id")
-            ),
-        ).drop("_n")
-        taken_twice = out.groupBy("dataset_id").count().where("count > 1")
-        if taken_twice.isEmpty():
-            return out
+    ranked = running_sum(slugs, ["_slug"], [order], slices, F.lit(1), "_n")
+    owned = slugs.select(F.col("_slug").alias("dataset_id"), F.lit(False).alias("taken")).distinct()
+    if taken is not None:
+        held = taken.select("dataset_id", F.lit(True).alias("taken")).distinct()
+        owned = owned.unionByName(held).groupBy("dataset_id").agg(F.bool_or("taken").alias("taken"))
+    numbered = F.regexp_extract("dataset_id", r"^(.+)-([1-9][0-9]{0,8})$", 2)
+    stem = F.regexp_extract("dataset_id", r"^(.+)-([1-9][0-9]{0,8})$", 1)
+    in_use = (
+        owned.select(stem.alias("_slug"), numbered.alias("_number"))
+        .where("_number <> '' AND _number <> '1'")
+        .groupBy("_slug")
+        .agg(F.array_sort(F.collect_set(F.col("_number").cast("long"))).alias("_in_use"))
+    )
+    first_taken = owned.where("taken").select(F.col("dataset_id").alias("_slug"), F.lit(1).alias("_shift"))
+    known = ranked.join(in_use, "_slug", "left").join(first_taken, "_slug", "left")
+    # The k-th row wants number k; each number in use that is not above it moves it up by one.
+    rank = (F.col("_n") + F.coalesce("_shift", F.lit(0))).cast("long")
+    number = F.aggregate(
+        F.coalesce("_in_use", F.array().cast("array<bigint>")), rank, lambda n, used: F.when(used <= n, n + 1).otherwise(n)
+    )
+    identity = F.when(rank == 1, F.col("_slug")).otherwise(F.concat_ws("-", "_slug", number.cast("string")))
+    return known.withColumn("dataset_id", identity).drop("_slug", "_n", "_in_use", "_shift")

@@ -31,9 +31,13 @@ class IngestResult:
     issues: list[dict]
 
 
-def dataset_id(name: str) -> str:
-    """Slug of one name. `build_dataset_ids` does the same for a table of names."""
-    return re.sub(r"[^a-zA-Z0-9_-]+", "-", name.lower()).strip("-") or "dataset"
+def dataset_id(spark: SparkSession, root: str, name: str) -> str:
+    """The id a new upload of this name gets: its slug, or the next free number of it."""
+    known = catalog.read_catalog(spark, root).select("dataset_id").unionByName(
+        catalog.read_validations(spark, root).select("dataset_id")
+    )
+    named = spark.createDataFrame([(0, name)], "n long, name string")
+    return C.build_dataset_ids(named, "name", "n", taken=known).first()["dataset_id"]
 
 
 def ingest(
@@ -47,10 +51,11 @@ def ingest(
     """Clean a table, profile the result, and publish it if the gate opens.
 
     The cleaned table is written once; the profile reads it back, so a lost executor costs a re-read
-    and never a second cleaning run. Publishing is a catalog row that points at what was written.
+    and never a second cleaning run. Publishing is a catalog row that points at what was written. A name that was
+    uploaded before, passed or not, gets the next free number, and both stay readable.
     """
     spark = source.sparkSession
-    identity = dataset_id(name)
+    identity = dataset_id(spark, root, name)
     if split is not None:
         source = choose_split(source, split)
     staged = f"{root}/staged/{identity}/{re.sub(r'[^0-9]', '', timestamp)}"
@@ -81,10 +86,17 @@ def ingest(
 
 
 def ingest_file(
-    spark: SparkSession, file_path: str, root: str, timestamp: str, name: str | None = None, **options
+    spark: SparkSession,
+    file_path: str,
+    root: str,
+    timestamp: str,
+    name: str | None = None,
+    multi_line: bool | None = None,
+    **options,
 ) -> IngestResult:
     """`ingest` for a csv, json, jsonl or parquet file; the name defaults to the file's."""
-    return ingest(read_file(spark, file_path), root, name or file_path.rsplit("/", 1)[-1], timestamp, **options)
+    source = read_file(spark, file_path, multi_line=multi_line)
+    return ingest(source, root, name or file_path.rsplit("/", 1)[-1], timestamp, **options)
 
 
 @query(

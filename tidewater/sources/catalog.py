@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +15,10 @@ from tidewater.sources.files import list_files, read_file
 CATALOG_SCHEMA = (
     "dataset_id string, name string, path string, num_rows long, columns array<string>, text_column string, "
     "label_column string, source_file string, quality_status string, quality_score double, report_path string, "
-    "registered_at timestamp_ntz"
+    "registered_at timestamp_ntz, deleted boolean"
+)
+DESCRIPTION_SCHEMA = (
+    "dataset_id string, path string, num_rows long, num_columns int, columns array<string>, size_mb double, splits array<string>"
 )
 VALIDATION_SCHEMA = (
     "dataset_id string, dataset_name string, status string, quality_score double, report_path string, "
@@ -28,13 +31,42 @@ def safe_name(dataset_id: str) -> str:
     return dataset_id.replace("/", "--")
 
 
-def read_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """One row per dataset: its newest registration. Columns an older row lacks are null."""
-    try:
-        rows = spark.read.schema(CATALOG_SCHEMA).parquet(f"{root}/catalog")
-    except AnalysisException:
+def read_catalog(spark: SparkSession, root: str, deleted: bool = False) -> DataFrame:
+    """One row per dataset, its newest; deleted ones only on request. Columns an older row lacks are null."""
+    if not path_exists(spark, f"{root}/catalog"):
         return spark.createDataFrame([], CATALOG_SCHEMA)
-    return top_per_group(rows, ["dataset_id"], [F.desc("registered_at"), F.col("path")], 1, "_n").drop("_n")
+    rows = spark.read.schema(CATALOG_SCHEMA).parquet(f"{root}/catalog")
+    newest = top_per_group(rows, ["dataset_id"], [F.desc("registered_at"), F.desc("deleted"), F.col("path")], 1, "_n").drop("_n")
+    return newest if deleted else newest.where("deleted IS NOT TRUE")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, on any store that Spark reads."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(name)
+
+
+def delete_dataset(spark: SparkSession, root: str, dataset_id: str, deleted_at: str) -> bool:
+    """Take a dataset out of the catalog; its files stay for a clean-up. False if it was not there."""
+    return _change(spark, root, dataset_id, registered_at=deleted_at, deleted=True)
+
+
+def update_quality(
+    spark: SparkSession, root: str, dataset_id: str, updated_at: str, status: str, score: float, report_path: str | None = None
+) -> bool:
+    """Set the quality of a catalogued dataset; False if it is not there."""
+    changes = {"quality_status": status, "quality_score": score, "registered_at": updated_at}
+    return _change(spark, root, dataset_id, **changes, **({"report_path": report_path} if report_path else {}))
+
+
+def _change(spark: SparkSession, root: str, dataset_id: str, **changes) -> bool:
+    """Append the dataset's newest row with changes."""
+    row = read_catalog(spark, root).where(F.col("dataset_id") == F.lit(dataset_id)).first()
+    if row is None:
+        return False
+    values = {k: v for k, v in row.asDict().items() if k != "columns"} | changes
+    _append(spark, f"{root}/catalog", CATALOG_SCHEMA, values, {"columns": row["columns"] or []})
+    return True
 
 
 def register(
@@ -89,6 +121,8 @@ def append_records(df: DataFrame, path: str) -> None:
 
 
 def read_validations(spark: SparkSession, root: str) -> DataFrame:
+    if not path_exists(spark, f"{root}/validations"):
+        return spark.createDataFrame([], VALIDATION_SCHEMA)
     return spark.read.schema(VALIDATION_SCHEMA).parquet(f"{root}/validations")
 
 
@@ -107,7 +141,8 @@ def _append(spark: SparkSession, path: str, schema: str, values: Mapping, lists:
 def describe_datasets(spark: SparkSession, datasets: Mapping[str, str], split: str = "split") -> DataFrame:
     """Rows, columns, size and splits of the Parquet datasets `{id: path}`.
 
-    Ids that differ in case or `/` against `--` name one dataset: the first listed wins.
+    Ids that differ in case or `/` against `--` name one dataset: the first listed wins. For a survey of some datasets;
+    a whole catalog has its row counts in `read_catalog`, without a scan.
     """
     parts, seen = [], set()
     for dataset_id, path in datasets.items():
@@ -125,7 +160,6 @@ def describe_datasets(spark: SparkSession, datasets: Mapping[str, str], split: s
                 (size.scalar() / 1024**2).alias("size_mb"), "splits",
             )
         )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    if not parts:
+        return spark.createDataFrame([], DESCRIPTION_SCHEMA)
+    return reduce(DataFrame.unionByName, parts)

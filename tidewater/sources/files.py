@@ -11,18 +11,21 @@ from pyspark.sql import types as T
 from tidewater.operators.governance import AUDIT_SCHEMA
 
 
-def read_file(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_file(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool | None = None
+) -> DataFrame:
     """Read csv, json, jsonl or parquet by suffix; any other suffix is an error.
 
-    Without a schema, csv and json are scanned once more to infer it.
+    Without a schema, csv and json are scanned once more to infer it. With `multi_line` a csv value may hold line
+    breaks and a json file is one document, and each file is one task; without it a large file is split. Default: csv
+    by lines, json as one document.
     """
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
     reader = spark.read if schema is None else spark.read.schema(schema)
     if suffix == ".csv":
-        # Quoted line breaks belong to the value.
-        return reader.csv(path, header=True, inferSchema=schema is None, multiLine=True, escape='"')
+        return reader.csv(path, header=True, inferSchema=schema is None, multiLine=bool(multi_line), escape='"')
     if suffix == ".json":
-        return reader.json(path, multiLine=True)
+        return reader.json(path, multiLine=multi_line is not False)
     if suffix == ".jsonl":
         return reader.json(path)
     if suffix == ".parquet":
