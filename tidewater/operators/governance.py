@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,43 +143,61 @@ def query_audit(
 
 def encrypt_columns(df: DataFrame, columns: Sequence[str], key: str | bytes, key_id: str | None = None) -> DataFrame:
     """Replace columns by their AES-GCM form (binary); null stays null, equal values differ."""
-    out = df.withColumns({c: F.aes_encrypt(F.col(c).cast("string"), _key(key)) for c in columns})
+    secret = _key(df.sparkSession, key)
+    out = df.withColumns({c: F.aes_encrypt(F.col(c).cast("string"), secret) for c in columns})
     return out if key_id is None else out.withColumn("key_id", F.lit(key_id))
 
 
 def decrypt_columns(df: DataFrame, columns: Sequence[str], key: str | bytes) -> DataFrame:
     """Decrypt to text; a value the key does not open becomes null."""
-    return df.withColumns({c: F.try_aes_decrypt(F.col(c), _key(key)).cast("string") for c in columns})
+    secret = _key(df.sparkSession, key)
+    return df.withColumns({c: F.try_aes_decrypt(F.col(c), secret).cast("string") for c in columns})
 
 
 def rotate_key(df: DataFrame, columns: Sequence[str], old: str | bytes, new: str | bytes, key_id: str) -> DataFrame:
     """Encrypt again under a new key. A value the old key does not open fails the job instead of being lost."""
-    opened = {c: F.aes_encrypt(F.aes_decrypt(F.col(c), _key(old)), _key(new)) for c in columns}
+    before, after = _key(df.sparkSession, old), _key(df.sparkSession, new)
+    opened = {c: F.aes_encrypt(F.aes_decrypt(F.col(c), before), after) for c in columns}
     return df.withColumns(opened).withColumn("key_id", F.lit(key_id))
 
 
-def _key(key: str | bytes) -> Column:
+def _key(spark: SparkSession, key: str | bytes) -> Column:
+    """The key as a scalar subquery over a one-row table: a literal would stand in plans and event logs."""
     raw = key.encode() if isinstance(key, str) else key
     if len(raw) not in (16, 24, 32):
         raise ValueError("an AES key has 16, 24 or 32 bytes")
-    return F.lit(bytearray(raw))
+    return spark.createDataFrame(spark.sparkContext.parallelize([(bytearray(raw),)], 1), "secret binary").scalar()
+
+
+def device_entries(device: Column) -> Column:
+    """A device map as a sorted list of its entries, which can be compared and grouped."""
+    return F.array_sort(F.map_entries(device))
 
 
 def device_fingerprint(device: Column) -> Column:
     """SHA-256 of a device map as JSON with sorted keys."""
+    return entries_fingerprint(device_entries(device))
+
+
+def entries_fingerprint(entries: Column) -> Column:
+    """The fingerprint of a device whose entries are sorted already."""
+
     def quoted(value: Column) -> Column:
-        return F.coalesce(F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1), F.lit("null"))
+        listed = F.to_json(F.array(value))
+        return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
-    pairs = F.transform(
-        F.array_sort(F.map_entries(device)), lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(e["value"]))
-    )
+    pairs = F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(e["value"])))
     return F.sha2(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")), 256)
 
 
-def device_mismatches(df: DataFrame, session: str, fingerprint: str, order: Sequence[str]) -> DataFrame:
-    """Mark accesses whose device differs from the first one of their session."""
-    first = df.groupBy(session).agg(F.min_by(fingerprint, F.struct(*order)).alias("_first"))
-    return df.join(first, session).withColumn("device_matches", F.col(fingerprint) == F.col("_first")).drop("_first")
+def device_mismatches(df: DataFrame, session: str, device: str, order: Sequence[str]) -> DataFrame:
+    """Mark accesses whose device differs from the first one of their session.
+
+    `device` is any column that can be compared: a stored fingerprint, or the sorted entries, so that hashes are only
+    made of what is kept.
+    """
+    first = df.groupBy(session).agg(F.min_by(device, F.struct(*order)).alias("_first"))
+    return df.join(first, session).withColumn("device_matches", F.col(device) == F.col("_first")).drop("_first")
 
 
 def has_permission(role: Column, permission: Column) -> Column:
@@ -215,29 +233,34 @@ def expired(df: DataFrame, modified: str, cutoff: Column) -> DataFrame:
 
 
 def archive(
-    df: DataFrame, modified: str, cutoff: Column, archive_path: str, keep_path: str, partition_by: Sequence[str] = ()
+    df: DataFrame,
+    modified: str,
+    cutoff: Column,
+    archive_path: str,
+    keep_path: str,
+    partition_by: Sequence[str] = (),
+    run: str = "0",
 ) -> dict[str, int]:
-    """Append old rows to the archive and write the rest to a new path, both in the same layout.
+    """Write old rows to the archive and the rest to a new path, both in the same layout, under the run's own folder.
 
-    The source stays untouched; counts read back from both outputs must add up to the input.
+    The source stays untouched. A run that is repeated, after a failure for example, replaces what it wrote before and
+    nothing else, so a retry archives no row twice; `archived_rows` reads the runs together. The input is read once for
+    each output; the counts read back from both must add up to those of a pass over the one column that decides.
     """
     spark = df.sparkSession
-    total = df.count()
-    before = _count_rows(spark, archive_path)
     old = F.coalesce(F.col(modified) < cutoff, F.lit(False))
-    df.where(old).write.mode("append").partitionBy(*partition_by).parquet(archive_path)
-    df.where(~old).write.mode("overwrite").partitionBy(*partition_by).parquet(keep_path)
-    archived = _count_rows(spark, archive_path) - before
-    kept = _count_rows(spark, keep_path)
-    if archived + kept != total:
-        raise RuntimeError(f"archive wrote {archived} + {kept} rows of {total}")
-    return {"archived_count": archived, "kept_count": kept}
-
-
-def _count_rows(spark, path: str) -> int:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path).count()
-    except AnalysisException:
-        return 0
+    counts = df.select(old.alias("old")).agg(F.count_if("old").alias("old"), F.count_if(~F.col("old")).alias("kept")).first()
+    expected = {"archived_count": counts["old"], "kept_count": counts["kept"]}
+    parts = {"archived_count": (old, f"{archive_path}/run={run}"), "kept_count": (~old, f"{keep_path}/run={run}")}
+    written = {}
+    for name, (condition, path) in parts.items():
+        df.where(condition).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        written[name] = spark.read.schema(df.schema).parquet(path).count()
+    if written != expected:
+        raise RuntimeError(f"archive wrote {written} of {expected}")
+    return written
+
+
+def archived_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that runs have archived (or kept), with the `run` that wrote them."""
+    return spark.read.option("basePath", path).parquet(path)

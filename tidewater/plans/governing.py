@@ -116,9 +116,9 @@ def rotate_key(spark: SparkSession, folder: str) -> DataFrame:
 )
 def device_mismatches(spark: SparkSession, folder: str) -> DataFrame:
     device = F.map_concat(F.create_map(F.lit("type"), F.col("event_type")), F.from_json("props", "map<string,string>"))
-    seen = table(spark, folder, "events").withColumn("fingerprint", G.device_fingerprint(device))
-    out = G.device_mismatches(seen, "user_id", "fingerprint", ["ts", "event_id"])
-    return out.select("event_id", "fingerprint", "device_matches")
+    seen = table(spark, folder, "events").select("event_id", "user_id", "ts", G.device_entries(device).alias("device"))
+    out = G.device_mismatches(seen, "user_id", "device", ["ts", "event_id"])
+    return out.select("event_id", G.entries_fingerprint(F.col("device")).alias("fingerprint"), "device_matches")
 
 
 ROLES = ("admin", "data_scientist", "ml_engineer", "viewer", "guest")
