@@ -88,15 +88,21 @@ def test_logout_sessions_equal_the_batch(spark, tmp_path, shuffled):
     stream = feed(spark, tmp_path, in_batches(rows, 50, shuffled))
     got = run(SS.logout_sessions(stream, F.col("out"), "user"), f"logouts_{shuffled}")
     batch = S.sessions(spark.createDataFrame(rows, SCHEMA), "user", ("ts", "id"), logout=F.col("out"))
-    batch = batch.withColumnRenamed("user", "user_id")
-    closed = {tuple(r) for r in got.select("user_id", "session_start", "session_end", "n_events", "closed_by").collect()}
-    every = {tuple(r) for r in batch.select("user_id", "session_start", "session_end", "n_events", "closed_by").collect()}
+    closed = {tuple(r) for r in got.select("user", "session_start", "session_end", "n_events", "closed_by").collect()}
+    every = {tuple(r) for r in batch.select("user", "session_start", "session_end", "n_events", "closed_by").collect()}
     assert closed <= every
     # Only sessions near the end of the stream may still be open.
     assert all(s[2] > START + timedelta(days=4) for s in every - closed)
     assert len(closed) > 0.8 * len(every)
 
 
+def test_logout_sessions_of_named_users(spark, tmp_path):
+    rows = make_events(120)
+    stream = feed(spark, tmp_path, in_batches(rows, 40)).withColumn("who", F.concat(F.lit("user "), F.col("user").cast("string")))
+    got = run(SS.logout_sessions(stream, F.col("out"), "who"), "named_logouts")
+    assert got.columns[0] == "who" and {r["who"] for r in got.collect()} <= {f"user {k}" for k in range(4)} and not got.isEmpty()
+
+
 def test_logout_arriving_out_of_order():
     minute = 60_000_000
     events = [(1 * minute, False), (3 * minute, True), (5 * minute, False)]
@@ -150,3 +156,24 @@ def test_accuracy_drift(spark, tmp_path):
     stream = SW.windowed_accuracy(feed(spark, tmp_path, in_batches(rows, 24)), F.col("value") == 1, "1 day")
     out = SW.accuracy_drift(run(stream, "accuracy"), 0.05).orderBy("window_start").collect()
     assert [(r["accuracy"], r["drift_detected"]) for r in out] == [(1.0, False), (0.0, True)]
+
+
+def test_accuracy_drift_of_a_stream(spark, tmp_path):
+    """Windows that finish in different micro-batches are compared as in a batch, and a replay changes nothing."""
+    rows = [(i, i % 2, START + timedelta(hours=i), 1.0 if i < 24 or i % 3 else 0.0, False) for i in range(120)]
+    stream = SW.windowed_accuracy(feed(spark, tmp_path / "in", in_batches(rows, 24)), F.col("value") == 1, "1 day", ["user"])
+    out = str(tmp_path / "out")
+    write = SW.write_accuracy_drift(out, 0.05, ["user"])
+    query = stream.writeStream.outputMode("append").foreachBatch(write).trigger(availableNow=True)
+    query = query.option("checkpointLocation", str(tmp_path / "checkpoint")).start()
+    query.awaitTermination(120)
+    assert query.exception() is None
+    columns = ["user", "window_start", "n", "accuracy", "accuracy_drop", "drift_detected"]
+    got = {tuple(r) for r in spark.read.parquet(f"{out}/drift").select(*columns).collect()}
+    windows = SW.windowed_accuracy(spark.createDataFrame(rows, SCHEMA), F.col("value") == 1, "1 day", ["user"])
+    batch = {tuple(r) for r in SW.accuracy_drift(windows, 0.05, ["user"]).select(*columns).collect()}
+    last = max(r[1] for r in got)
+    assert got == {r for r in batch if r[1] <= last} and any(r[5] for r in got) and len(got) >= 6
+    write(spark.read.parquet(f"{out}/windows").drop("batch_id").where(F.col("window_start") == last), 99)
+    again = {tuple(r) for r in spark.read.parquet(f"{out}/drift/batch_id=99").select(*columns).collect()}
+    assert again == {r for r in batch if r[1] == last}

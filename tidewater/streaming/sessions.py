@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewater.operators import sessions as S
 from tidewater.streaming.windows import event_time
 
 
@@ -20,7 +21,17 @@ def inactivity_sessions(
     ts: str = "ts",
     delay: str = "10 minutes",
 ) -> DataFrame:
-    """Sessions that end after `ttl` without an event; works on streams and batches."""
+    """Sessions that end after `ttl` without an event; works on streams and batches.
+
+    On a stream Spark merges the windows of a user in state. A batch has all events of a user at hand, so it uses the
+    sliced sessions, which give a very active user to many tasks.
+    """
+    if not df.isStreaming:
+        seconds = ttl / timedelta(seconds=1)
+        sliced = S.sessions(df, user, (ts,), f"INTERVAL {seconds:.6f} SECONDS")
+        return sliced.select(
+            user, *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n_events"
+        )
     # Spark joins windows that touch, while an access exactly `ttl` later is a new session.
     gap = f"{ttl // timedelta(microseconds=1) - 1} microseconds"
     return (
@@ -36,7 +47,6 @@ def inactivity_sessions(
     )
 
 
-OUTPUT = "user_id long, session_start long, session_end long, n_events long, closed_by string"
 STATE = "start long, last long, n long, pending array<long>, logouts array<boolean>"
 OpenSession = tuple[int, int, int]
 
@@ -74,7 +84,7 @@ def logout_sessions(
 ) -> DataFrame:
     """Sessions closed by logout or by `ttl` of inactivity, in event time.
 
-    The state of a user is three numbers for the open session and the events not yet behind the
+    Users keep their column's name and type. The state of a user is three numbers for the open session and the events not yet behind the
     watermark; those are put in order before they count, so a late logout closes the right session.
     """
     ttl_micros = int(ttl.total_seconds() * 1_000_000)
@@ -103,13 +113,10 @@ def logout_sessions(
             state.remove()
         if closed:
             rows = [(key[0], start, last, n, how) for start, last, n, how in closed]
-            yield pd.DataFrame(rows, columns=["user_id", "session_start", "session_end", "n_events", "closed_by"])
+            yield pd.DataFrame(rows, columns=[user, "session_start", "session_end", "n_events", "closed_by"])
 
-    rows = event_time(df, ts, delay).select(
-        F.col(user).cast("long").alias("user_id"), ts, F.unix_micros(ts).alias("moment"), logout.alias("logout")
-    )
-    found = rows.groupBy("user_id").applyInPandasWithState(
-        advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    rows = event_time(df, ts, delay).select(user, ts, F.unix_micros(ts).alias("moment"), logout.alias("logout"))
+    output = f"`{user}` {dict(df.dtypes)[user]}, session_start long, session_end long, n_events long, closed_by string"
+    found = rows.groupBy(user).applyInPandasWithState(advance, output, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     stamps = {c: F.timestamp_micros(c).cast("timestamp_ntz") for c in ("session_start", "session_end")}
     return found.withColumns(stamps)

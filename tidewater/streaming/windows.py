@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.operators import clean as C
+from tidewater.sources.catalog import path_exists
+
+#: Windows that a stream of accuracies looks back for the last one with rows.
+LOOK_BACK = 30
 
 
 def event_time(df: DataFrame, ts: str = "ts", delay: str | None = "10 minutes") -> DataFrame:
@@ -69,6 +73,36 @@ def accuracy_drift(windows: DataFrame, threshold: float = 0.05, by: Sequence[str
     )
 
 
+def write_accuracy_drift(
+    path: str, threshold: float = 0.05, by: Sequence[str] = (), size: str = "1 day"
+) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function over `windowed_accuracy` in append mode: each finished window against the one before.
+
+    Finished windows are written below `path/batch_id=…`, so a replay overwrites its own. The window before lies in the
+    batch or in an earlier one: of those only the windows that end where one of the batch begins, or later, are read.
+    Like `accuracy_drift`, the window before is the last one that has rows, if it is not older than `size` times the
+    look-back of `LOOK_BACK`.
+    """
+
+    def write(windows: DataFrame, batch_id: int) -> None:
+        spark = windows.sparkSession
+        own = windows.persist()
+        oldest = own.agg(F.min("window_start")).scalar()
+        everything = own.withColumn("_own", F.lit(True))
+        if path_exists(spark, f"{path}/windows"):
+            schema = ", ".join(f"`{name}` {kind}" for name, kind in own.dtypes)
+            earlier = spark.read.schema(f"{schema}, batch_id long").option("basePath", f"{path}/windows").parquet(f"{path}/windows")
+            near = F.col("window_start") >= oldest - F.expr(f"{LOOK_BACK} * INTERVAL {size}")
+            earlier = earlier.where((F.col("batch_id") != batch_id) & near).drop("batch_id")
+            everything = everything.unionByName(earlier.withColumn("_own", F.lit(False)))
+        compared = accuracy_drift(everything, threshold, by).where("_own").drop("_own")
+        compared.write.mode("overwrite").parquet(f"{path}/drift/batch_id={batch_id}")
+        own.write.mode("overwrite").parquet(f"{path}/windows/batch_id={batch_id}")
+        own.unpersist()
+
+    return write
+
+
 def clean_stream(
     df: DataFrame, config: C.CleanConfig, arrival: str = "arrived_at", delay: str = "1 hour"
 ) -> DataFrame:
