@@ -47,7 +47,9 @@ def test_pairs_cross_slice_borders(spark, turns):
 def test_long_conversations_come_in_parts(spark):
     df = spark.range(25).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"),
                                 F.col("id").cast("string").alias("text")).repartition(5)
-    parts = P.chat_messages(df, turns_per_part=10).orderBy("part").collect()
+    whole = P.chat_messages(df.withColumn("turn", F.col("turn") + 1015)).collect()
+    assert [len(r["messages"]) for r in whole] == [25]
+    parts = P.chat_messages(df.withColumn("turn", F.col("turn") * 500), messages_per_part=10).orderBy("part").collect()
     assert [len(p["messages"]) for p in parts] == [10, 10, 5]
     assert [m["content"] for p in parts for m in p["messages"]] == [str(i) for i in range(25)]
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import text as X
-from tidewater.functions.ordering import previous_row
+from tidewater.functions.ordering import previous_row, running_sum
 
 # A text containing one of these words loses the toxicity penalty.
 TOXIC_WORDS = ("hate", "violence", "offensive")
@@ -94,16 +94,27 @@ def token_budget(
 
 
 def chat_messages(
-    df: DataFrame, conversation: str = "conv_id", turn: str = "turn", turns_per_part: int = 1024
+    df: DataFrame,
+    conversation: str = "conv_id",
+    turn: str = "turn",
+    messages_per_part: int | None = None,
+    turns_per_slice: int = 1024,
 ) -> DataFrame:
-    """Ordered `messages` per conversation, in parts of `turns_per_part` turn numbers.
+    """Ordered `messages` of each conversation, one row however its turns are numbered.
 
-    An ordinary conversation is one row (part 0). A conversation too long for one task becomes
-    several rows, still in order, so nothing is dropped and no task holds all of it.
+    With `messages_per_part` a conversation is cut by rank into rows (`part` 0, 1, …) of so many messages, still in
+    order: for conversations too long for one row. Ranks are counted over slices of turn numbers, so no task needs a
+    whole conversation to count.
     """
     message = F.struct(F.col(turn).alias("turn"), "role", F.col("text").alias("content"))
+    keys = [conversation]
+    if messages_per_part is not None:
+        slices = F.floor(F.col(turn) / turns_per_slice)
+        df = running_sum(df, [conversation], [turn, "role", "text"], slices, F.lit(1), "_n")
+        df = df.withColumn("part", F.floor((F.col("_n") - 1) / messages_per_part))
+        keys.append("part")
     return (
-        df.groupBy(conversation, F.floor(F.col(turn) / turns_per_part).alias("part"))
+        df.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(message)).alias("_ordered"))
         .withColumn("messages", F.transform("_ordered", lambda m: F.struct(m["role"], m["content"])))
         .drop("_ordered")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text as X
 from tidewater.operators import prepare as P
-from tidewater.plans.base import query, table, texts
+from tidewater.plans.base import query, table
 
 WORDS_SQL = f"list_filter(regexp_split_to_array(text, '[{X.WHITESPACE_CHARS}]+'), lambda x: x <> '')"
 
@@ -50,7 +50,7 @@ def choose_split(spark: SparkSession, folder: str) -> DataFrame:
     FROM t""",
 )
 def tokenize(spark: SparkSession, folder: str) -> DataFrame:
-    out = P.tokenize(texts(spark, folder).select("doc_id", "text"))
+    out = P.tokenize(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_tokens", "n_kept", F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
@@ -63,17 +63,33 @@ def tokenize(spark: SparkSession, folder: str) -> DataFrame:
     FROM t GROUP BY source, lang""",
 )
 def token_budget(spark: SparkSession, folder: str) -> DataFrame:
-    out = P.token_budget(texts(spark, folder), ["source", "lang"], epochs=3)
+    out = P.token_budget(table(spark, folder, "documents"), ["source", "lang"], epochs=3)
     return out.withColumn("truncated_share", F.round("truncated_share", 6))
 
 
 @query(
     "chat_messages",
-    """SELECT conv_id, 0::BIGINT AS part, count(*)::INT AS n_messages,
+    """SELECT conv_id, count(*)::INT AS n_messages,
       md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id""",
 )
 def chat_messages(spark: SparkSession, folder: str) -> DataFrame:
-    out = P.chat_messages(table(spark, folder, "conversations"))
+    # Turn numbers with gaps, which start high: a conversation is one row all the same.
+    turns = table(spark, folder, "conversations").withColumn("turn", F.col("turn") * 700 + 900)
+    out = P.chat_messages(turns)
+    lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return out.select(
+        "conv_id", F.size("messages").alias("n_messages"), F.md5(F.array_join(lines, "\n")).alias("digest")
+    )
+
+
+@query(
+    "chat_message_parts",
+    """WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)
+    SELECT conv_id, n // 3 AS part, count(*)::INT AS n_messages,
+      md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest FROM ranked GROUP BY ALL""",
+)
+def chat_message_parts(spark: SparkSession, folder: str) -> DataFrame:
+    out = P.chat_messages(table(spark, folder, "conversations"), messages_per_part=3)
     lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
     return out.select(
         "conv_id", "part", F.size("messages").alias("n_messages"), F.md5(F.array_join(lines, "\n")).alias("digest")
@@ -105,7 +121,7 @@ def _reward_sql(text: str) -> str:
 
 @query("document_reward", f"SELECT doc_id, round({_reward_sql('text')}, 6) AS reward FROM documents")
 def document_reward(spark: SparkSession, folder: str) -> DataFrame:
-    out = P.with_reward(texts(spark, folder).select("doc_id", "text"))
+    out = P.with_reward(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.round("reward", 6).alias("reward"))
 
 
@@ -115,7 +131,7 @@ def document_reward(spark: SparkSession, folder: str) -> DataFrame:
     FROM documents GROUP BY source, lang""",
 )
 def mean_reward(spark: SparkSession, folder: str) -> DataFrame:
-    out = P.with_reward(texts(spark, folder).select("source", "lang", "text"))
+    out = P.with_reward(table(spark, folder, "documents").select("source", "lang", "text"))
     return P.mean_reward(out, ["source", "lang"]).withColumn("mean_reward", F.round("mean_reward", 6))
 
 
