@@ -89,12 +89,17 @@ class Open:
 
 
 def _candidates(df: DataFrame, values: list[Column], wanted: dict, accuracy: int) -> dict[tuple[int, int], list[float]]:
-    asked = [
-        F.percentile_approx(F.when(inside.condition(values[i]), values[i]), inside.shares(rank, 2.0 / accuracy), accuracy).alias(f"c{k}")
-        for k, ((i, rank), inside) in enumerate(wanted.items())
-    ]
+    """Values near each rank; ranks that look into the same interval share one sketch and its values."""
+    shared: dict[tuple, list[float]] = {}
+    for (i, rank), inside in wanted.items():
+        shared.setdefault((i, inside.low, inside.high), []).extend(inside.shares(rank, 2.0 / accuracy))
+    asked, first = [], {(i, inside.low, inside.high): inside for (i, _), inside in wanted.items()}
+    for k, (key, shares) in enumerate(shared.items()):
+        value = F.when(first[key].condition(values[key[0]]), values[key[0]])
+        asked.append(F.percentile_approx(value, sorted(set(shares)), accuracy).alias(f"c{k}"))
     row = df.agg(*asked).first()
-    return {key: sorted(set(row[f"c{k}"])) for k, key in enumerate(wanted)}
+    found = {key: sorted(set(row[f"c{k}"])) for k, key in enumerate(shared)}
+    return {(i, rank): found[i, inside.low, inside.high] for (i, rank), inside in wanted.items()}
 
 
 def _counts_below(df: DataFrame, values: list[Column], candidates: dict) -> dict[tuple[int, float], tuple[int, int]]:
