@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from tidewater.llm.common import bound_batches
 
 #: Characters of text that a task tokenises at a time, and words it remembers, in two generations.
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 21
 REMEMBERED_WORDS = 150_000
 #: Stand for "no symbol": beyond a word's end, and merged into the symbol on the left.
 END, GONE = (1 << 20) - 1, (1 << 20) - 2
@@ -122,6 +122,9 @@ class WordBpe:
     the same pattern here. Words that were met before are remembered, others go to one index of pair occurrences.
     """
 
+    remembered = REMEMBERED_WORDS
+    kind = np.dtype("<i4")
+
     def __init__(self, specification: str):
         parsed = json.loads(specification)
         model = parsed["model"]
@@ -185,21 +188,22 @@ class WordBpe:
         self.recent.update(zip(words, (data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Identifiers of each text, as little-endian 32-bit integers."""
-        if len(self.recent) > REMEMBERED_WORDS:
+        """Identifiers of each text, as little-endian integers of this encoder's kind."""
+        if len(self.recent) > self.remembered:
             self.earlier, self.recent = self.recent, {}
+        split = [self.words(text) for text in texts]
         unseen: set[str] = set()
-        for text in texts:
-            unseen.update(self.words(text))
+        for words in split:
+            unseen.update(words)
         unseen -= self.recent.keys()
         for word in unseen & self.earlier.keys():
             self.recent[word] = self.earlier[word]
         for word in unseen & self.added.keys():
-            self.recent[word] = np.array([self.added[word]], dtype="<i4").tobytes()
+            self.recent[word] = np.array([self.added[word]], dtype=self.kind).tobytes()
         if new := sorted(unseen - self.recent.keys()):
             self.learn(new)
         known = self.recent.__getitem__
-        return [b"".join(map(known, self.words(text))) for text in texts]
+        return [b"".join(map(known, words)) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """Token names joined by spaces, as a vocabulary without a decoder does; unknown identifiers are left out."""

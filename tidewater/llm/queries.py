@@ -15,6 +15,8 @@ ORACLES: dict[str, str] = {}
 
 #: Contract values of the queries.
 END_OF_DOCUMENT = 2
+#: Bytes of an identifier on its way to the files: the vocabulary has fewer than 65,536.
+ID_BYTES = 2
 TOXIC_AT = 0.7
 SIMHASH = {"width": 3, "radius": 2}
 #: Tools that conversations are read as calls of: a user's turn calls one, the assistant's next turn is its result.
@@ -59,9 +61,9 @@ def shard(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_token_files")
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
-    ids = tokenfile.token_ids(spark, vocabulary(), F.col("text"), END_OF_DOCUMENT)
+    ids = tokenfile.token_ids(spark, vocabulary(), F.col("text"), END_OF_DOCUMENT, ID_BYTES)
     path = shared_folder(spark, "tokens")
-    tokenfile.write_token_files(documents(spark, folder).select("doc_id", ids.alias("ids")), path)
+    tokenfile.write_token_files(documents(spark, folder).select("doc_id", ids.alias("ids")), path, width=ID_BYTES)
     return tokenfile.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

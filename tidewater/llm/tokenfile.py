@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from pathlib import Path
 
 import numpy as np
@@ -98,42 +98,49 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 class LibraryBpe(WordBpe):
     """Words are encoded by the tokenizers library itself, many in one call; a word ends with a symbol that says so."""
 
-    def __init__(self, specification: str):
+    remembered = 400_000
+
+    def __init__(self, specification: str, width: int = 4):
         super().__init__(specification)
+        if len(self.names) > 1 << (8 * width):
+            raise ValueError(f"identifiers of this vocabulary need more than {width} bytes")
+        self.kind = np.dtype(f"<u{width}")
         self.library = Tokenizer.from_str(specification)
         suffix = self.names[int(self.last[0])][-4:]
         self.ends_word = np.array([name is not None and name.endswith(suffix) for name in self.names])
 
     def learn(self, words: list[str]) -> None:
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype="<i4")
+        found = self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, dtype=self.kind)
         cuts = np.append(0, np.flatnonzero(self.ends_word[ids]) + 1).tolist()
         if len(cuts) != len(words) + 1:
             raise ValueError("the vocabulary does not mark the ends of words")
-        data = ids.tobytes()
-        self.recent.update(zip(words, (data[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+        data, size = ids.tobytes(), self.kind.itemsize
+        parts = (data[size * a : size * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        self.recent.update(zip(words, parts, strict=True))
 
 
 @lru_cache(maxsize=2)
-def library_of(specification: str) -> LibraryBpe:
-    return LibraryBpe(specification)
+def library_of(specification: str, width: int) -> LibraryBpe:
+    return LibraryBpe(specification, width)
 
 
-def token_ids(spark: SparkSession, path: str, text: Column, end: int | None) -> Column:
-    """Identifiers of whole texts as little-endian 32-bit integers in a binary column, `end` appended to each."""
+def token_ids(spark: SparkSession, path: str, text: Column, end: int | None, width: int = 4) -> Column:
+    """Identifiers of whole texts as little-endian integers of `width` bytes in a binary column, `end` appended to each."""
     bound_batches(spark)
     specification = spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
-    tail = b"" if end is None else np.array([end], dtype="<i4").tobytes()
+    tail = b"" if end is None else np.array([end], dtype=f"<u{width}").tobytes()
 
     @F.arrow_udf(T.BinaryType())
     def per_batch(texts: pa.Array) -> pa.Array:
-        model = library_of(specification.value)
+        model = library_of(specification.value, width)
         return pa.array([ids + tail for some in slices(texts) for ids in model.encode(some)], pa.binary())
 
     return per_batch(F.coalesce(text, F.lit("")))
 
 
-def write_token_files(df: DataFrame, path: str, identifier: str = "doc_id", ids: str = "ids") -> None:
-    """Write documents (identifier, ids binary of little-endian 32-bit integers), in ascending order of identifier.
+def write_token_files(df: DataFrame, path: str, identifier: str = "doc_id", ids: str = "ids", width: int = 4) -> None:
+    """Write documents (identifier, ids binary of little-endian integers of `width` bytes), in ascending order of identifier.
 
     Borders of the ranges are quantiles of the identifier alone, from a scan that reads no other column; rows then move
     once, each range is sorted and packed by one task, segment by segment. Segments are rows of Parquet files, so Spark's
@@ -153,7 +160,7 @@ def write_token_files(df: DataFrame, path: str, identifier: str = "doc_id", ids:
         .repartitionById(len(borders) + 1, F.col("part"))
         .sortWithinPartitions("part", "doc_id")
     )
-    ordered.mapInArrow(_segments, DOCUMENTS).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(partial(_segments, kind=f"<u{width}"), DOCUMENTS).write.option("compression", "uncompressed").parquet(path)
 
 
 def range_of(value: Column, borders: list[int]) -> Column:
@@ -166,7 +173,7 @@ def range_of(value: Column, borders: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(inside(at, step), at + step).otherwise(at))
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], kind: str = "<u4") -> Iterator[pa.RecordBatch]:
     held: list[tuple[int | None, np.ndarray]] = []
     state = {"part": 0, "segment": 0, "first": 0, "ids": 0}
 
@@ -190,7 +197,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for identifier, ids, part in zip(batch["doc_id"], batch["ids"], batch["part"], strict=True):
             state["part"] = part.as_py()
-            held.append((identifier.as_py(), np.frombuffer(ids.as_buffer() if ids.is_valid else b"", "<u4")))
+            held.append((identifier.as_py(), np.frombuffer(ids.as_buffer() if ids.is_valid else b"", kind)))
             state["ids"] += len(held[-1][1])
             if state["ids"] >= SEGMENT or len(held) >= SEGMENT:
                 yield close()
