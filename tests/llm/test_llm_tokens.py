@@ -63,11 +63,11 @@ def test_merges_out_of_order_are_refused():
 
 
 def test_memory_is_bounded(specification, library, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 5)
+    monkeypatch.setattr(bpe.WordBpe, "remembered", 5)
     model = bpe.WordBpe(specification)
     for text in samples(200, 4):
         assert np.frombuffer(model.encode([text])[0], "<i4").tolist() == library.encode(text, add_special_tokens=False).ids
-    assert len(model.earlier) < 200
+    assert 0 < len(model.earlier) < 200
 
 
 def test_digests(spark, odd, empty, library):
@@ -101,15 +101,16 @@ def test_outliers_do_not_widen_a_block():
     assert len(tokenfile.pack(ids)) == plain + 5
 
 
-def written(spark, df):
+def written(spark, df, width):
     path = shared_folder(spark, "test-tokens")
-    ids = tokenfile.token_ids(spark, vocabulary(), F.col("text"), 2)
-    tokenfile.write_token_files(df.select("doc_id", ids.alias("ids")), path)
+    ids = tokenfile.token_ids(spark, vocabulary(), F.col("text"), 2, width)
+    tokenfile.write_token_files(df.select("doc_id", ids.alias("ids")), path, width=width)
     return path, tokenfile.read_token_files(spark, path).collect()
 
 
-def test_files(spark, odd, empty, library, monkeypatch):
-    path, got = written(spark, odd)
+@pytest.mark.parametrize("width", [2, 4])
+def test_files(spark, odd, empty, library, width):
+    path, got = written(spark, odd, width)
     expected, start = [], 0
     rows = sorted(odd.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     got.sort(key=lambda r: r["start"])
@@ -121,7 +122,12 @@ def test_files(spark, odd, empty, library, monkeypatch):
     assert [r["doc_id"] for r in got] == [r["doc_id"] for r in rows]
     own = [(r["doc_id"], zlib.crc32(np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for r in rows]
     assert sorted(map(repr, own)) == sorted(map(repr, expected))
-    assert written(spark, empty)[1] == []
+    assert written(spark, empty, width)[1] == []
+
+
+def test_narrow_identifiers_are_refused(specification):
+    with pytest.raises(ValueError):
+        tokenfile.LibraryBpe(specification, 1)
 
 
 def test_segments_close(spark):
