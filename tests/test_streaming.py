@@ -177,3 +177,23 @@ def test_accuracy_drift_of_a_stream(spark, tmp_path):
     write(spark.read.parquet(f"{out}/windows").drop("batch_id").where(F.col("window_start") == last), 99)
     again = {tuple(r) for r in spark.read.parquet(f"{out}/drift/batch_id=99").select(*columns).collect()}
     assert again == {r for r in batch if r[1] == last}
+
+
+def test_accuracy_drift_after_a_long_gap(spark, tmp_path):
+    """Keys without rows for 40 windows, also a null key, are compared with their last window, whatever else a batch holds."""
+    days = [(1, 0, 1.0), (1, 41, 0.0), (1, 42, 1.0), (2, 0, 1.0), (2, 1, 0.5), (2, 42, 0.25), (None, 0, 1.0), (None, 41, 0.5), (3, 42, 1.0)]
+    windows = spark.createDataFrame(
+        [(START + timedelta(days=d), u, 4, a) for u, d, a in days], "window_start timestamp_ntz, user long, n long, accuracy double"
+    )
+    expected = {tuple(r) for r in SW.accuracy_drift(windows, 0.05, ["user"]).collect()}
+    assert sum(r[5] for r in expected) == 4
+    write = SW.write_accuracy_drift(str(tmp_path), 0.05, ["user"])
+    batches = [(0, 0), (1, 1), (2, 20), (21, 41), (0, 0), (42, 42)]  # one is given again under another number
+    for batch_id, (low, high) in enumerate(batches):
+        day = F.datediff("window_start", F.lit(START))
+        for _ in range(2):  # a replay changes nothing
+            write(windows.where(day.between(low, high)), batch_id)
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/drift").drop("batch_id").collect()]
+    assert set(got) == expected
+    assert sorted(SW.batch_ids(spark, f"{tmp_path}/last")) == [4, 5]
+    assert spark.read.parquet(f"{tmp_path}/last/batch_id=5").count() == 4
