@@ -123,3 +123,18 @@ def test_language_odd_rows(spark, odd, empty):
     nothing = odd.select(langid.language_column(spark, None, F.col("text"))["language"].alias("l")).distinct().collect()
     assert [r["l"] for r in nothing] == ["und"]
     assert empty.select(langid.language_column(spark, network, F.col("text"))).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the bound of the sample is made for; the rarest, and one whose identifiers are all null, count."""
+    rows = []
+    for k in range(70):
+        own = "".join(chr(0x0E01 + 64 * k + j) for j in range(8))
+        for i in range(60 if k < 64 else 24):
+            text = " ".join(own[(i + j) % 8] * 2 + own[(i * j) % 8] for j in range(12))
+            rows.append((None if k == 3 else 100 * i + k, text, f"l{k:02d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    network = langid.train(docs, F.lit(True), langid.Training(per_language=8, rounds=300))
+    assert network.languages == [f"l{k:02d}" for k in range(70)]
+    found = docs.where("lang > 'l63'").select("lang", langid.language_column(spark, network, F.col("text"))["language"].alias("l")).collect()
+    assert sum(r["lang"] == r["l"] for r in found) > 0.9 * len(found)

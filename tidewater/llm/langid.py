@@ -11,6 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from tidewater.functions.ordering import top_per_group
 from tidewater.llm.common import bound_batches
 
 UNKNOWN = "und"
@@ -22,8 +23,9 @@ WINDOWS = 4096
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the sample that the network is fitted on: documents of each language, chosen by hash, windows of each
-    document, and languages (the most frequent ones). The sample goes to the driver; nothing else does.
+    """Bounds of the sample that the network is fitted on: documents of each language, chosen by hash, and windows of
+    each document. All languages are learned; of more than `languages`, each gives fewer documents, one at least, so
+    that the sample stays as large. The sample and a count for each language go to the driver; nothing else does.
     """
 
     per_language: int = 400
@@ -201,6 +203,7 @@ def fit(texts: list[str], languages: list[str], training: Training) -> Network |
         return None
     network = Network.start(names, training)
     random = np.random.default_rng(training.seed)
+    place = {name: k for k, name in enumerate(names)}
     windows, lengths, target = [], [], []
     for text, language in zip(texts, languages, strict=True):
         pieces, sizes = cut(text.encode())
@@ -208,7 +211,7 @@ def fit(texts: list[str], languages: list[str], training: Training) -> Network |
         for k in random.permutation(full)[: training.windows]:
             windows.append(pieces[k])
             lengths.append(sizes[k])
-            target.append(names.index(language))
+            target.append(place[language])
     if not windows or len(names) == 1:
         return network
     windows, lengths, target = np.array(windows), np.array(lengths), np.array(target)
@@ -231,22 +234,29 @@ def train(documents: DataFrame, usable: Column, training: Training = Training(),
     """Fit on documents for which `usable` holds and text and language are not null.
 
     Counts of languages make the rate of a language so that about per_language of its documents pass, by hash of the
-    identifier: a scan, no shuffle of texts.
+    identifier: a scan, no shuffle of texts. A language of which none passes gives its first documents by that hash.
     """
     labelled = documents.where(usable).select(
         F.col(identifier).alias("i"), F.col(text).alias("t"), F.col(language).alias("l")
     ).where("t is not null and l is not null")
-    counts = labelled.groupBy(F.col("l").alias("_language")).count().orderBy(F.desc("count"), "_language").limit(training.languages)
-    rate = F.greatest(F.lit(1), F.expr(f"count div {training.per_language}"))
-    rates = counts.select("_language", rate.alias("_rate"))
-    bound = 4 * training.per_language * training.languages
+    counts = labelled.groupBy(F.col("l").alias("_language")).count().collect()
+    if not counts:
+        return None
+    each = max(1, min(training.per_language, training.per_language * training.languages // len(counts)))
+    of = T.StructType([T.StructField("_language", labelled.schema["l"].dataType), T.StructField("_rate", T.LongType())])
+    rates = documents.sparkSession.createDataFrame([(r["_language"], max(1, r["count"] // each)) for r in counts], of)
+    place = F.xxhash64(F.lit(training.seed), "i")
     sample = (
         labelled.join(F.broadcast(rates), F.col("l") == F.col("_language"))
-        .where(F.pmod(F.xxhash64(F.lit(training.seed), "i"), F.col("_rate")) == 0)
+        .where(F.pmod(place, F.col("_rate")) == 0)
         .select("i", "t", "l")
-        .limit(bound)
+        .limit(4 * each * len(counts))
         .collect()
     )
+    missing = sorted({r["_language"] for r in counts} - {r["l"] for r in sample})
+    if missing:
+        rest = labelled.join(F.broadcast(rates.where(F.col("_language").isin(missing))), F.col("l") == F.col("_language"))
+        sample += top_per_group(rest, ["l"], [place, F.xxhash64("t")], each).select("i", "t", "l").collect()
     sample.sort(key=lambda r: (str(r["i"]), r["t"]))
     return fit([r["t"] for r in sample], [r["l"] for r in sample], training)
 
