@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -7,6 +8,9 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import embed as E
 from tidewater.operators import search as S
+from tidewater.plans import retrieval
+
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
@@ -173,3 +177,12 @@ def test_l2_of_near_vectors(spark):
     got = S.nearest(index, queries, 4, "l2").orderBy("rank").collect()
     assert [r["id"] for r in got] == [2, 1, 3, 4]
     assert [r["distance"] for r in got] == pytest.approx([1e-7, 1e-5, 1e-4, 3.0], rel=0.02)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.1"])
+def test_cell_search_finds_the_neighbours_of_rows(spark, folder):
+    got = retrieval.nearest_rows_by_cell_recall(spark, folder).collect()
+    asked = spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()
+    assert {r["query_id"] for r in got} == {r["vec_id"] for r in asked}
+    assert all(r["n_exact"] == 10 for r in got) and np.mean([r["recall"] for r in got]) >= 0.9

@@ -241,3 +241,13 @@ def nearest_by_cell_recall(spark: SparkSession, folder: str) -> DataFrame:
     model = S.train_cells(index, cells=16)
     found = S.nearest_by_cell(S.assign_cells(index, model), queries, model, k=10, probes=6)
     return S.recall(found, S.nearest(index, queries, 10))
+
+
+@query("nearest_rows_by_cell_recall")
+def nearest_rows_by_cell_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of the cell search against the exact search, per row whose number is divisible by 100, over all rows."""
+    index = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    queries = index.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    model = S.train_cells(index, cells=16)
+    found = S.nearest_by_cell(S.assign_cells(index, model), queries, model, k=10, probes=10)
+    return S.recall(found, S.nearest(index, queries, 10))
