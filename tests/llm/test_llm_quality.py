@@ -35,26 +35,38 @@ def test_counts(text):
 
 
 def brute_fences(rows, fences):
-    """Quartiles of whole groups over exact values; rows are (group key, values)."""
+    """Tenths of whole groups over exact values; rows are (group key, values)."""
     out = {}
     for key in {k for k, _ in rows}:
         own = [v for k, v in rows if k == key]
         limits = []
         for m, name in enumerate(quality.MEASURES):
             values = sorted(v[m] for v in own)
-            low, high = (values[-(-len(values) * part // 4) - 1] for part in (1, 3))
-            reach = fences.spread * (high - low) + fences.room[m]
-            limits.append((low - reach if name in quality.TWO_SIDED else 0, high + reach))
-        out[key] = (len(own), limits)
+            low, middle, high = (values[-(-len(values) * tenths // 10) - 1] for tenths in (1, 5, 9))
+            most = high + fences.spread * (high - middle) + fences.room[m]
+            limits.append((low - fences.spread * (middle - low) - fences.room[m] if name in quality.TWO_SIDED else 0, most))
+        out[key] = limits
     return out
 
 
+WORDS = "the quick brown fox jumps over that lazy dog and runs far away from here again".split()
+
+
+def plain(k, length=20):
+    return " ".join(WORDS[(k + j * (1 + k % 5)) % len(WORDS)] + str(j) for j in range(length))
+
+
+def repetitive(k):
+    """110 words of which 20 are repeated: 18 %, below the base rule's 20 %."""
+    words = plain(k, 100).split()
+    return " ".join(words + words[5:15])
+
+
 def test_kept_by_group_limits(spark):
-    words = "the quick brown fox jumps over that lazy dog and runs far away from here again".split()
     rows = []
     for k in range(900):
         lang, source = ("en", "a") if k % 2 else ("de", None)
-        text = " ".join(words[(k + j * (1 + k % 5)) % len(words)] + str(j) for j in range(20))
+        text = plain(k)
         if k % 50 == 3:
             text = " ".join(w + "###" for w in text.split())
         if k % 50 == 7:
@@ -63,33 +75,36 @@ def test_kept_by_group_limits(spark):
             text = " ".join(w * 5 for w in text.split())
         rows.append((k, text, lang, source))
     rows += [(1000, None, "en", "a"), (1001, "", None, None), (1002, " ".join(map(str, range(12))), "xx", "z")]
-    fences = Fences(least=100, bits=40)  # so many bits keep every value as it is
+    rows += [(1003, repetitive(1), "en", "a")]
+    # A source of 20 odd documents, in a language of plain ones, and one that is odd even there.
+    rows += [(2000 + k, " ".join(w + "#" for w in plain(k).split()), "en", "code") for k in range(20)]
+    rows += [(2020, " ".join(w + "#" * 9 for w in plain(3).split()), "en", "code")]
+    fences = Fences(bits=40)  # so many bits keep every value as it is
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r["doc_id"]: r for r in quality.judge(df, fences).collect()}
     measured, failed = {}, {}
     for k, text, lang, source in rows:
         counts = brute_counts(text)
         failed[k] = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
-        measured[k] = (lang, source, [1000 * counts[c] // max(1, counts[0]) for c in (2, 3, 4, 1)])
+        measured[k] = ((lang, source), [1000 * counts[c] // max(1, counts[0]) for c in (2, 3, 4, 1)])
         assert tuple(got[k][c] for c in quality.COUNTS) == counts
     passed = [k for k in measured if not failed[k]]
-    levels = [
-        brute_fences([(measured[k][:2], measured[k][2]) for k in passed], fences),
-        brute_fences([(measured[k][0], measured[k][2]) for k in passed], fences),
-        brute_fences([((), measured[k][2]) for k in passed], fences),
-    ]
-    for k, (lang, source, values) in measured.items():
+    limits = brute_fences([measured[k] for k in passed], fences)
+    for k, (group, values) in measured.items():
         assert got[k]["base_failed"] == failed[k]
-        if failed[k]:
-            assert not got[k]["kept"]
-            continue
-        for level, key in zip(levels, ((lang, source), lang, ()), strict=True):
-            count, limits = level[key]
-            if count >= fences.least or key == ():
-                break
-        assert got[k]["kept"] == all(low <= v <= high for v, (low, high) in zip(values, limits, strict=True)), k
-    dropped = {k % 50 for k in passed if not got[k]["kept"]}
-    assert {3, 7, 9} <= dropped and got[1002]["kept"]
+        kept = not failed[k] and all(low <= v <= high for v, (low, high) in zip(values, limits[group], strict=True))
+        assert got[k]["kept"] == kept, k
+    dropped = {k for k in passed if not got[k]["kept"]}
+    assert {3, 7, 9} <= {k % 50 for k in dropped if k < 900} and got[1002]["kept"]
+    assert 1003 in dropped and {k for k in dropped if k >= 2000} == {2020}
+
+
+def test_equal_values_of_a_group_are_kept(spark):
+    """Wide buckets hold values above their bottom: a document that is its own group stays within its own fences."""
+    rows = [(k, " ".join("w" * (3 + k % 7) + "#" * (k % 11) for _ in range(40 + k)), "l", f"s{k}") for k in range(60)]
+    rows = [(k, " ".join(f"{w}{i}" for i, w in enumerate(t.split())), lang, s) for k, t, lang, s in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert all(r["kept"] for r in quality.judge(df).collect())
 
 
 def test_buckets_merge_and_are_near(spark):

@@ -26,15 +26,16 @@ TWO_SIDED = ("length",)
 
 @dataclass(frozen=True)
 class Fences:
-    """A measure may lie `spread` interquartile ranges and `room` thousandths beyond the quartiles of its group.
+    """A measure may lie beyond its group's outer tenths by `spread` times the way from the median to there, and `room`.
 
-    Groups of fewer than `least` documents use the merged sketch of their language, and that failing, of all.
-    A sketch keeps `bits` leading bits of a measure: quantiles are exact below 2**bits and within 2**(1 - bits) above.
+    Room is in thousandths of a word each, and all that a group without any spread allows: 2 symbols or 5 repeated words
+    in a hundred, a repeated line in two hundred, half a character of length. Every group has its own sketch, whatever
+    its size. A sketch keeps `bits` leading bits of a measure: quantiles are exact below 2**bits and within 2**(1 - bits)
+    above.
     """
 
     spread: int = 3
-    room: tuple[int, ...] = (100, 50, 200, 2000)
-    least: int = 200
+    room: tuple[int, ...] = (20, 5, 50, 500)
     bits: int = 7
 
 
@@ -77,36 +78,43 @@ def bucket(value: Column, bits: int) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
-def sketches(measured: DataFrame, keys: list[str], fences: Fences) -> DataFrame:
-    """Sketches (key, language_key, measure, bucket, n) of all measures: a count for each bucket, which merge by adding.
+def bucket_top(lowest: Column, bits: int) -> Column:
+    """The largest value of the bucket that begins at `lowest`."""
+    return lowest + F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.length(F.bin(lowest)) - bits)) - 1
+
+
+def sketches(measured: DataFrame, key: str, fences: Fences) -> DataFrame:
+    """Sketches (key, measure, bucket, n) of all measures: a count for each bucket, which merge by adding.
 
     Counts are added before the shuffle, so a group costs as many rows a task as it has buckets, however large it is.
     """
     cells = F.explode(
         F.array(*(F.struct(F.lit(k).alias("measure"), bucket(F.col(m), fences.bits).alias("bucket")) for k, m in enumerate(MEASURES)))
     )
-    return measured.select(*keys, cells.alias("cell")).groupBy(*keys, "cell.measure", "cell.bucket").agg(F.count("*").alias("n"))
+    return measured.select(key, cells.alias("cell")).groupBy(key, "cell.measure", "cell.bucket").agg(F.count("*").alias("n"))
 
 
 def fence_table(cells: DataFrame, key: str, fences: Fences) -> DataFrame:
-    """One row per `key`: n documents and the range of each measure, from the quartiles of the merged sketches."""
-    merged = cells.groupBy(key, "measure", "bucket").agg(F.sum("n").alias("n"))
+    """One row per `key`: the range of each measure, from the outer tenths and the median of the merged sketch.
+
+    Upper quantiles are the tops of their buckets, lower ones the bottoms, so that a group of equal values keeps them.
+    """
     group = Window.partitionBy(key, "measure")
-    upto = F.sum("n").over(group.orderBy("bucket"))
-    total = F.sum("n").over(group)
-    ranked = merged.withColumn("upto", upto).withColumn("total", total)
-    quartiles = ranked.groupBy(key, "measure").agg(
-        F.max("total").alias("documents"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("low"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("high"),
+    ranked = cells.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
+    reached = lambda tenths: F.when(F.col("upto") * 10 >= F.col("total") * tenths, F.col("bucket"))
+    tenths = ranked.groupBy(key, "measure").agg(
+        F.min(reached(1)).alias("low"), F.min(reached(5)).alias("middle"), F.min(reached(9)).alias("high")
     )
-    reach = (F.col("high") - F.col("low")) * fences.spread + F.element_at(F.array(*(F.lit(r) for r in fences.room)), F.col("measure") + 1)
+    room = F.element_at(F.array(*(F.lit(r) for r in fences.room)), F.col("measure") + 1)
+    top = bucket_top(F.col("high"), fences.bits)
+    most = top + (F.col("high") - F.col("middle")) * fences.spread + room
+    least = F.col("low") - (F.col("middle") - F.col("low")) * fences.spread - room
     limits = []
     for k, name in enumerate(MEASURES):
         here = F.col("measure") == k
-        limits.append(F.max(F.when(here, F.col("high") + reach)).alias(f"{name}_most"))
-        limits.append(F.max(F.when(here, (F.col("low") - reach) if name in TWO_SIDED else F.lit(0))).alias(f"{name}_least"))
-    return quartiles.groupBy(key).agg(F.max("documents").alias("documents"), *limits)
+        limits.append(F.max(F.when(here, most)).alias(f"{name}_most"))
+        limits.append(F.max(F.when(here, least if name in TWO_SIDED else F.lit(0))).alias(f"{name}_least"))
+    return tenths.groupBy(key).agg(*limits)
 
 
 def judge(
@@ -120,15 +128,15 @@ def judge(
     back leaves a popular group to adaptive execution, or is a broadcast if Spark finds the limits small.
 
     Null texts count as empty and fail. Null language and null source are groups of their own. Repeated rows are judged
-    alike and all count. An empty table gives no rows. Other columns are not read.
+    alike and all count. A very long text is one row of counts like any other. Ties do not arise: limits depend on counts
+    of values alone, and a value on a limit is kept. An empty table gives no rows. Other columns are not read.
     """
     bound_batches(df.sparkSession)
     counted = df.select(
         F.col(identifier).alias("identifier"),
         F.to_json(F.struct(F.col(language).alias("l"), F.col(source).alias("s"))).alias("group"),
-        F.to_json(F.struct(F.col(language).alias("l"))).alias("language"),
         counts_column(F.col(text)).alias("counts"),
-    ).select("identifier", "group", "language", "counts.*")
+    ).select("identifier", "group", "counts.*")
     words = F.greatest(F.col("n_words"), F.lit(1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     rows = checkpointed(
@@ -136,17 +144,9 @@ def judge(
             {name: F.call_function("div", 1000 * F.col(column), words) for name, column in MEASURES.items()}
         )
     )
-    cells = checkpointed(sketches(rows.where("not base_failed"), ["group", "language"], fences)).withColumn("everything", F.lit(""))
-    groups = cells.select("group", "language", "everything").distinct()
-    for level in ("group", "language", "everything"):
-        limits = fence_table(cells, level, fences)
-        if level != "everything":
-            limits = limits.where(F.col("documents") >= fences.least)
-        names = [c for c in limits.columns if c != level]
-        groups = groups.join(limits.select(level, F.struct(*names).alias(f"{level}_limits")), level, "left")
-    chosen = groups.select("group", F.coalesce("group_limits", "language_limits", "everything_limits").alias("limits"))
+    limits = fence_table(sketches(rows.where("not base_failed"), "group", fences), "group", fences)
     inside = F.lit(True)
     for name in MEASURES:
-        inside = inside & F.col(name).between(F.col(f"limits.{name}_least"), F.col(f"limits.{name}_most"))
+        inside = inside & F.col(name).between(F.col(f"{name}_least"), F.col(f"{name}_most"))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return rows.join(chosen, "group", "left").select(F.col("identifier").alias(identifier), *COUNTS, "base_failed", kept.alias("kept"))
+    return rows.join(limits, "group", "left").select(F.col("identifier").alias(identifier), *COUNTS, "base_failed", kept.alias("kept"))

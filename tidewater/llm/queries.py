@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import exact, langid, mixing, quality, sharding, simhash, tokenfile, toolcalls, toxicity
+from tidewater.llm import exact, langid, licenses, mixing, quality, sharding, simhash, tokenfile, toolcalls, toxicity
 from tidewater.llm.bpe import Bpe
 from tidewater.llm.common import documents, remainder, shared_folder, vocabulary
 
@@ -69,7 +69,7 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     bpe = Bpe(spark, vocabulary())
-    coded = docs.select("doc_id", bpe.encode(F.col("text")).alias("ids")).select("doc_id", "ids", bpe.decode(F.col("ids")).alias("decoded"))
+    coded = docs.select("doc_id", bpe.round_trip(F.col("text")).alias("both")).select("doc_id", "both.ids", "both.decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -96,23 +96,17 @@ counted AS (SELECT doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(li
 rated AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
                  1000 * n_symbols // greatest(n_words, 1) AS m0, 1000 * n_dup_lines // greatest(n_words, 1) AS m1,
                  1000 * n_repeat_words // greatest(n_words, 1) AS m2, 1000 * word_chars // greatest(n_words, 1) AS m3 FROM counted),
-cells AS (SELECT lang, source, k, (v >> s) << s AS bucket FROM (
+cells AS (SELECT lang, source, k, (v >> s) << s AS bucket, ((v >> s) << s) + (1 << s) - 1 AS top FROM (
             SELECT lang, source, k, v, greatest(0, length(bin(v)) - 7) AS s FROM (
               SELECT lang, source, unnest([0, 1, 2, 3]) AS k, unnest([m0, m1, m2, m3]) AS v FROM rated WHERE NOT base_failed))),
-levels AS (SELECT 0 AS level, lang, source, k, bucket FROM cells UNION ALL SELECT 1, lang, NULL, k, bucket FROM cells
-           UNION ALL SELECT 2, NULL, NULL, k, bucket FROM cells),
-ranked AS (SELECT level, lang, source, k, bucket, count(*) OVER g AS total,
-                  count(*) OVER (PARTITION BY level, lang, source, k ORDER BY bucket) AS upto FROM levels
-           WINDOW g AS (PARTITION BY level, lang, source, k)),
-quartiles AS (SELECT level, lang, source, k, max(total) AS n, min(bucket) FILTER (upto * 4 >= total) AS low,
-                     min(bucket) FILTER (upto * 4 >= total * 3) AS high FROM ranked GROUP BY ALL),
-limits AS (SELECT *, high + 3 * (high - low) + [100, 50, 200, 2000][k + 1] AS most,
-                  CASE WHEN k = 3 THEN low - 3 * (high - low) - 2000 ELSE 0 END AS least FROM quartiles WHERE level = 2 OR n >= 200),
-groups AS (SELECT DISTINCT lang, source FROM cells),
-chosen AS (SELECT g.lang, g.source, l.k, arg_min(l.most, l.level) AS most, arg_min(l.least, l.level) AS least
-           FROM groups g JOIN limits l ON l.level = 2 OR (l.lang IS NOT DISTINCT FROM g.lang
-             AND (l.level = 1 OR l.source IS NOT DISTINCT FROM g.source)) GROUP BY ALL),
-wide AS (SELECT lang, source, list(most ORDER BY k) AS most, list(least ORDER BY k) AS least FROM chosen GROUP BY ALL)
+ranked AS (SELECT lang, source, k, bucket, top, count(*) OVER g AS total,
+                  count(*) OVER (PARTITION BY lang, source, k ORDER BY bucket) AS upto FROM cells
+           WINDOW g AS (PARTITION BY lang, source, k)),
+tenths AS (SELECT lang, source, k, min(bucket) FILTER (upto * 10 >= total) AS low, min(bucket) FILTER (upto * 10 >= total * 5) AS middle,
+                  min(bucket) FILTER (upto * 10 >= total * 9) AS high, min(top) FILTER (upto * 10 >= total * 9) AS top FROM ranked GROUP BY ALL),
+limits AS (SELECT lang, source, k, top + 3 * (high - middle) + [20, 5, 50, 500][k + 1] AS most,
+                  CASE WHEN k = 3 THEN low - 3 * (middle - low) - 500 ELSE 0 END AS least FROM tenths),
+wide AS (SELECT lang, source, list(most ORDER BY k) AS most, list(least ORDER BY k) AS least FROM limits GROUP BY ALL)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT base_failed AND coalesce(m0 BETWEEN least[1] AND most[1] AND m1 BETWEEN least[2] AND most[2]
@@ -248,3 +242,49 @@ SELECT doc_id, keep_id, group_size, row_number() OVER (PARTITION BY t ORDER BY d
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     marked = exact.mark_duplicates(documents(spark, folder).select("doc_id", "text"), keep="largest")
     return marked.select("row.doc_id", "keep_id", "group_size", "kept", F.sha2("text", 256).alias("text_sha256"))
+
+
+def license_sql(templates: licenses.Templates) -> str:
+    """Every block beside every notice, words counted in full."""
+    rows = ", ".join(
+        f"('{label}', [{', '.join(repr(w.decode()) for w in words)}], {needed})"
+        for (label, _), words, needed in zip(templates.notices, templates.sets, templates.needed, strict=True)
+    )
+    phrases = ", ".join(f"('{label}', {phrase.split()!r})" for phrase, label in licenses.PHRASES)
+    longest = templates.longest
+    return rf"""
+WITH notices AS (SELECT * FROM (VALUES {rows}) AS t(label, own, needed)),
+phrases AS (SELECT * FROM (VALUES {phrases}) AS t(label, own)),
+texts AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+docs AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+places AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM docs) JOIN phrases
+           ON w[i + 1] = own[1] AND w[i + 1:i + len(own)] = own),
+based AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels
+          FROM places GROUP BY doc_id),
+sentences AS (SELECT doc_id, regexp_extract_all(s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (
+  SELECT doc_id, unnest(string_split_regex(t, '{licenses.SENTENCE_END}')) AS s FROM docs)),
+blocks AS (SELECT doc_id, list_distinct(w[start + 1:start + {2 * longest}]) AS b FROM (
+  SELECT doc_id, w, unnest(CASE WHEN len(w) <= {2 * longest} THEN [0] ELSE range(0, len(w) - {longest}, {longest}) END) AS start FROM sentences)),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(len(list_intersect(b, own))::DOUBLE / len(own)) AS score
+          FROM blocks JOIN notices ON len(b) >= needed AND len(list_intersect(b, own)) >= needed GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(based.labels, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(based.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+       coalesce(score, 0.0) AS score
+FROM docs LEFT JOIN based USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+@query("op12_license_scan", license_sql(licenses.Templates()))
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(documents(spark, folder))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
