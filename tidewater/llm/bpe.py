@@ -11,20 +11,24 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tidewater.llm.common import bound_batches
 
-#: Characters of text that a task tokenises at a time, and words it remembers, in two generations.
-SLICE_CHARS = 1 << 21
-REMEMBERED_WORDS = 150_000
+#: Bytes of text that a task tokenises at a time, words it remembers, in two generations, and how long one may be.
+SLICE_BYTES = 1 << 22
+REMEMBERED_WORDS = 120_000
+REMEMBERED_CHARS = 64
 #: Stand for "no symbol": beyond a word's end, and merged into the symbol on the left.
 END, GONE = (1 << 20) - 1, (1 << 20) - 2
 #: Text that any Unicode version lower-cases and splits alike: printable ASCII, line ends, Latin-1 letters. The pattern
 #: is the vocabulary's own over these characters, plus the strings of added tokens.
 OTHER = re.compile("[^\n\t -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
+OTHER_RE2 = "[^\\n\\t -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+LATIN_MARK = "'(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \t\na-z0-9\u00df-\u00f6\u00f8-\u00ff]+"
 LATIN_WORD = "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ \t\na-z0-9\u00df-\u00f6\u00f8-\u00ff]+"
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -119,7 +123,9 @@ class WordBpe:
     """Encoder and decoder of one vocabulary file: the text of a tokenizers JSON file, a byte-level BPE over words.
 
     Text splits into words by the file's own normaliser and pre-tokeniser; Latin text, where their rules are plain, by
-    the same pattern here. Words that were met before are remembered, others go to one index of pair occurrences.
+    the same pattern here, for a whole batch at a time: marks get spaces around them, and what stands between spaces is
+    a word. Each different word of a batch is looked up once. Words that were met before are remembered, if they are
+    short; others go to one index of pair occurrences.
     """
 
     remembered = REMEMBERED_WORDS
@@ -150,6 +156,7 @@ class WordBpe:
         self.names: list[str | None] = [None] * (1 + max([*vocabulary.values(), *self.added.values()]))
         for name, number in {**vocabulary, **self.added}.items():
             self.names[number] = name
+        self.name_array = pa.array(self.names, pa.string())
         self.recent: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
 
@@ -187,23 +194,59 @@ class WordBpe:
         cuts = (np.append(0, np.cumsum(counts)) * 4).tolist()
         self.recent.update(zip(words, (data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Identifiers of each text, as little-endian integers of this encoder's kind."""
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Identifiers of each text, as little-endian integers of this encoder's kind; null is empty."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        plain = pc.invert(pc.match_substring_regex(texts, OTHER_RE2))
+        for name in self.added:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, name)))
+        plain = plain.to_numpy(zero_copy_only=False)
+        found: list[bytes] = [b""] * len(texts)
+        if plain.any():
+            own = texts if plain.all() else texts.filter(pa.array(plain))
+            spaced = pc.replace_substring_regex(pc.utf8_lower(own), pattern=LATIN_MARK, replacement=r" \0 ")
+            lists = pc.ascii_split_whitespace(spaced)
+            self._fill(found, np.flatnonzero(plain), lists.flatten(), lists.value_lengths().to_numpy())
+        if not plain.all():
+            split = [self.words(text) for text in texts.filter(pa.array(~plain)).to_pylist()]
+            words = pa.array([word for own in split for word in own], pa.string())
+            self._fill(found, np.flatnonzero(~plain), words, np.array([len(own) for own in split], dtype=np.int64))
+        return found
+
+    def _fill(self, found: list[bytes], rows: np.ndarray, words: pa.Array, counts: np.ndarray) -> None:
+        """Set `found` at these rows, whose words follow each other in `words`, `counts` of them each."""
+        coded = words.dictionary_encode()
+        spelled = self.identifiers(coded.dictionary.to_pylist())
+        size = self.kind.itemsize
+        lengths = np.fromiter(map(len, spelled), dtype=np.int64, count=len(spelled)) // size
+        flat = np.frombuffer(b"".join(spelled), dtype=self.kind)
+        codes = coded.indices.to_numpy()
+        here = lengths[codes]
+        ends = np.append(0, np.cumsum(here))
+        data = flat[np.repeat((np.cumsum(lengths) - lengths)[codes] - ends[:-1], here) + np.arange(ends[-1])].tobytes()
+        cuts = (ends[np.append(0, np.cumsum(counts))] * size).tolist()
+        for row, a, b in zip(rows.tolist(), cuts[:-1], cuts[1:], strict=True):
+            found[row] = data[a:b]
+
+    def identifiers(self, words: list[str]) -> list[bytes]:
+        """Identifiers of different words; an empty one has none."""
         if len(self.recent) > self.remembered:
             self.earlier, self.recent = self.recent, {}
-        split = [self.words(text) for text in texts]
-        unseen: set[str] = set()
-        for words in split:
-            unseen.update(words)
-        unseen -= self.recent.keys()
-        for word in unseen & self.earlier.keys():
-            self.recent[word] = self.earlier[word]
-        for word in unseen & self.added.keys():
-            self.recent[word] = np.array([self.added[word]], dtype=self.kind).tobytes()
-        if new := sorted(unseen - self.recent.keys()):
+        recent, earlier = self.recent, self.earlier
+        recent[""] = b""
+        unseen = [word for word in words if word not in recent]
+        for word in unseen:
+            if word in earlier:
+                recent[word] = earlier[word]
+            elif word in self.added:
+                recent[word] = np.array([self.added[word]], dtype=self.kind).tobytes()
+        if new := sorted(word for word in unseen if word not in recent):
             self.learn(new)
-        known = self.recent.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        found = [recent[word] for word in words]
+        for word in new:
+            if len(word) > REMEMBERED_CHARS:
+                del recent[word]
+        return found
 
     def decode(self, ids: list[int]) -> str:
         """Token names joined by spaces, as a vocabulary without a decoder does; unknown identifiers are left out."""
@@ -221,23 +264,19 @@ def byte_letters() -> list[str]:
     return [chr(byte) if byte in printable else chr(next(spare)) for byte in range(256)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def model_of(specification: str) -> WordBpe:
     return WordBpe(specification)
 
 
-def slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[list[str]]:
-    """The texts as Python strings, about `limit` characters at a time; null is empty."""
-    held: list[str] = []
-    chars = 0
-    for value in texts:
-        held.append(value.as_py() or "")
-        chars += len(held[-1])
-        if chars >= limit:
-            yield held
-            held, chars = [], 0
-    if held:
-        yield held
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The texts, about `limit` bytes at a time."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = np.cumsum(sizes) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield texts.slice(a, b - a)
 
 
 def list_array(chunks: list[bytes], kind: np.dtype, arrow: pa.DataType) -> pa.Array:
@@ -270,6 +309,20 @@ class Bpe:
 
         return per_batch(F.coalesce(text, F.lit("")))
 
+    def round_trip(self, text: Column) -> Column:
+        """struct<ids, decoded>: what `encode` gives, and what `decode` makes of it, by one Python worker instead of two."""
+        specification = self.specification
+
+        @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]))
+        def per_batch(texts: pa.Array) -> pa.Array:
+            model = model_of(specification.value)
+            chunks = [ids for some in slices(texts) for ids in model.encode(some)]
+            ids = list_array(chunks, np.dtype("<i4"), pa.int32())
+            names = pa.ListArray.from_arrays(ids.offsets, model.name_array.take(ids.values))
+            return pa.StructArray.from_arrays([ids, pc.binary_join(names, " ")], names=["ids", "decoded"])
+
+        return per_batch(F.coalesce(text, F.lit("")))
+
     def decode(self, ids: Column) -> Column:
         specification = self.specification
 

@@ -98,7 +98,7 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 class LibraryBpe(WordBpe):
     """Words are encoded by the tokenizers library itself, many in one call; a word ends with a symbol that says so."""
 
-    remembered = 400_000
+    remembered = 250_000
 
     def __init__(self, specification: str, width: int = 4):
         super().__init__(specification)
@@ -120,7 +120,7 @@ class LibraryBpe(WordBpe):
         self.recent.update(zip(words, parts, strict=True))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def library_of(specification: str, width: int) -> LibraryBpe:
     return LibraryBpe(specification, width)
 

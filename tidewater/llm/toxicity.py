@@ -51,7 +51,7 @@ class SentenceModel:
 class Scorer:
     """A model with the weights of the words it has met."""
 
-    def __init__(self, model: SentenceModel, memory: int = 400_000):
+    def __init__(self, model: SentenceModel, memory: int = 150_000):
         self.model, self.memory = model, memory
         self.words: dict[str, float] = {}
 
@@ -211,6 +211,6 @@ _ARROW = pa.struct(
 )
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _scorer(sent: Broadcast) -> Scorer:
     return Scorer(sent.value)
