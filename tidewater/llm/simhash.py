@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import components
+from tidewater.llm.common import components, partitions
 from tidewater.session import checkpointed
 
 #: Shingle hashes whose bits are summed at a time.
@@ -62,7 +62,9 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     gives n - 1 pairs, and n is at most the size of a ball. Colliding pairs are verified and made distinct.
     """
     reach = F.array(*(F.lit(mask) for mask in ball((radius + 1) // 2)))
-    points = distinct.select(
+    # By number: adaptive execution would put the few narrow rows into a task or two, before each becomes a ball.
+    spread = distinct.repartition(partitions(distinct.sparkSession), "fingerprint")
+    points = spread.select(
         "fingerprint", F.explode(F.transform(reach, lambda mask: F.col("fingerprint").bitwiseXOR(mask))).alias("point")
     )
     near = F.bit_count(F.col("point").bitwiseXOR(F.col("fingerprint"))) <= radius // 2
@@ -87,7 +89,9 @@ def near_duplicates(
 
     Null text counts as empty; wordless texts have fingerprint zero and link like any other. Texts of fewer words than
     `width` are one shingle. Rows with a null identifier take part but name no component: a component of such rows alone
-    has a null component_id. Repeated rows repeat in the result. An empty table gives no rows. Other columns are not read.
+    has a null component_id. Repeated rows repeat in the result. A very long text is summed block by block. Ties do not
+    arise: a component is named by its smallest identifier, whatever the order. An empty table gives no rows. Other
+    columns are not read.
     """
     rows = checkpointed(df.select(F.col(identifier).alias("identifier"), fingerprints(F.col(text), width).alias("fingerprint")))
     smallest = rows.groupBy("fingerprint").agg(F.min("identifier").alias("smallest"))
