@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import exact, langid, licenses, mixing, quality, sharding, simhash, tokenfile, toolcalls, toxicity
+from tidewater.llm import (
+    exact,
+    hardnegatives,
+    langid,
+    licenses,
+    mixing,
+    prefixtrie,
+    quality,
+    sharding,
+    simhash,
+    tokenfile,
+    toolcalls,
+    toxicity,
+)
 from tidewater.llm.bpe import Bpe
 from tidewater.llm.common import documents, remainder, shared_folder, vocabulary
 
@@ -244,6 +257,30 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return marked.select("row.doc_id", "keep_id", "group_size", "kept", F.sha2("text", 256).alias("text_sha256"))
 
 
+NEGATIVES_SQL = """
+WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                     list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+              WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+           FROM rows a JOIN rows r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score) WHERE rank <= 5
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    rows = documents(spark, folder, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hardnegatives.mine(rows, vec_id % 100 == 0)
+
+
 def license_sql(templates: licenses.Templates) -> str:
     """Every block beside every notice, words counted in full."""
     rows = ", ".join(
@@ -288,3 +325,32 @@ def license_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join("labels", ",").alias("labels"),
         "score",
     )
+
+
+TRIE_SQL = """
+WITH convs AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+               FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+cuts AS (SELECT conv_id, turns, conv_id - conv_id % 5 AS base, xor(4294967295::BIGINT, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384::BIGINT)))) % 9 AS h
+         FROM convs),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.turns[1:h], []), c.turns[h + 1:]) AS turns
+            FROM cuts c LEFT JOIN convs b ON b.conv_id = c.base),
+paths AS (SELECT conv_id, d, turns[1:d] AS path, d = len(turns) AS ends FROM (
+            SELECT conv_id, turns, unnest(generate_series(0, len(turns))) AS d FROM rebuilt)),
+nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends FROM paths GROUP BY path, d),
+children AS (SELECT path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+valued AS (SELECT nodes.*, coalesce(n, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(path[d].t) END AS saved
+           FROM nodes LEFT JOIN children USING (path)),
+subtrees AS (SELECT path[1:k] AS path, sum(CAST(n_children = 0 AS INT))::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+             FROM (SELECT path, n_children, saved, unnest(generate_series(0, d)) AS k FROM valued) GROUP BY 1)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(v.ends) AS ends_sha256
+FROM valued v JOIN subtrees USING (path) LEFT JOIN nodes p ON v.d > 0 AND p.path = v.path[1:v.d - 1]
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    found = prefixtrie.trie(documents(spark, folder, "conversations"))
+    return found.withColumnsRenamed({"conv": "conv_id", "parent_conv": "parent_conv_id"})
