@@ -3,12 +3,15 @@ import os
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import embed as E
+from tidewater.operators import fulltext
 from tidewater.operators import search as S
 from tidewater.plans import retrieval
+from tidewater.sources import indexes
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -106,6 +109,107 @@ def test_bm25_matches_brute_force(spark, block):
         np.testing.assert_allclose([s for _, _, s in got], [-s for s, _ in expected], atol=1e-8)
 
 
+def random_texts(count, seed):
+    rng = np.random.default_rng(seed)
+    words = [f"w{k}" for k in range(60)]
+    weights = 1 / np.arange(1, 61)
+    return [(f"d{k}", " ".join(rng.choice(words, size=int(rng.integers(0, 40)), p=weights / weights.sum()))) for k in range(count)]
+
+
+def dense_bm25(rows, query, k, k1=1.2, b=0.75):
+    split = {i: (t or "").lower().split() for i, t in rows}
+    mean = sum(map(len, split.values())) / len(split)
+    hits = []
+    for i, terms in split.items():
+        counts, total = Counter(terms), 0.0
+        for term in sorted(set(query.lower().split())):
+            n = sum(term in s for s in split.values())
+            if counts[term]:
+                total += math.log1p((len(split) - n + 0.5) / (n + 0.5)) * counts[term] * (k1 + 1) / (
+                    counts[term] + k1 * (1 - b + b * len(terms) / mean)
+                )
+        if total:
+            hits.append((-round(total, 9), i))
+    return [i for _, i in sorted(hits)[:k]]
+
+
+def found_ids(hits):
+    out = {}
+    for r in sorted(hits.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append(r["id"])
+    return out
+
+
+@pytest.mark.parametrize("chunk", [2, 1024])
+def test_text_index_of_several_blocks_and_segments(spark, tmp_path, chunk):
+    rows = [*random_texts(300, 1), ("null", None), ("empty", ""), ("copy", "w1 w2 w3"), ("copy2", "w1 w2 w3")]
+    frame = lambda part: spark.createDataFrame(part, "id string, text string").repartition(3)
+    path = str(tmp_path / "index")
+    fulltext.write_text_index(frame(rows[:200]), path, block_documents=16)
+    fulltext.write_text_index(frame(rows[200:250]), path, segment=1, block_documents=16)
+    index = fulltext.write_text_index(frame(rows[200:]), path, segment=1, block_documents=16)  # a retry replaces
+    asked = ["w1 w2 w3", "w40 W59", "nothing known", "w50", "w0 w0 w7 w33"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    got = found_ids(S.search_text(index, queries, 7, limits=S.BatchLimits(queries=chunk)))
+    expected = {q: hits for q, text in enumerate(asked) if (hits := dense_bm25(rows, text, 7))}
+    assert got == expected
+    (tmp_path / "index" / "totals" / "segment=1").rename(tmp_path / "gone")  # a segment without totals does not count
+    half = fulltext.text_index(spark, path)
+    assert found_ids(S.search_text(half, queries, 7)) == {q: h for q, t in enumerate(asked) if (h := dense_bm25(rows[:200], t, 7))}
+    assert S.search_text(half, queries.limit(0), 7).isEmpty()
+
+
+def test_search_opens_only_folders_of_asked_terms(spark, tmp_path):
+    rows = random_texts(200, 2)
+    path = tmp_path / "index"
+    index = fulltext.write_text_index(spark.createDataFrame(rows, "id string, text string"), str(path))
+    queries = spark.createDataFrame([(1, "w3 w20")], "query_id int, text string")
+    wanted = {r["bucket"] for r in index.terms.where("term in ('w3', 'w20')").collect()}
+    for name in ("postings", "terms"):
+        for folder in (path / name / "segment=0").glob("bucket=*"):
+            if int(folder.name.split("=")[1]) not in wanted:
+                for file in folder.glob("*.parquet"):
+                    file.write_bytes(b"not a Parquet file")  # opening it fails
+    fresh = fulltext.text_index(spark, str(path))
+    assert found_ids(S.search_text(fresh, queries, 5)) == {1: dense_bm25(rows, "w3 w20", 5)}
+    with pytest.raises(Exception, match="not a Parquet|PARQUET|Parquet"):
+        fresh.postings.groupBy("term").agg(F.max("n")).collect()
+
+
+def test_blocks_below_the_kth_score_are_skipped():
+    schema = pa.schema([("term", pa.string()), ("max_count", pa.int32()), ("min_length", pa.int32()),
+                        ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32()))])
+    pairs = pa.array([[{"term": "a", "weight": 2.0}]], pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())])))
+    cell = fulltext._Cell(pa.RecordBatch.from_arrays([pa.array([7]), pairs], names=["query_id", "pairs"]), 2, 1.2, 0.75, 10.0)
+    block = lambda ids, counts: pa.RecordBatch.from_pydict(
+        {"term": ["a"], "max_count": [max(counts)], "min_length": [10], "ids": [ids], "counts": [counts], "lengths": [[10] * len(ids)]}, schema
+    )
+    cell.see(block([1, 2, 3], [5, 4, 3]))
+    assert cell.scored == 3
+    cell.see(block([4, 5], [2, 3]))
+    assert cell.scored == 3  # at most as good as the third best
+    cell.see(block([6, 0], [1, 4]))
+    assert cell.scored == 5 and cell.best.ids.to_pylist() == [1, 0]
+
+
+def test_kept_indexes(spark, tmp_path):
+    table = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "red cat"), (2, "blue dog")], "id long, text string").write.parquet(table)
+    queries = spark.createDataFrame([(1, "cat")], "query_id int, text string")
+    first = indexes.kept_text_index(spark.read.parquet(table), "t")
+    again = indexes.kept_text_index(spark.read.parquet(table), "t")
+    assert first.postings.inputFiles() == again.postings.inputFiles()
+    spark.createDataFrame([(3, "cat cat")], "id long, text string").write.mode("append").parquet(table)
+    assert found_ids(S.search_text(indexes.kept_text_index(spark.read.parquet(table), "t"), queries, 5)) == {1: [3, 1]}
+    root = indexes.index_root(spark)
+    names = [r["name"] for r in indexes.list_indexes(spark, root).collect() if r["name"].startswith("t-")]
+    assert len(names) == 2 and indexes.drop_index(spark, root, names[0]) and not indexes.drop_index(spark, root, names[0])
+    assert names[0] not in [r["name"] for r in indexes.list_indexes(spark, root).collect()]
+    assert indexes.list_indexes(spark, str(tmp_path / "none")).isEmpty()
+    with pytest.raises(ValueError):
+        indexes.drop_index(spark, root, "../x")
+
+
 def test_fusion(spark):
     vector = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id int, id int, rank int")
     text = spark.createDataFrame([(1, 11, 1), (1, 12, 2), (2, 5, 1)], "query_id int, id int, rank int")

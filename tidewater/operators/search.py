@@ -3,13 +3,13 @@
 A query batch is small next to the corpus, so queries travel to the corpus: each task scores its
 own rows against the whole batch and passes on k rows per query. No query-document pairs are
 shuffled or joined. What travels is bounded (`BatchLimits`): a larger batch is a stated query set
-that is searched in blocks, all of it against all rows, one corpus pass per block.
+that is searched in blocks, all of it against all rows, one corpus pass per block. Full text is
+searched in an inverted index (`fulltext`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -21,63 +21,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidewater.functions import text as X
 from tidewater.functions.ordering import top_per_group
+from tidewater.operators import fulltext
+from tidewater.operators.fulltext import TextIndex
+from tidewater.operators.topk import Best, BatchLimits, emit, top_k_schema
 
-# Distances and scores are ranked at this many decimals, so that the order of float additions
-# inside a task cannot change the order of hits.
-DECIMALS = 9
 RRF_CONSTANT = 60
 # Vector pairs measured at a time in a task.
 PAIRS_AT_ONCE = 1 << 16
 
 
-@dataclass(frozen=True)
-class BatchLimits:
-    """Largest query block sent to the tasks: number of queries, and (query, term) pairs."""
-
-    queries: int = 1024
-    terms: int = 200_000
-
-
 def matches(filters: Mapping[str, Any] | None) -> Column:
     """AND of equalities over metadata columns."""
     return reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in (filters or {}).items()], F.lit(True))
 
 
-class _Best:
-    """The k best rows per query seen by one task."""
-
-    def __init__(self, k: int) -> None:
-        self.k = k
-        self.query = np.empty(0, dtype=np.int64)
-        self.value = np.empty(0)
-        self.ids: pa.Array | None = None
-
-    def offer(self, values: np.ndarray, ids: pa.Array, allowed: np.ndarray | None = None) -> None:
-        """Merge a batch; `values` is rows x queries, smaller is better, +inf means no hit."""
-        values = np.round(values, DECIMALS)
-        if allowed is not None:
-            values = np.where(allowed, values, np.inf)
-        if values.shape[0] > self.k:
-            worst_kept = np.partition(values, self.k - 1, axis=0)[self.k - 1]
-            row, query = np.nonzero((values <= worst_kept) & np.isfinite(values))
-        else:
-            row, query = np.nonzero(np.isfinite(values))
-        merged_query = np.concatenate([self.query, query])
-        merged_value = np.concatenate([self.value, values[row, query]])
-        picked = ids.take(pa.array(row))
-        merged_ids = picked if self.ids is None else pa.concat_arrays([self.ids, picked])
-        if not len(merged_query):
-            return
-        id_order = pc.rank(merged_ids, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
-        order = np.lexsort((id_order, merged_value, merged_query))
-        sorted_query = merged_query[order]
-        starts = np.searchsorted(sorted_query, sorted_query, side="left")
-        keep = order[np.arange(len(order)) - starts < self.k]
-        self.query, self.value, self.ids = merged_query[keep], merged_value[keep], merged_ids.take(pa.array(keep))
-
-
 def _run_blocks(queries: DataFrame, size: int, limit: int, run) -> DataFrame:
     """Union of `run(block)` over blocks of whole queries, so that a block stays below the bound."""
     blocks = -(-size // limit)
@@ -87,20 +45,6 @@ def _run_blocks(queries: DataFrame, size: int, limit: int, run) -> DataFrame:
     return reduce(DataFrame.unionByName, [run(queries.where(block == b)) for b in range(blocks)])
 
 
-def _top_k_schema(queries: DataFrame, id_field: T.StructField) -> T.StructType:
-    return T.StructType([
-        T.StructField("query_id", queries.schema["query_id"].dataType),
-        T.StructField("id", id_field.dataType),
-        T.StructField("value", T.DoubleType()),
-    ])
-
-
-def _emit(best: _Best, query_ids: pa.Array, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    if best.ids is not None and len(best.ids):
-        picked = query_ids.take(pa.array(best.query))
-        yield pa.RecordBatch.from_arrays([picked, best.ids.cast(schema.field(1).type), pa.array(best.value)], schema=schema)
-
-
 def _with_vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield batch.filter(pc.is_valid(batch.column(1)))
@@ -163,7 +107,7 @@ def nearest(
     # embedding function and make Spark run it twice.
     corpus = index.where(matches(filters)).select("id", "vector")
     size = queries.count()
-    schema = _top_k_schema(queries, index.schema["id"])
+    schema = top_k_schema(queries, index.schema["id"])
 
     def run(block: DataFrame) -> DataFrame:
         local = block.select("query_id", "vector").toArrow()
@@ -172,11 +116,11 @@ def nearest(
         arrow_schema = to_arrow_schema(schema)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = _Best(k)
+            best = Best(k)
             for batch in _with_vector(batches):
                 if batch.num_rows and len(query_ids):
                     best.offer(distances(_matrix(batch.column(1)), vectors, metric, k), batch.column(0))
-            yield from _emit(best, query_ids, arrow_schema)
+            yield from emit(best, query_ids, arrow_schema)
 
         return corpus.mapInArrow(score, schema)
 
@@ -186,86 +130,18 @@ def nearest(
 
 
 def search_text(
-    index: DataFrame,
+    index: DataFrame | TextIndex,
     queries: DataFrame,
     k: int = 10,
     k1: float = 1.2,
     b: float = 0.75,
     limits: BatchLimits = BatchLimits(),
 ) -> DataFrame:
-    """BM25 top-k of `index(id, text, …)` for `queries(query_id, text)`: query_id, id, rank, score.
+    """BM25 top-k for `queries(query_id, text)`: query_id, id, rank, score, from a text index or rows `(id, text, …)`.
 
-    A query's repeated terms count once. Equal scores are ordered by id.
+    Rows are indexed first, in the session's shared folder; keep a `TextIndex` to search it again.
     """
-    documents = index.select("id", X.terms(F.col("text")).alias("terms"))
-    asked = queries.select("query_id", F.array_distinct(X.terms(F.col("text"))).alias("terms"))
-    size = asked.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
-    schema = _top_k_schema(queries, index.schema["id"])
-
-    def run(block: DataFrame) -> DataFrame:
-        pairs = block.select("query_id", F.explode("terms").alias("term"))
-        local = pairs.orderBy("query_id", "term").toArrow()
-        query_column = local.column("query_id").combine_chunks().dictionary_encode()
-        term_column = local.column("term").combine_chunks().cast(pa.string()).dictionary_encode()
-        query_ids, vocabulary = query_column.dictionary, term_column.dictionary
-        found = _term_statistics(documents, pairs.select("term").distinct())
-        n_documents = np.array([found.get(t, (0, 0))[0] for t in vocabulary.to_pylist()], dtype=np.float64)
-        n_rows, n_terms = found.get("", (0, 0))
-        weights = np.zeros((len(vocabulary), len(query_ids)))
-        idf = np.log1p((n_rows - n_documents + 0.5) / (n_documents + 0.5))
-        term_index = term_column.indices.to_numpy()
-        weights[term_index, query_column.indices.to_numpy()] = idf[term_index]
-        mean_length = n_terms / n_rows if n_terms else 1.0
-        arrow_schema = to_arrow_schema(schema)
-        rows_at_once = max(1, 4_000_000 // max(len(vocabulary), 1))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = _Best(k)
-            for batch in batches:
-                for start in range(0, batch.num_rows if len(query_ids) else 0, rows_at_once):
-                    part = batch.slice(start, rows_at_once)
-                    counts, lengths = term_counts(part.column(1), vocabulary)
-                    norm = k1 * (1 - b + b * lengths / mean_length)
-                    scores = (counts * (k1 + 1) / (counts + norm[:, None])) @ weights
-                    best.offer(np.where(scores > 0, -scores, np.inf), part.column(0))
-            yield from _emit(best, query_ids, arrow_schema)
-
-        return documents.mapInArrow(score, schema)
-
-    blocks = max(-(-size["queries"] // limits.queries), -(-size["terms"] // limits.terms), 1)
-    hits = _run_blocks(asked, size["queries"], max(1, -(-size["queries"] // blocks)), run)
-    ranked = top_per_group(hits, ["query_id"], [F.col("value"), F.col("id")], k)
-    return ranked.select("query_id", "id", "rank", (-F.col("value")).alias("score"))
-
-
-def _term_statistics(documents: DataFrame, vocabulary: DataFrame) -> dict[str, tuple[int, int]]:
-    """Documents per term of the vocabulary; under "" the number of documents and of all terms.
-
-    One corpus pass: every document adds an empty term that carries its length, and a task shuffles
-    at most one row per term.
-    """
-    spark = documents.sparkSession
-    wanted = vocabulary.unionByName(spark.range(1).select(F.lit("").alias("term")))
-    length = F.coalesce(F.size("terms"), F.lit(0))
-    entries = F.concat(F.coalesce(F.array_distinct("terms"), F.array().cast("array<string>")), F.array(F.lit("")))
-    counted = (
-        documents.select(F.explode(entries).alias("term"), length.alias("length"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
-    )
-    return {r["term"]: (r["n"], r["total"]) for r in counted.collect()}
-
-
-def term_counts(column: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Counts per row and vocabulary term, and the number of terms per row."""
-    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.float64)
-    row = pc.list_parent_indices(column).to_numpy()
-    term = pc.index_in(column.flatten(), value_set=vocabulary)
-    known = term.is_valid().to_numpy(zero_copy_only=False)
-    cell = row[known] * len(vocabulary) + term.drop_null().to_numpy()
-    counts = np.bincount(cell, minlength=len(column) * len(vocabulary)).reshape(len(column), len(vocabulary))
-    return counts.astype(np.float64), lengths
+    return fulltext.search(index if isinstance(index, TextIndex) else fulltext.temporary_index(index), queries, k, k1, b, limits)
 
 
 def fuse(vector_hits: DataFrame, text_hits: DataFrame, k: int = 10, text_weight: float = 0.3) -> DataFrame:
@@ -284,10 +160,19 @@ def fuse(vector_hits: DataFrame, text_hits: DataFrame, k: int = 10, text_weight:
 
 
 def search_hybrid(
-    index: DataFrame, queries: DataFrame, k: int = 10, text_weight: float = 0.3, metric: str = "cosine"
+    index: DataFrame,
+    queries: DataFrame,
+    k: int = 10,
+    text_weight: float = 0.3,
+    metric: str = "cosine",
+    texts: TextIndex | None = None,
 ) -> DataFrame:
-    """Vector and full-text search of `queries(query_id, text, vector)`, 2k candidates each, fused."""
-    return fuse(nearest(index, queries, 2 * k, metric), search_text(index, queries, 2 * k), k, text_weight)
+    """Vector and full-text search of `queries(query_id, text, vector)`, 2k candidates each, fused.
+
+    `index` has the vectors; the texts come from it too, unless their text index is given.
+    """
+    found = search_text(texts or index, queries, 2 * k)
+    return fuse(nearest(index, queries, 2 * k, metric), found, k, text_weight)
 
 
 def train_cells(index: DataFrame, cells: int = 256, seed: int = 42, iterations: int = 10):
@@ -321,7 +206,7 @@ def nearest_by_cell(
     spread over as many tasks as its files are.
     """
     centers = np.asarray(model.clusterCenters(), dtype=np.float64)
-    schema = _top_k_schema(queries, index.schema["id"])
+    schema = top_k_schema(queries, index.schema["id"])
     size = queries.count()
     probes = min(probes, len(centers))
 
@@ -338,12 +223,12 @@ def nearest_by_cell(
         arrow_schema = to_arrow_schema(schema)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = _Best(k)
+            best = Best(k)
             for batch in _with_vector(batches):
                 if batch.num_rows and len(query_ids):
                     allowed = probed[batch.column(2).to_numpy()]
                     best.offer(distances(_matrix(batch.column(1)), vectors, metric), batch.column(0), allowed)
-            yield from _emit(best, query_ids, arrow_schema)
+            yield from emit(best, query_ids, arrow_schema)
 
         return corpus.mapInArrow(score, schema)
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import embed as E
 from tidewater.operators import search as S
+from tidewater.operators.fulltext import temporary_index
 from tidewater.plans.base import query, table
 from tidewater.plans.preparation import WORDS_SQL
+from tidewater.sources.indexes import kept_table, kept_text_index
 
 TERMS = "list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
@@ -129,10 +131,22 @@ bm AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
     SELECT query_id, id, rank::INT AS rank, round(score, 5) AS score FROM r WHERE rank <= 10""",
 )
 def search_text(spark: SparkSession, folder: str) -> DataFrame:
-    hits = S.search_text(corpus(spark, folder), asked(spark, folder), 10)
+    """The text index is built by the first search of this state of the table, and kept."""
+    hits = S.search_text(kept_text_index(corpus(spark, folder), "documents-text"), asked(spark, folder), 10)
     return hits.withColumn("score", F.round("score", 5))
 
 
+@query(
+    "text_index_terms",
+    f"""SELECT term, count(DISTINCT doc_id) AS n, count(*) AS occurrences FROM (
+      SELECT doc_id, unnest({TERMS.format(text='text')}) AS term FROM documents) GROUP BY term""",
+)
+def text_index_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The text index built anew, and what it says of its terms."""
+    index = temporary_index(corpus(spark, folder))
+    return index.terms.groupBy("term").agg(F.sum("n").alias("n"), F.sum("occurrences").alias("occurrences"))
+
+
 @query(
     "search_hybrid",
     f"""WITH {BM25_SQL},
@@ -151,7 +165,11 @@ def search_text(spark: SparkSession, folder: str) -> DataFrame:
     SELECT query_id, id, rank::INT AS rank, round(score, 9) AS score FROM ranked WHERE rank <= 10""",
 )
 def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    hits = S.search_hybrid(E.embed(corpus(spark, folder)), E.embed(asked(spark, folder)), 10)
+    """Text index and vectors are built by the first search of this state of the table, and kept."""
+    texts = corpus(spark, folder)
+    vectors = kept_table(texts, "documents-vectors", lambda df: E.embed(df).select("id", "vector"))
+    index = kept_text_index(texts, "documents-text")
+    hits = S.search_hybrid(vectors, E.embed(asked(spark, folder)), 10, texts=index)
     return hits.withColumn("score", F.round("score", 9))
 
 
