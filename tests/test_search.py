@@ -220,19 +220,44 @@ def test_fusion(spark):
     assert [r["id"] for r in S.fuse(tie, tie.limit(0), 2).orderBy("rank").collect()] == [2, 3]
 
 
-def test_cell_search_with_all_cells_is_exact(spark, vectors, tmp_path):
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_cell_search_with_all_cells_is_exact(spark, vectors, tmp_path, monkeypatch, metric):
+    monkeypatch.setattr(S, "CELL_ROWS", 40)  # cells are cut
     index = as_frame(spark, vectors)
     queries = as_frame(spark, vectors[:5], "query_id").drop("kind")
-    model = S.train_cells(index, cells=4)
-    S.assign_cells(index, model).write.partitionBy("cell").parquet(str(tmp_path / "index"))
+    model = S.train_cells(index, cells=4, metric=metric)
+    S.assign_cells(index, model, overlap=0.2).write.partitionBy("cell").parquet(str(tmp_path / "index"))
     stored = spark.read.parquet(str(tmp_path / "index"))
-    exact = S.nearest(index, queries, 5, "l2")
-    every = S.nearest_by_cell(stored, queries, model, 5, probes=4, metric="l2")
-    assert every.exceptAll(exact).isEmpty() and exact.exceptAll(every).isEmpty()
-    some = S.recall(S.nearest_by_cell(stored, queries, model, 5, probes=2, metric="l2"), exact).collect()
+    assert 300 < stored.count() < 600 and stored.select("id").distinct().count() == 300
+    exact = S.nearest(index, queries, 5, metric)
+    every = S.nearest_by_cell(stored, queries, model, 5, probes=4, share=1.0, limits=S.BatchLimits(queries=2))
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+    some = S.recall(S.nearest_by_cell(stored, queries, model, 5, probes=2), exact).collect()
     assert all(0 < r["recall"] <= 1 for r in some)
 
 
+def test_cell_search_measures_what_it_says(spark, vectors, monkeypatch):
+    index = as_frame(spark, vectors)
+    queries = as_frame(spark, vectors[:7], "query_id").drop("kind")
+    model = S.train_cells(index, cells=3)
+    cells = S.assign_cells(index, model).collect()
+    sizes = Counter(r["cell"] for r in cells)
+    probed = S.probe_table(queries, model, 2).collect()
+    expected = Counter()
+    for r in probed:
+        n = sizes[r["cell"]]
+        expected[r["query_id"]] += min(n, max(4, math.ceil(n * 0.25)))
+    cost = S.probe_cost(spark.createDataFrame(cells), queries, model, 4, 2)
+    assert {r["query_id"]: r["computed"] for r in cost.collect()} == dict(expected)
+    own = [np.array(r["vector"]) for r in cells if r["cell"] == 0]
+    part = pa.RecordBatch.from_pydict({"id": list(range(len(own))), "vector": [v.tolist() for v in own], "code": [model.codes(v[None, :])[0].tobytes() for v in own]})
+    measured = []
+    plain = S.distances
+    monkeypatch.setattr(S, "distances", lambda rows, *a: (measured.append(len(rows)), plain(rows, *a))[1])
+    S._nearest_in_part(part, np.array(own[:2]), model, 4, 0.25)
+    assert measured == [max(4, math.ceil(len(own) * 0.25))] * 2
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (2, ""), (3, "x")], "id int, text string")
     got = [(r["id"], r["chunk_no"], r["text"]) for r in E.chunks(df, "id", size=2).orderBy("id", "chunk_no").collect()]
@@ -290,3 +315,4 @@ def test_cell_search_finds_the_neighbours_of_rows(spark, folder):
     asked = spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()
     assert {r["query_id"] for r in got} == {r["vec_id"] for r in asked}
     assert all(r["n_exact"] == 10 for r in got) and np.mean([r["recall"] for r in got]) >= 0.9
+    assert all(r["measured"] <= 0.25 for r in got)

@@ -10,6 +10,7 @@ from tidewater.operators import search as S
 from tidewater.operators.fulltext import temporary_index
 from tidewater.plans.base import query, table
 from tidewater.plans.preparation import WORDS_SQL
+from tidewater.session import checkpointed
 from tidewater.sources.indexes import kept_table, kept_text_index
 
 TERMS = "list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -106,6 +107,24 @@ for _metric in METRIC_SQL:
 query("nearest_filtered", _nearest_sql("cosine", "label = 3"))(_nearest("cosine", {"label": 3}))
 
 
+ROWS_SQL = """
+corpus AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE * (label + 1)) AS v FROM embeddings),
+queries AS (SELECT id AS query_id, v AS q FROM corpus WHERE id % 100 = 0)"""
+
+
+def _nearest_rows(metric: str):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        index = scaled_vectors(spark, folder)
+        queries = index.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+        return S.nearest(index, queries, 10, metric).withColumn("distance", F.round("distance", 6))
+
+    return run
+
+
+for _metric in METRIC_SQL:
+    query(f"nearest_rows_{_metric}", _nearest_sql(_metric).replace(CENTROIDS_SQL, ROWS_SQL))(_nearest_rows(_metric))
+
+
 def asked(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -251,21 +270,25 @@ def search_artifact_texts(spark: SparkSession, folder: str) -> DataFrame:
     return hits.withColumn("distance", F.round("distance", 6))
 
 
+def _cell_recall(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """Recall of the cell search against the exact search, and the share of all distances that it measures, per query."""
+    model = S.train_cells(index, cells=16)
+    cells = checkpointed(S.assign_cells(index, model))
+    found = S.nearest_by_cell(cells, queries, model, k=10, probes=12)
+    cost = S.probe_cost(cells, queries, model, k=10, probes=12)
+    share = F.col("computed") / F.lit(float(index.count()))
+    return S.recall(found, S.nearest(index, queries, 10)).join(cost.select("query_id", share.alias("measured")), "query_id")
+
+
 @query("nearest_by_cell_recall")
 def nearest_by_cell_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Recall of the cell search against the exact search, per label centroid."""
+    """Per label centroid."""
     index = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    queries = label_centroids(spark, folder)
-    model = S.train_cells(index, cells=16)
-    found = S.nearest_by_cell(S.assign_cells(index, model), queries, model, k=10, probes=6)
-    return S.recall(found, S.nearest(index, queries, 10))
+    return _cell_recall(index, label_centroids(spark, folder))
 
 
 @query("nearest_rows_by_cell_recall")
 def nearest_rows_by_cell_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Recall of the cell search against the exact search, per row whose number is divisible by 100, over all rows."""
+    """Per row whose number is divisible by 100, over all rows."""
     index = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    queries = index.where("id % 100 = 0").withColumnRenamed("id", "query_id")
-    model = S.train_cells(index, cells=16)
-    found = S.nearest_by_cell(S.assign_cells(index, model), queries, model, k=10, probes=10)
-    return S.recall(found, S.nearest(index, queries, 10))
+    return _cell_recall(index, index.where("id % 100 = 0").withColumnRenamed("id", "query_id"))
