@@ -1,4 +1,5 @@
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import clean as C
 from tidewater.plans import ingest as I
-from tidewater.sources import catalog, files, sql, versioned
+from tidewater.sources import catalog, files, quoted, sql, versioned
 
 
 @pytest.mark.parametrize("suffix", ["csv", "json", "jsonl", "parquet"])
@@ -15,10 +16,80 @@ def test_read_by_suffix(spark, tmp_path, suffix):
     path = tmp_path / f"data.{suffix}"
     {"csv": lambda: frame.to_csv(path, index=False), "json": lambda: frame.to_json(path, orient="records"),
      "jsonl": lambda: frame.to_json(path, orient="records", lines=True), "parquet": lambda: frame.to_parquet(path)}[suffix]()
-    got = files.read_file(spark, str(path), multi_line=True if suffix == "csv" else None).orderBy("n").select("text", "n").collect()
+    got = files.read_file(spark, str(path)).orderBy("n").select("text", "n").collect()
     assert [(r["text"], r["n"]) for r in got] == list(frame.itertuples(index=False, name=None))
 
 
+def random_csv(seed):
+    """Fields with quotes, commas and line breaks; also unquoted quotes inside a value."""
+    chance = random.Random(seed)
+    end = chance.choice(["\n", "\r\n"])
+    parts = ["a", "b,", '"', '""', "\n", "\r\n", "x y", "ü", "\n\n", "1", "\ue000n", " "]
+
+    def field():
+        if chance.random() < 0.3:
+            return chance.choice(["plain", "", "7", 'in"side', " 'q'"])
+        text = "".join(chance.choice(parts) for _ in range(chance.randrange(6)))
+        return '"' + text.replace('"', '""') + '"'
+
+    rows = [",".join([str(n), field(), field()]) for n in range(chance.randrange(1, 25))]
+    return end.join([chance.choice(["n,t,u", 'n,"t\nt",u']), *rows]) + chance.choice(["", end])
+
+
+def plain_breaks(df):
+    """Rows with plain line breaks: the other reader makes those of a file whose lines end in both characters plain."""
+    return sorted(repr(tuple(r)).replace("\\r\\n", "\\n") for r in df.collect())
+
+
+@pytest.mark.parametrize("size", [5, 17, 64, 1 << 20])
+def test_quoted_line_breaks_under_any_split(spark, tmp_path, size):
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.set(name, str(size))
+    try:
+        for seed in range(4):
+            path = tmp_path / f"{seed}.csv"
+            path.write_bytes(random_csv(seed).encode())
+            wanted = files.read_file(spark, str(path), multi_line=True)
+            got = files.read_file(spark, str(path))
+            assert got.dtypes == wanted.dtypes, seed
+            assert plain_breaks(got) == plain_breaks(wanted), seed
+        if size == 17:
+            whole = files.read_file(spark, str(tmp_path / "*.csv"), "n string, t string, u string")
+            wanted = files.read_file(spark, str(tmp_path / "*.csv"), "n string, t string, u string", multi_line=True)
+            assert plain_breaks(whole) == plain_breaks(wanted)
+    finally:
+        for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(name)
+
+
+def test_states_compose():
+    """Ranges of any lines, from either state: the end of the whole is the end of its parts."""
+    chance = random.Random(3)
+    for _ in range(2000):
+        line = "".join(chance.choice('ab",,""') for _ in range(chance.randrange(8)))
+        for inside in (False, True):
+            state, field_start, k = inside, not inside, 0
+            while k < len(line):  # the plain automaton, a character at a time
+                c = line[k]
+                if state:
+                    if c == '"' and line[k + 1 : k + 2] == '"':
+                        k += 1
+                    elif c == '"':
+                        state, field_start = False, False
+                elif c == '"' and field_start:
+                    state = True
+                else:
+                    field_start = c == ","
+                k += 1
+            assert quoted.ends_inside(line, inside) == state, (line, inside)
+
+
+def test_ingest_of_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('text,label\n"good\nday, all",positive\n"bad ""day""",negative\n')
+    got = files.read_file(spark, str(tmp_path / "in.csv")).collect()
+    assert sorted(map(tuple, got)) == [('bad "day"', "negative"), ("good\nday, all", "positive")]
+
+
 def test_other_suffix_is_an_error(spark):
     with pytest.raises(ValueError):
         files.read_file(spark, "/data/file.xlsx")

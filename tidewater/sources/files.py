@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.operators.governance import AUDIT_SCHEMA
+from tidewater.sources.quoted import read_csv
 
 
 def read_file(
@@ -16,12 +17,14 @@ def read_file(
 ) -> DataFrame:
     """Read csv, json, jsonl or parquet by suffix; any other suffix is an error.
 
-    Without a schema, csv and json are scanned once more to infer it. With `multi_line` a csv value may hold line
-    breaks and a json file is one document, and each file is one task; without it a large file is split. Default: csv
-    by lines, json as one document.
+    Without a schema, csv and json are scanned once more to infer it. A csv value may hold line breaks in quotes; the
+    file is read by many tasks all the same (`quoted`). With `multi_line` a csv file is read by one task, and without
+    it (False) by lines, which breaks such values. A json file is one document read by one task unless that is False.
     """
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
     reader = spark.read if schema is None else spark.read.schema(schema)
+    if suffix == ".csv" and multi_line is None:
+        return read_csv(spark, path, schema)
     if suffix == ".csv":
         return reader.csv(path, header=True, inferSchema=schema is None, multiLine=bool(multi_line), escape='"')
     if suffix == ".json":
