@@ -126,6 +126,8 @@ def test_dataset_ids_skip_what_is_taken(spark):
 def test_directory_names(spark):
     df = spark.createDataFrame([("org/set",)], "a string").select(X.safe_dir_name(F.col("a")).alias("d"), "a")
     assert df.select("d", X.from_safe_dir_name(F.col("d")).alias("back")).first() == ("org--set", "org/set")
+    unnamed = spark.createDataFrame([("",), (None,)], "a string").select(X.safe_dir_name(F.col("a")).alias("d"))
+    assert {r["d"] for r in unnamed.collect()} == {"unnamed_dataset"}
 
 
 def test_keep_columns_come_from_the_first_row_of_a_group(spark):

@@ -108,13 +108,18 @@ def test_archive_keeps_every_row(spark, tmp_path):
     df = spark.createDataFrame(rows, "id int, ts timestamp_ntz, kind string")
     cutoff = F.lit("2024-01-05").cast("timestamp_ntz")
     old, keep = str(tmp_path / "old"), str(tmp_path / "keep")
-    assert G.archive(df, "ts", cutoff, old, keep, ["kind"]) == {"archived_count": 3, "kept_count": 7}
-    # A retry of a run replaces it; another run adds to it.
-    assert G.archive(df, "ts", cutoff, old, keep, ["kind"]) == {"archived_count": 3, "kept_count": 7}
+    with pytest.raises(TypeError):
+        G.archive(df, "ts", cutoff, old, keep)  # a run must be named
+    assert G.archive(df, "ts", cutoff, old, keep, ["kind"], run="0") == {"archived_count": 3, "kept_count": 7}
+    # A retry of a run replaces it; another run adds to it; other rows under its name are refused.
+    assert G.archive(df, "ts", cutoff, old, keep, ["kind"], run="0") == {"archived_count": 3, "kept_count": 7}
     assert (tmp_path / "old" / "run=0" / "kind=a").is_dir()
     assert G.archived_rows(spark, old).count() == 3 and G.archived_rows(spark, keep).count() == 7
-    assert G.archive(df, "ts", cutoff, old, keep, ["kind"], run="1")["archived_count"] == 3
-    assert G.archived_rows(spark, old).count() == 6
+    later = df.withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 HOUR"))
+    with pytest.raises(ValueError):
+        G.archive(later, "ts", cutoff, old, keep, ["kind"], run="0")
+    assert G.archive(later, "ts", cutoff, old, keep, ["kind"], run="1")["archived_count"] == 4
+    assert G.archived_rows(spark, old).count() == 7
     summary = G.retention(df.withColumn("size", F.lit(1024 * 1024)), "ts", "size", cutoff).first()
     assert (summary["deleted_count"], summary["deleted_size_mb"], summary["dry_run"]) == (3, 3.0, True)
     assert G.expired(df, "ts", cutoff).count() == 3

@@ -1,5 +1,7 @@
 import json
+import os
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -103,6 +105,46 @@ def test_list_files(spark, tmp_path):
     assert files.list_files(spark, str(tmp_path), "*.txt").first()["length"] == 5
 
 
+def old_and_new(folder):
+    for name, days_ago in (("a/x.txt", 40), ("a/y.log", 40), ("b/z.txt", 1), ("w.txt", 40)):
+        path = folder / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("12345")
+        os.utime(path, (time.time() - 86400 * days_ago,) * 2)
+
+
+def test_expire_files(spark, tmp_path):
+    old_and_new(tmp_path)
+    cutoff = F.current_timestamp() - F.expr("INTERVAL 30 DAYS")
+    plan = {"deleted_count": 2, "deleted_size_mb": 0.0, "dry_run": True}
+    assert files.expire_files(spark, str(tmp_path), cutoff, "*.txt") == plan and (tmp_path / "w.txt").exists()
+    assert files.expire_files(spark, str(tmp_path), cutoff, "*.txt", dry_run=False) == {**plan, "dry_run": False}
+    assert sorted(p.name for p in tmp_path.rglob("*.*") if not p.name.startswith(".")) == ["y.log", "z.txt"]
+
+
+def test_archive_files(spark, tmp_path):
+    old_and_new(tmp_path / "in")
+    cutoff = F.current_timestamp() - F.expr("INTERVAL 30 DAYS")
+    archive = str(tmp_path / "archive")
+    assert files.archive_files(spark, str(tmp_path / "in"), archive, cutoff, "*.txt") == {"archived_count": 2, "archive_dir": archive}
+    assert (tmp_path / "archive/a/x.txt").read_text() == "12345" and (tmp_path / "archive/w.txt").exists()
+    assert (tmp_path / "in/a/y.log").exists() and (tmp_path / "in/b/z.txt").exists() and not (tmp_path / "in/w.txt").exists()
+    old_and_new(tmp_path / "in")
+    with pytest.raises(FileExistsError):
+        files.archive_files(spark, str(tmp_path / "in"), archive, cutoff, "*.txt")
+
+
+def test_discover_datasets(spark, tmp_path):
+    rows = spark.range(10).withColumn("kind", F.col("id") % 2)
+    for name, count in (("org--set", 10), ("org/other", 4), ("ORG--SET2", 3), ("org--set2", 5), ("split/train", 6), ("split/test", 2)):
+        rows.limit(count).coalesce(1).write.parquet(str(tmp_path / name))
+    rows.write.partitionBy("kind").parquet(str(tmp_path / "parted"))
+    got = {r["dataset_id"]: r for r in catalog.discover_datasets(spark, str(tmp_path)).collect()}
+    assert {k: r["num_rows"] for k, r in got.items()} == {"org/set": 10, "org/other": 4, "ORG/SET2": 3, "split": 8, "parted": 10}
+    assert got["split"]["splits"] == ["test", "train"] and got["parted"]["splits"] == ["train"] and got["parted"]["size_mb"] > 0
+    assert spark.read.parquet(got["org/other"]["path"]).count() == 4
+
+
 def days(n):
     return f"2024-01-{n:02d} 00:00:00"
 

@@ -36,8 +36,13 @@ def slug(col: Column) -> Column:
     return F.when(F.length(cleaned) > 0, cleaned).otherwise(F.lit(NAMELESS))
 
 
+# Fixed value: the folder of a dataset without an id.
+UNNAMED = "unnamed_dataset"
+
+
 def safe_dir_name(col: Column) -> Column:
-    return F.replace(col, F.lit("/"), F.lit("--"))
+    """Folder name of a dataset id; a missing or empty id has a name of its own."""
+    return F.when(F.length(col) > 0, F.replace(col, F.lit("/"), F.lit("--"))).otherwise(F.lit(UNNAMED))
 
 
 def from_safe_dir_name(col: Column) -> Column:

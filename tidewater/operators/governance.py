@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.session import file_system
+
 # Audit categories and their event types.
 EVENT_CATEGORIES = {
     "security": ("login_success", "login_failure", "logout", "mfa_enabled", "mfa_disabled", "password_change"),
@@ -212,10 +214,11 @@ def check_access(df: DataFrame, role: str = "role", permission: str = "permissio
     return df.withColumn("granted", has_permission(F.col(role), F.col(permission)))
 
 
-def retention(
-    df: DataFrame, modified: str, size: str, cutoff: Column, by: Sequence[str] = (), dry_run: bool = True
-) -> DataFrame:
-    """What a clean-up up to `cutoff` removes and keeps: rows and MB (rounded to 2 digits)."""
+def retention(df: DataFrame, modified: str, size: str, cutoff: Column, by: Sequence[str] = ()) -> DataFrame:
+    """What a clean-up up to `cutoff` would remove and keep: rows and MB (rounded to 2 digits).
+
+    A plan only, which `dry_run` says; `sources.files.expire_files` deletes.
+    """
     old = F.col(modified) < cutoff
     mb = 1024 * 1024
 
@@ -225,7 +228,7 @@ def retention(
     return df.groupBy(*by).agg(
         F.count_if(old).alias("deleted_count"), total(old).alias("deleted_size_mb"),
         F.count_if(~old).alias("kept_count"), total(~old).alias("kept_size_mb"),
-    ).withColumn("dry_run", F.lit(dry_run))
+    ).withColumn("dry_run", F.lit(True))
 
 
 def expired(df: DataFrame, modified: str, cutoff: Column) -> DataFrame:
@@ -239,17 +242,26 @@ def archive(
     archive_path: str,
     keep_path: str,
     partition_by: Sequence[str] = (),
-    run: str = "0",
+    *,
+    run: str,
 ) -> dict[str, int]:
     """Write old rows to the archive and the rest to a new path, both in the same layout, under the run's own folder.
 
     The source stays untouched. A run that is repeated, after a failure for example, replaces what it wrote before and
-    nothing else, so a retry archives no row twice; `archived_rows` reads the runs together. The input is read once for
-    each output; the counts read back from both must add up to those of a pass over the one column that decides.
+    nothing else, so a retry archives no row twice; `archived_rows` reads the runs together. A run of the same name over
+    other rows is refused: each run notes the number of its rows and a digest of the column that decides. The input is
+    read once for each output; the counts read back from both must add up to those of a pass over that one column.
     """
     spark = df.sparkSession
     old = F.coalesce(F.col(modified) < cutoff, F.lit(False))
-    counts = df.select(old.alias("old")).agg(F.count_if("old").alias("old"), F.count_if(~F.col("old")).alias("kept")).first()
+    mixed = F.xxhash64(F.col(modified))
+    counts = df.select(old.alias("old"), mixed.alias("mixed")).agg(
+        F.count_if("old").alias("old"),
+        F.count_if(~F.col("old")).alias("kept"),
+        F.coalesce(F.bit_xor("mixed"), F.lit(0)).alias("digest"),
+        F.coalesce(F.sum(F.shiftright("mixed", 32)), F.lit(0)).alias("total"),
+    ).first()
+    _claim_run(spark, f"{archive_path}/_runs/{run}", [counts[c] for c in ("old", "kept", "digest", "total")])
     expected = {"archived_count": counts["old"], "kept_count": counts["kept"]}
     parts = {"archived_count": (old, f"{archive_path}/run={run}"), "kept_count": (~old, f"{keep_path}/run={run}")}
     written = {}
@@ -261,6 +273,17 @@ def archive(
     return written
 
 
+def _claim_run(spark: SparkSession, path: str, facts: list[int]) -> None:
+    """Note what a run reads before it writes; an error if a run of this name read something else."""
+    files, place = file_system(spark, path)
+    schema = "old long, kept long, digest long, total long"
+    if files.exists(place) and (known := spark.read.schema(schema).json(path).first()):
+        if list(known) != facts:
+            raise ValueError(f"another input was archived as this run: {path}")
+        return
+    spark.createDataFrame([tuple(facts)], schema).coalesce(1).write.mode("overwrite").json(path)
+
+
 def archived_rows(spark: SparkSession, path: str) -> DataFrame:
     """All rows that runs have archived (or kept), with the `run` that wrote them."""
     return spark.read.option("basePath", path).parquet(path)

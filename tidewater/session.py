@@ -46,3 +46,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so a lost executor costs one read."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path in its form; for calls on names and states of files alone."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.ordering import top_per_group
+from tidewater.functions.text import UNNAMED, from_safe_dir_name
+from tidewater.session import file_system
 from tidewater.sources.files import list_files, read_file
 
 CATALOG_SCHEMA = (
@@ -17,6 +19,8 @@ CATALOG_SCHEMA = (
     "label_column string, source_file string, quality_status string, quality_score double, report_path string, "
     "registered_at timestamp_ntz, deleted boolean"
 )
+# Folders that hold a split of the dataset above them.
+SPLIT_FOLDER = "/(train|validation|test)$"
 DESCRIPTION_SCHEMA = (
     "dataset_id string, path string, num_rows long, num_columns int, columns array<string>, size_mb double, splits array<string>"
 )
@@ -27,8 +31,8 @@ VALIDATION_SCHEMA = (
 
 
 def safe_name(dataset_id: str) -> str:
-    """Folder name of a dataset id."""
-    return dataset_id.replace("/", "--")
+    """Folder name of a dataset id; an empty one has a name of its own."""
+    return dataset_id.replace("/", "--") or UNNAMED
 
 
 def read_catalog(spark: SparkSession, root: str, deleted: bool = False) -> DataFrame:
@@ -138,6 +142,48 @@ def _append(spark: SparkSession, path: str, schema: str, values: Mapping, lists:
     spark.range(1).select(*columns).write.mode("append").parquet(path)
 
 
+def discover_datasets(spark: SparkSession, root: str) -> DataFrame:
+    """The Parquet datasets below a folder: dataset_id, path, num_rows, n_files, size_mb, splits.
+
+    A dataset is a folder with Parquet files, itself or in `column=value` folders; a folder named as a split (`train`,
+    `validation`, `test`) belongs to the one above. The id is the path below the root, `--` read as `/`; of ids that
+    differ in case the first by path counts. Files are listed once and counted from their footers in one job, whatever
+    the number of datasets; no column is read.
+    """
+    files, place = file_system(spark, root)
+    base = files.makeQualified(place).toUri().getPath().rstrip("/")
+    inside = F.substring_index("file", f"{base}/", -1)
+    # What follows the dataset's folder: partitions, then maybe a split, then the file.
+    parted = F.regexp_replace(inside, r"(/[^/=]+=[^/]*)*/[^/]+$", "")
+    split = F.regexp_extract(parted, SPLIT_FOLDER, 1)
+    folder = F.regexp_replace(parted, SPLIT_FOLDER, "")
+    listed = list_files(spark, root, "*.parquet").select(F.col("path").alias("file"), "length")
+    counted = (
+        spark.read.schema("_none string")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.parquet")
+        .parquet(root)
+        .groupBy(F.col("_metadata.file_path").alias("file"))
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    placed = listed.where(inside.contains("/")).select("file", "length", folder.alias("folder"), split.alias("split"))
+    found = (
+        placed.join(counted, "file", "left")
+        .groupBy("folder")
+        .agg(
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("num_rows"),
+            F.count(F.lit(1)).alias("n_files"),
+            (F.sum("length") / 1024**2).alias("size_mb"),
+            F.sort_array(F.collect_set(F.when(F.col("split") == "", "train").otherwise(F.col("split")))).alias("splits"),
+        )
+        .withColumn("dataset_id", from_safe_dir_name(F.col("folder")))
+    )
+    named = found.withColumn("_key", F.lower("dataset_id"))
+    return top_per_group(named, ["_key"], [F.col("folder")], 1).select(
+        "dataset_id", F.concat(F.lit(f"{root.rstrip('/')}/"), "folder").alias("path"), "num_rows", "n_files", "size_mb", "splits"
+    )
+
+
 def describe_datasets(spark: SparkSession, datasets: Mapping[str, str], split: str = "split") -> DataFrame:
     """Rows, columns, size and splits of the Parquet datasets `{id: path}`.
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.operators.governance import AUDIT_SCHEMA
+from tidewater.session import file_system
 from tidewater.sources.quoted import read_csv
 
 
@@ -53,6 +54,48 @@ def directory_size(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _old_files(spark: SparkSession, path: str, cutoff: Column, pattern: str) -> DataFrame:
+    return list_files(spark, path, pattern).where(F.col("modificationTime") < cutoff)
+
+
+def expire_files(spark: SparkSession, path: str, cutoff: Column, pattern: str = "*", dry_run: bool = True) -> dict:
+    """Delete the files below a path that were last changed before `cutoff`; with `dry_run` only say what would go.
+
+    Gives deleted_count, deleted_size_mb and dry_run. Names come to the driver one after the other; a file that is gone
+    by then does not count.
+    """
+    count = size = 0
+    for row in _old_files(spark, path, cutoff, pattern).toLocalIterator():
+        files, place = file_system(spark, row["path"])
+        if dry_run or files.delete(place, False):
+            count += 1
+            size += row["length"]
+    return {"deleted_count": count, "deleted_size_mb": round(size / 1024**2, 2), "dry_run": dry_run}
+
+
+def archive_files(spark: SparkSession, path: str, archive_path: str, cutoff: Column, pattern: str = "*") -> dict:
+    """Move the files below a path that match and were last changed before `cutoff` to the same places below the archive.
+
+    Gives archived_count and archive_dir. A file that lies there already is an error, so that none is lost; a run that
+    broke off is ended by the next one.
+    """
+    count = 0
+    files, root = file_system(spark, path)
+    root = files.makeQualified(root)
+    target_files, target_root = file_system(spark, archive_path)
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    for row in _old_files(spark, path, cutoff, pattern).toLocalIterator():
+        source = files.makeQualified(make(row["path"]))
+        inside = root.toUri().relativize(source.toUri()).getPath()
+        target = make(target_root, inside)
+        if target_files.exists(target):
+            raise FileExistsError(f"{target} is there already")
+        target_files.mkdirs(target.getParent())
+        moved = spark._jvm.org.apache.hadoop.fs.FileUtil.copy(files, source, target_files, target, True, spark._jsc.hadoopConfiguration())
+        count += bool(moved)
+    return {"archived_count": count, "archive_dir": archive_path}
+
+
 def read_audit(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:
     """Audit events from JSON lines, lines that do not parse left out."""
     lines = spark.read.text(path)

@@ -9,16 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators.fulltext import TextIndex, text_index, write_text_index
-from tidewater.session import ensure_checkpoint_dir
-
-
-def _file_system(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+from tidewater.session import ensure_checkpoint_dir, file_system
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    files, place = _file_system(spark, path)
+    files, place = file_system(spark, path)
     return files.exists(place)
 
 
@@ -27,7 +22,7 @@ def state_of(df: DataFrame) -> str:
     spark = df.sparkSession
     seen = []
     for name in df.inputFiles():
-        files, place = _file_system(spark, name)
+        files, place = file_system(spark, name)
         status = files.getFileStatus(place)
         seen.append(f"{name} {status.getLen()} {status.getModificationTime()}")
     return sha256("\n".join(sorted(seen)).encode()).hexdigest()[:32]
@@ -58,7 +53,7 @@ def kept_text_index(df: DataFrame, name: str) -> TextIndex:
 
 def list_indexes(spark: SparkSession, root: str) -> DataFrame:
     """Name and time of change of every index below a folder; none if there is no such folder."""
-    files, place = _file_system(spark, root)
+    files, place = file_system(spark, root)
     found = files.listStatus(place) if files.exists(place) else []
     rows = [(s.getPath().getName(), s.getModificationTime() / 1000) for s in found if s.isDirectory()]
     return spark.createDataFrame(rows, "name string, seconds double").select("name", F.timestamp_seconds("seconds").alias("changed"))
@@ -68,5 +63,5 @@ def drop_index(spark: SparkSession, root: str, name: str) -> bool:
     """Delete an index with all its files; False if there is none of this name."""
     if not name or "/" in name or name in (".", ".."):
         raise ValueError(f"not a name of an index: {name!r}")
-    files, place = _file_system(spark, f"{root.rstrip('/')}/{name}")
+    files, place = file_system(spark, f"{root.rstrip('/')}/{name}")
     return bool(files.exists(place) and files.delete(place, True))
