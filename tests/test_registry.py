@@ -1,8 +1,10 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.operators import lineage as L
 from tidewater.operators import registry as R
 
 
@@ -50,6 +52,35 @@ def test_lineage_of_wanted_ids(spark, name):
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == {r for r in brute_lineage(TREES[name]) if r[0] in some}
 
 
+@pytest.mark.parametrize("name", list(TREES))
+def test_lineage_labels(spark, name):
+    rows = L.lineage_labels(edges(spark, TREES[name])).collect()
+    assert len(rows) == len({i for i, _ in TREES[name]})
+    brute = brute_lineage(TREES[name])
+    parent = dict(TREES[name])
+    for r in rows:
+        walked, node = set(), r["id"]
+        while node is not None and node in parent and node not in walked and parent[node] != node:
+            walked.add(node)
+            node = parent[node]
+        assert r["cyclic"] == (node in walked)
+    plain = [r for r in rows if not r["cyclic"]]
+    enclosed = {
+        (b["id"], a["id"], b["depth"] - a["depth"])
+        for a in plain for b in plain if a["root"] == b["root"] and a["enter"] < b["enter"] and b["leave"] < a["leave"]
+    }
+    ids = {r["id"] for r in plain}
+    assert enclosed == {p for p in brute if p[0] in ids}
+
+
+def test_lineage_of_a_random_forest(spark):
+    chance = random.Random(4)
+    pairs = [(i, chance.choice([None, *range(max(0, i - 6), i)]) if i % 40 else None) for i in range(300)]
+    wanted = spark.createDataFrame([(i,) for i in range(0, 300, 2)], "id long")
+    got = R.lineage_of(edges(spark, pairs).repartition(3), wanted).collect()
+    assert {tuple(r) for r in got} == {r for r in brute_lineage(pairs) if r[0] % 2 == 0} and len(got) == len(set(got))
+
+
 def test_lineage_has_no_depth_limit(spark):
     chain = [(i, i - 1 if i else None) for i in range(131)]
     got = R.lineage_of(edges(spark, chain), spark.createDataFrame([(130,)], "id long"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.ordering import top_per_group
 from tidewater.operators.embed import artifact_search_text
 from tidewater.operators.search import search_text
+from tidewater.operators.lineage import ancestors, lineage_labels
 from tidewater.session import checkpointed
 
 # State of an external run -> state of the job.
@@ -276,9 +277,23 @@ def _shortest(pairs: DataFrame) -> DataFrame:
 def lineage_of(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """Ancestors of the artifacts of `wanted(id)` in `edges(id, parent_id)`: id, ancestor_id, depth; no depth limit.
 
+    They come from interval labels (`operators.lineage`), whose rows are linear in the artifacts. Artifacts on cycles or
+    below them have no labels, and go by `_lineage_by_jumps`. Equal to `lineage` on the same ids, cycles and unlisted
+    parents included.
+    """
+    labels = checkpointed(lineage_labels(edges))
+    found = ancestors(labels, wanted)
+    cyclic = labels.where("cyclic").select("id")
+    if cyclic.isEmpty():
+        return found
+    return found.unionByName(_lineage_by_jumps(edges.join(cyclic, "id", "left_semi"), wanted.join(cyclic, "id", "left_semi")))
+
+
+def _lineage_by_jumps(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The same, cycles included, a row for each wanted artifact and ancestor all the while.
+
     Each round knows the ancestors up to a depth for the wanted ids, and a jump of that length for every artifact; both
-    double, so a line of depth d takes log2(d) rounds. Only the wanted ids' pairs are kept. Equal to `lineage` on the
-    same ids, cycles and unlisted parents included.
+    double, so a line of depth d takes log2(d) rounds. Only the wanted ids' pairs are kept.
     """
     known = edges.select(F.col("id").alias("to")).distinct()
     jump = checkpointed(
