@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,8 +37,12 @@ def result(conversation, turn, identifier, content):
 
 
 def linked(spark, rows):
-    got = toolcalls.link_calls(spark.createDataFrame(rows, SCHEMA), SCHEMAS).collect()
-    return {(r["conv_id"], r["id"]): r for r in got}
+    """Rows by conversation and identifier; of an identifier used again, the first."""
+    got = toolcalls.link_calls(spark.createDataFrame(rows, SCHEMA), SCHEMAS).where("status <> 'message'").collect()
+    out = {}
+    for r in sorted(got, key=lambda r: r["position"]):
+        out.setdefault((r["conv_id"], r["id"]), r)
+    return out
 
 
 @pytest.mark.parametrize(
@@ -93,6 +98,64 @@ def test_links_order_and_json(spark):
         assert r["json"] == json.dumps(parsed, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def brute_links(rows):
+    """Walk each conversation in order: (conversation, id, status, turn, result_turn) of calls, results and messages."""
+    out, last = [], {}
+    for conversation, turn, role, text in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        try:
+            parsed = json.loads(text) if text and conversation is not None else {}
+        except ValueError:
+            parsed = {}
+        calls = parsed.get("tool_calls", []) if role == "assistant" else []
+        answer = parsed.get("tool_call_id") if role == "tool" else None
+        for c in calls:
+            entry = [conversation, c["id"], "unanswered", turn, None]
+            out.append(entry)
+            if c["id"] is not None:
+                last[conversation, c["id"]] = entry
+        if answer is not None:
+            entry = last.get((conversation, answer))
+            if entry is None:
+                out.append([conversation, answer, "orphan", None, turn])
+            elif entry[2] == "linked":
+                out.append([conversation, answer, "repeated", None, turn])
+            else:
+                entry[2], entry[4] = "linked", turn
+        elif not calls:
+            out.append([conversation, None, "message", turn, None])
+    return sorted(map(tuple, out), key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_call_result_and_message_has_a_row(spark, seed):
+    chance = random.Random(seed)
+    rows = [("a", -1, "system", "be kind"), ("a", 999, None, None), (None, 0, "assistant", rows_text()), ("b", 0, "assistant", '{"tool_calls": []}')]
+    for conversation in "abc":
+        for turn in range(chance.randrange(20, 60)):
+            identifier = chance.choice(["call_0", "call_1", None])
+            if chance.random() < 0.5:
+                calls = [call(chance.choice(["call_0", "call_1", "call_2", None]), {"q": "abc"}, chance.choice([None, "call_0"])) for _ in range(chance.randrange(1, 4))]
+                rows.append(message(conversation, turn + 1, *calls))
+            elif chance.random() < 0.8:
+                rows.append(result(conversation, turn + 1, identifier, "x" * turn))
+            else:
+                rows.append((conversation, turn + 1, "user", f"text {turn}"))
+    found = toolcalls.link_calls(spark.createDataFrame(rows, SCHEMA).repartition(3), SCHEMAS).collect()
+    got = sorted(((r["conv_id"], r["id"], r["status"], r["turn"], r["result_turn"]) for r in found), key=repr)
+    assert got == brute_links(rows)
+    for conversation in "abc":
+        own = sorted((r for r in found if r["conv_id"] == conversation and r["position"] is not None), key=lambda r: r["position"])
+        assert [r["position"] for r in own] == list(range(len(own)))
+        levels = [r["depth"] for r in own]
+        assert levels == sorted(levels, key=lambda d: (d is None, d or 0))
+
+
+def test_repeated_rows_and_long_texts(spark):
+    twice = [message("a", 0, call("1", {"q": "abc"})), result("a", 1, "1", "r" * 300_000)] * 2
+    got = toolcalls.link_calls(spark.createDataFrame(twice, SCHEMA), SCHEMAS).collect()
+    assert sorted(r["status"] for r in got) == ["linked", "repeated", "unanswered"]
+
+
 def rows_text():
     return json.dumps({"tool_calls": [call("1", {"q": "abc"})]})
 

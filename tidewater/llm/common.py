@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewater.session import checkpointed, ensure_checkpoint_dir
 
@@ -52,6 +52,20 @@ def remainder(identifier: Column, modulus: int) -> Column:
     return F.crc32(identifier.cast("string").cast("binary")) % modulus
 
 
+def numbered(df: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """Add the place of each row, from 0, in the order of its key's rows.
+
+    Ranges of (key, order) are numbered each on its own; one row a key and range carries what comes before.
+    """
+    ranged = df.repartitionByRange(partitions(df.sparkSession), F.col(key), *order).withColumn("_part", F.spark_partition_id())
+    placed = checkpointed(ranged.withColumn("_here", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)) - 1))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(key, "_part").agg(F.count("*").alias("_count"))
+    offsets = parts.select(F.col(key).alias("_key"), F.col("_part").alias("_range"), F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_offset"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_range"))
+    return placed.join(offsets, same).withColumn(name, F.col("_offset") + F.col("_here")).drop("_part", "_here", "_key", "_range", "_offset")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected `edges` (a long, b long) as (node, root), root the smallest node.
 

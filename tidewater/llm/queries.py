@@ -179,7 +179,7 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
 
 def conversations_as_calls(turns: DataFrame) -> DataFrame:
     """Messages with tool calls, made of a table of conversations: a user's turn calls a tool and follows the call of the
-    user's turn before, the assistant's next turn is the result.
+    user's turn before, the assistant's next turn is the result. Turns of other roles stay what they are.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
     lines = F.size(F.split("text", "\n"))
@@ -197,7 +197,8 @@ def conversations_as_calls(turns: DataFrame) -> DataFrame:
     )
     result = F.struct(F.col("text").alias("content"), named(F.col("turn") - 1).alias("tool_call_id"))
     results = turns.where("role = 'assistant'").select("conv_id", "turn", F.lit("tool").alias("role"), F.to_json(result).alias("text"))
-    return calls.unionByName(results)
+    others = turns.where("coalesce(role, '') NOT IN ('user', 'assistant')").select("conv_id", "turn", "role", "text")
+    return calls.unionByName(results).unionByName(others)
 
 
 TOOL_SQL = r"""
@@ -221,7 +222,7 @@ checked AS (
     CASE WHEN after IS NOT NULL AND NOT known THEN 'after: unknown call' END], lambda x: x IS NOT NULL) AS problems
   FROM calls JOIN levels USING (conv_id, id))
 SELECT conv_id, id, CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.result_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-       depth::BIGINT AS depth, c.turn AS turn, r.result_turn AS result_turn, coalesce(problems, []) AS problems,
+       row_number() OVER (PARTITION BY conv_id ORDER BY depth NULLS LAST, coalesce(c.turn, r.result_turn), id) - 1 AS position, depth::BIGINT AS depth, c.turn AS turn, r.result_turn AS result_turn, coalesce(problems, []) AS problems,
        c.turn IS NOT NULL AND len(problems) = 0 AS valid,
        '{' || coalesce('"after":' || to_json(after) || ',', '')
            || coalesce('"arguments":{' || CASE WHEN short THEN '' ELSE '"lines":' || lines || ',' END
@@ -230,6 +231,10 @@ SELECT conv_id, id, CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.result_turn IS
            || coalesce(',"name":"' || CASE WHEN c.turn IS NULL THEN NULL WHEN short THEN 'search' ELSE 'write' END || '"', '')
            || coalesce(',"result":' || to_json(result), '') || '}' AS json
 FROM checked c FULL JOIN results r USING (conv_id, id)
+UNION ALL
+SELECT conv_id, NULL, 'message', NULL, NULL, turn, NULL, [], false,
+       '{' || coalesce('"content":' || to_json(text) || ',', '') || '"conversation":' || conv_id || coalesce(',"role":' || to_json(role), '') || '}'
+FROM conversations WHERE coalesce(role, '') NOT IN ('user', 'assistant')
 """
 
 
