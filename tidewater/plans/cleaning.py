@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import text as X
 from tidewater.operators import clean as C
 from tidewater.operators import profile as P
+from tidewater.operators.profile_state import StoredProfile, add_batch
 from tidewater.plans.base import query, table
+from tidewater.session import ensure_checkpoint_dir
 
 WS = X.WHITESPACE_CHARS
 
@@ -152,8 +156,9 @@ defects AS (
 RULES = {"discount": {"min": 0.01, "max": 0.5}, "quantity": {"min": 1, "max": 40}, "absent": {"min": 0}}
 
 
-def defects(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
+def defects(spark: SparkSession, folder: str, part: Column | None = None) -> DataFrame:
+    lines = table(spark, folder, "lineitem")
+    return (lines if part is None else lines.where(part)).select(
         F.when(~(F.col("l_quantity") > 45), F.col("l_quantity")).alias("quantity"),
         F.col("l_discount").alias("discount"),
         F.when(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz"), "").otherwise(F.col("l_returnflag")).alias("flag"),
@@ -211,6 +216,15 @@ def quality_check_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("value", F.round("value", 6))
 
 
+@query("quality_check_rows_of_batches", _long_sql())
+def quality_check_rows_of_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The same profile from three batches, each read when it comes and never again."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/profile-{uuid4().hex}"
+    for batch in range(3):
+        add_batch(defects(spark, folder, F.col("l_linenumber") % 3 == batch), path, f"b{batch}")
+    return StoredProfile(spark, path, RULES).check_rows().withColumn("value", F.round("value", 6))
+
+
 def _issues_sql() -> str:
     columns = ("quantity", "discount", "flag", "constant", "amount")
     cells = []

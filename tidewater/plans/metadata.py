@@ -302,21 +302,18 @@ def get_or_create(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "name_conflicts",
-    "SELECT p_partkey, p_name FROM part WHERE p_size <= 10 AND p_name IN (SELECT p_name FROM part WHERE p_size > 45)",
+    "SELECT p_partkey, p_name FROM part WHERE p_partkey % 2 = 0 AND p_name IN (SELECT p_name FROM part WHERE p_partkey % 2 = 1)",
 )
 def name_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts with even numbers come in, those with odd ones are there."""
     parts = table(spark, folder, "part")
-    incoming = parts.where("p_size <= 10").select("p_partkey", "p_name")
-    return R.conflicts(parts.where("p_size > 45"), incoming, ["p_name"])
+    incoming = parts.where("p_partkey % 2 = 0").select("p_partkey", "p_name")
+    return R.conflicts(parts.where("p_partkey % 2 = 1"), incoming, ["p_name"])
 
 
-@query(
-    "deletable_parents",
-    "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
-)
+@query("deletable_parents", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def deletable_parents(spark: SparkSession, folder: str) -> DataFrame:
-    children = table(spark, folder, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
-    return R.deletable(table(spark, folder, "customer").select("c_custkey"), children, "c_custkey")
+    return R.deletable(table(spark, folder, "documents").select("doc_id"), table(spark, folder, "labels"), "doc_id")
 
 
 def part_tree(spark: SparkSession, folder: str) -> DataFrame:

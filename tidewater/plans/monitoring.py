@@ -91,11 +91,11 @@ def last_value_gauge(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "average_per_version",
     """SELECT c_custkey, round(coalesce(avg(o_totalprice), 0), 8) AS average
-    FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey""",
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""",
 )
 def average_per_version(spark: SparkSession, folder: str) -> DataFrame:
     keys = table(spark, folder, "customer").select("c_custkey")
-    log = table(spark, folder, "orders").where("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "c_custkey")
+    log = table(spark, folder, "orders").withColumnRenamed("o_custkey", "c_custkey")
     return rounded(M.average_per_key(keys, log, "c_custkey", "o_totalprice"), average=8)
 
 
@@ -135,16 +135,16 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def alert_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Error and signup events as alert rows, the signups acknowledged."""
-    return events(spark, folder).where("event_type IN ('error', 'signup')").select(
+    """All events as alert rows, those other than errors and views acknowledged."""
+    return events(spark, folder).select(
         F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), "user_id",
-        F.when(F.col("event_type") == "error", "open").otherwise("acknowledged").alias("status"),
+        F.when(F.col("event_type").isin("error", "view"), "open").otherwise("acknowledged").alias("status"),
     )
 
 
 @query(
     "open_alerts",
-    """SELECT event_id AS id, ts AS "timestamp", user_id, 'open' AS status FROM events WHERE event_type = 'error'
+    """SELECT event_id AS id, ts AS "timestamp", user_id, 'open' AS status FROM events WHERE event_type IN ('error', 'view')
     ORDER BY ts DESC, event_id LIMIT 50 OFFSET 20""",
 )
 def open_alerts(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,16 +153,16 @@ def open_alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "resolve_alerts",
-    """WITH r AS (SELECT user_id, max(ts) AS seen FROM events WHERE event_type = 'view' GROUP BY user_id)
+    """WITH r AS (SELECT user_id, max(ts) AS seen FROM events GROUP BY user_id)
     SELECT e.event_id AS id, e.ts AS "timestamp", e.user_id,
-      CASE WHEN r.seen IS NOT NULL THEN 'resolved' WHEN e.event_type = 'error' THEN 'open' ELSE 'acknowledged' END AS status,
+      CASE WHEN r.seen IS NOT NULL THEN 'resolved' WHEN e.event_type IN ('error', 'view') THEN 'open' ELSE 'acknowledged' END AS status,
       CASE WHEN r.seen IS NOT NULL THEN 'user' || e.user_id END AS resolved_by, r.seen AS resolved_at
-    FROM events e LEFT JOIN r ON r.user_id = e.user_id AND r.seen > e.ts WHERE event_type IN ('error', 'signup')""",
+    FROM events e LEFT JOIN r ON r.user_id = e.user_id AND r.seen > e.ts""",
 )
 def resolve_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    """An alert is resolved by its user's last view after it."""
+    """An alert is resolved by its user's last event, if that comes after it."""
     log = alert_log(spark, folder)
-    seen = events(spark, folder).where("event_type = 'view'").groupBy("user_id").agg(F.max("ts").alias("resolved_at"))
+    seen = events(spark, folder).groupBy("user_id").agg(F.max("ts").alias("resolved_at"))
     done = log.join(seen, "user_id").where("resolved_at > timestamp").select(
         "id", F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("resolved_by"), "resolved_at"
     )
