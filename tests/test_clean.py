@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,23 @@ def test_one_changed_keyword_changes_the_answer(spark):
     assert {r["id"]: r["label"] for r in out.collect()}[6] == "neg"
 
 
+def test_many_keywords_find_what_a_few_do(spark, monkeypatch):
+    chance = random.Random(1)
+    letters = "abÉ ."
+    word = lambda n: "".join(chance.choice(letters) for _ in range(n))
+    rules = tuple(C.LabelRule(f"L{i}", tuple(word(chance.randrange(1, 5)) for _ in range(chance.randrange(4)))) for i in range(30))
+    rows = [(i, chance.choice([None, "", word(chance.randrange(1, 12))]), chance.choice([None, None, "kept"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, text string, label string").repartition(3)
+    answer = lambda given: {r["id"]: r["label"] for r in C.auto_label(df, "text", "label", given, "none").collect()}
+    for given in (rules, (*rules[:5], C.LabelRule("any", ("",)), *rules[5:])):
+        monkeypatch.setattr(X, "COMPARED_KEYWORDS", 10**6)
+        compared = answer(given)
+        monkeypatch.setattr(X, "COMPARED_KEYWORDS", 0)
+        assert answer(given) == compared
+    thousands = (C.LabelRule("far", tuple(f"word{i}x" for i in range(10_000))), C.LabelRule("near", ("a",)))
+    assert set(answer(thousands).values()) == {"kept", "near", "none"}
+
+
 def test_keywords_are_literal_and_an_empty_rule_matches_nothing(spark):
     df = spark.createDataFrame([("a.c",), ("abc",)], "text string")
     config = C.CleanConfig().with_overrides(label_rules=[C.LabelRule("none", ()), C.LabelRule("dot", ("a.c",))])

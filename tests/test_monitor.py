@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import random
 
 import numpy as np
 import pytest
@@ -137,6 +139,37 @@ def test_confusion_matrix_counts_every_row(spark):
     assert got == {0: (1, 0, 1), 1: (0, 1, 1), None: (0, 1, 0)}
 
 
+def test_rules_of_a_table_fire_like_rules_of_a_list(spark):
+    chance = random.Random(2)
+    at = [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)]
+    rows = [
+        (f"k{i % 3}", chance.choice(["m", "n", "other", None]), chance.choice([None, float("nan"), 1.0, 2.0, chance.uniform(-5, 5)]), *at)
+        for i in range(60)
+    ]
+    metrics = spark.createDataFrame(rows, "key string, metric string, value double, window_start timestamp_ntz, window_end timestamp_ntz").repartition(3)
+    rules = [
+        M.AlertRule(f"r{i}", chance.choice(["m", "n"]), chance.choice([1.0, 2.0, float(i % 7) - 3.5]), chance.random() < 0.5,
+                    chance.choice(["low", "high"]), chance.choice(["", f"title {i}"]), chance.choice([(), ("email", "slack")]))
+        for i in range(40)
+    ]
+    given = [(r.rule, r.metric, r.limit, r.above, r.severity, r.title, list(r.channels)) for r in rules]
+    stored = spark.createDataFrame([*given, ("none", None, 1.0, True, "low", "", []), ("nolimit", "m", None, True, "low", "", [])], M.RULE_COLUMNS)
+    columns = ("rule", "key", "window_start", "window_end", "severity", "title", "message", "channel", "status")
+    listed = sorted((tuple(r[c] for c in columns) for r in M.alerts(metrics, rules).collect()), key=repr)
+    out = M.alerts_by_table(metrics, stored)
+    assert sorted((tuple(r[c] for c in columns) for r in out.collect()), key=repr) == listed
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    many = spark.range(100_000).select(
+        F.concat(F.lit("r"), "id").alias("rule"), F.lit("m").alias("metric"), (F.col("id") / 1000).alias("limit"), F.lit(True).alias("above"),
+        F.lit("low").alias("severity"), F.lit("t").alias("title"), F.array(F.lit("email")).alias("channels"),
+    )
+    assert M.alerts_by_table(metrics, many).count() == sum(
+        100_000 if v != v else min(100_000, max(0, math.ceil(round(v * 1000, 9)))) for _, m, v, *_ in rows if m == "m" and v is not None
+    )
+    with pytest.raises(ValueError):
+        M.alerts_by_table(metrics, stored.withColumn("channels", F.array(F.lit("pager"))))
+
+
 def test_resolutions_of_one_alert(spark):
     alerts = spark.createDataFrame([(1, "open"), (2, "open"), (3, "open")], "id int, status string")
     at = dt.datetime(2024, 1, 1)

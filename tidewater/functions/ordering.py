@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewater.session import checkpointed
+
 
 def _same_key(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows with the columns of their key's summary row, null keys included."""
@@ -100,3 +102,27 @@ def last_known(
         .withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_edge")))
         .drop("_slice", "_edge", "_value")
     )
+
+
+def running_sum_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """Add the running sum of `value` per key, in order, the current row included, for an order without natural slices.
+
+    Rows go to ranges of (keys, order); each range is summed on its own, and one row a key and range carries the sum on.
+    The ranges are written to the checkpoint folder, as Spark would draw their borders anew for each use.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_value", value).repartitionByRange(partitions, *(F.col(k) for k in keys), *order)
+    placed = checkpointed(ranged.withColumn("_slice", F.spark_partition_id()))
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy(*keys, "_slice")
+        .agg(F.sum("_value").alias("_total"))
+        .withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+        .drop("_total")
+    )
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return (
+        _same_key(placed, offsets, [*keys, "_slice"])
+        .withColumn(name, F.col("_offset") + F.sum("_value").over(inside))
+        .drop("_slice", "_offset", "_value")
+    )

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The characters Python's str.strip() and str.split() treat as white space, and the same set as a
@@ -55,3 +59,51 @@ def contains_any(lowered: Column, keywords: list[str]) -> Column:
     for keyword in keywords:
         hit = hit | lowered.contains(keyword.lower())
     return hit
+
+
+# So many keywords are compared one by one in the JVM; more go to an automaton.
+COMPARED_KEYWORDS = 64
+
+
+@lru_cache(maxsize=2)
+def _automaton(sent: Broadcast):
+    """All keywords of all rules in one automaton with failure links, each with its first rule."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for keyword, rule in sent.value:
+        found.add_word(keyword, rule)
+    found.make_automaton()
+    return found
+
+
+def first_rule(spark: SparkSession, lowered: Column, rules: list[list[str]]) -> Column:
+    """Number of the first rule of which a keyword occurs in the text, also inside a word; null if there is none.
+
+    A few keywords are compared one by one. More are sent to the tasks as one list, from which each builds an automaton
+    that reads a text once, however many keywords there are. A null text has no rule, an empty keyword is in any other.
+    """
+    if sum(map(len, rules)) <= COMPARED_KEYWORDS:
+        return F.coalesce(F.lit(None).cast("int"), *(F.when(contains_any(lowered, own), number) for number, own in enumerate(rules)))
+    first: dict[str, int] = {}
+    for number, own in enumerate(rules):
+        for keyword in own:
+            first.setdefault(keyword.lower(), number)
+    anywhere = first.pop("", None)
+    sent = spark.sparkContext.broadcast(sorted(first.items()))
+
+    @F.arrow_udf("int")
+    def search(texts: pa.Array) -> pa.Array:
+        automaton = _automaton(sent)
+        out = []
+        for text in texts.to_pylist():
+            best = anywhere if text is not None else None
+            for _, rule in automaton.iter(text or ""):
+                if best is None or rule < best:
+                    best = rule
+                    if best == 0:
+                        break
+            out.append(best)
+        return pa.array(out, pa.int32())
+
+    return search(lowered)

@@ -124,13 +124,16 @@ def auto_label(
     df: DataFrame, text: str, label: str, rules: tuple[LabelRule, ...], default: str | None = None
 ) -> DataFrame:
     """Fill null labels from keyword rules, the first matching rule winning, then from the default."""
-    lowered = df.withColumn("_lowered", F.lower(F.col(text).cast("string")))
-    choices = [
-        F.when(X.contains_any(F.col("_lowered"), list(rule.keywords)), F.lit(rule.label.lower())) for rule in rules
-    ]
+    lowered = F.lower(F.col(text).cast("string"))
+    named = F.array(*(F.lit(rule.label.lower()) for rule in rules)).cast("array<string>")
+    many = sum(len(rule.keywords) for rule in rules) > X.COMPARED_KEYWORDS
+    if many:  # only texts without a label are searched
+        lowered = F.when(F.col(label).isNull(), lowered)
+    found = df.withColumn("_rule", X.first_rule(df.sparkSession, lowered, [list(rule.keywords) for rule in rules]))
+    choices = [F.try_element_at(named, F.col("_rule") + 1)]
     if default:
         choices.append(F.lit(default.lower()))
-    return lowered.withColumn(label, F.coalesce(F.col(label), *choices)).drop("_lowered")
+    return found.withColumn(label, F.coalesce(F.col(label), *choices)).drop("_rule")
 
 
 def clean(df: DataFrame, config: CleanConfig = SENTIMENT, keep: tuple[str, ...] = ()) -> DataFrame:

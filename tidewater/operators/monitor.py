@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.functions.numeric import kolmogorov_tail
-from tidewater.functions.ordering import previous_row, top_per_group
+from tidewater.functions.ordering import previous_row, running_sum_by_range, top_per_group
+from tidewater.session import checkpointed
 
 # Latency bucket bounds used when none are given, in seconds.
 DEFAULT_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
@@ -179,6 +180,55 @@ def alerts(metrics: DataFrame, rules: Sequence[AlertRule]) -> DataFrame:
     )
 
 
+RULE_COLUMNS = "rule string, metric string, limit double, above boolean, severity string, title string, channels array<string>"
+
+
+def alerts_by_table(metrics: DataFrame, rules: DataFrame) -> DataFrame:
+    """What `alerts` gives, for rules in a table of RULE_COLUMNS; missing values stand for an AlertRule's defaults.
+
+    The rules of a metric are numbered by their limit. For a metric row the rules below its value are counted in one
+    sort of values and limits together, so those that fire are the first so many, and a join on the number brings them:
+    work is that of the sort and of the alerts that come out, however many rules there are. For rules that fire below a
+    limit both signs turn. Rows and rules without a metric, value or limit give nothing, a limit that is no number included.
+    """
+    unknown = rules.select(F.explode("channels").alias("c")).where(~F.col("c").isin(*CHANNELS)).distinct().limit(5).collect()
+    if unknown:
+        raise ValueError(f"unknown alert channels: {sorted(r['c'] for r in unknown)}")
+    sign = F.when(F.coalesce("above", F.lit(True)), 1).otherwise(-1)
+    given = rules.select(
+        "rule",
+        "metric",
+        F.col("limit").alias("_limit"),
+        sign.alias("_sign"),
+        (F.col("limit") * sign).alias("_at"),
+        F.coalesce("severity", F.lit("medium")).alias("severity"),
+        F.when(F.length("title") > 0, F.col("title")).otherwise(F.col("rule")).alias("title"),
+        F.when(F.size("channels") > 0, F.col("channels")).otherwise(F.array(*(F.lit(c) for c in DEFAULT_CHANNELS))).alias("channels"),
+    ).dropna(subset=["metric", "_limit"])
+    own = W.partitionBy("metric", "_sign").orderBy("_at", "rule")
+    numbered = checkpointed(given.withColumn("_number", F.row_number().over(own).cast("long")))
+    both = metrics.select(
+        "metric",
+        F.explode(F.array(F.lit(1), F.lit(-1))).alias("_sign"),
+        F.col("value").cast("double").alias("_value_of"),
+        F.struct("key", "window_start", "window_end").alias("_row"),
+    ).where("metric IS NOT NULL AND _value_of IS NOT NULL")
+    # What is not a number sorts above all limits, and is below none.
+    valued = both.where("_sign = 1 OR NOT isnan(_value_of)").select("metric", "_sign", (F.col("_value_of") * F.col("_sign")).alias("_at"), F.lit(0).alias("_kind"), "_row")
+    limits = numbered.select("metric", "_sign", "_at", F.lit(1).alias("_kind"))
+    items = valued.unionByName(limits, allowMissingColumns=True)
+    counted = running_sum_by_range(items, ["metric", "_sign"], [F.col("_at"), F.col("_kind")], F.col("_kind"), "_below")
+    fired = counted.where("_kind = 0 AND _below > 0").select(
+        "metric", "_sign", "_row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_below"))).alias("_number")
+    )
+    word = F.when(F.col("_sign") == 1, "above").otherwise("below")
+    message = F.concat("metric", F.lit(" of "), "key", F.lit(" is "), word, F.lit(" "), F.col("_limit").cast("string"))
+    return fired.join(numbered.drop("_at"), ["metric", "_sign", "_number"]).select(
+        "rule", "key", "window_start", "window_end", "severity", "title", message.alias("message"),
+        F.explode("channels").alias("channel"), F.lit("open").alias("status"),
+    )
+
+
 def open_alerts(df: DataFrame, skip: int = 0, limit: int = 100, key: str = "id") -> DataFrame:
     return df.where("status = 'open'").orderBy(F.desc("timestamp"), F.col(key)).offset(skip).limit(limit)
 

@@ -134,6 +134,34 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
     return M.alerts(daily_metrics(events(spark, folder)), RULES)
 
 
+@query(
+    "alerts_by_table",
+    """WITH rules AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'avg_value' ELSE 'n' END AS metric,
+      CASE WHEN p_partkey % 2 = 0 THEN p_retailprice / 30 ELSE p_retailprice / 10 END AS lim, p_size > 25 AS above FROM part),
+    m AS (SELECT event_type AS key, date_trunc('day', ts)::TIMESTAMP AS window_start, avg(value) AS a, count(*)::DOUBLE AS n FROM events GROUP BY ALL),
+    l AS (SELECT key, window_start, 'avg_value' AS metric, a AS v FROM m UNION ALL SELECT key, window_start, 'n', n FROM m)
+    SELECT key, window_start, metric, count(*) AS n_alerts, min(p_partkey) AS first_rule, max(p_partkey) AS last_rule
+    FROM l JOIN rules USING (metric) WHERE CASE WHEN above THEN v > lim ELSE v < lim END GROUP BY ALL""",
+)
+def alerts_by_table(spark: SparkSession, folder: str) -> DataFrame:
+    """A rule for every part, above or below a limit made of its price; the alerts of each metric row, counted."""
+    even = F.col("p_partkey") % 2 == 0
+    rules = table(spark, folder, "part").select(
+        F.col("p_partkey").cast("string").alias("rule"),
+        F.when(even, "avg_value").otherwise("n").alias("metric"),
+        F.when(even, F.col("p_retailprice") / 30).otherwise(F.col("p_retailprice") / 10).alias("limit"),
+        (F.col("p_size") > 25).alias("above"),
+        F.lit("low").alias("severity"),
+        F.lit("").alias("title"),
+        F.array(F.lit("email")).alias("channels"),
+    )
+    fired = M.alerts_by_table(daily_metrics(events(spark, folder)), rules)
+    rule = F.col("rule").cast("long")
+    return fired.withColumn("metric", F.substring_index("message", " of ", 1)).groupBy("key", "window_start", "metric").agg(
+        F.count("*").alias("n_alerts"), F.min(rule).alias("first_rule"), F.max(rule).alias("last_rule")
+    )
+
+
 def alert_log(spark: SparkSession, folder: str) -> DataFrame:
     """All events as alert rows, those other than errors and views acknowledged."""
     return events(spark, folder).select(
