@@ -155,3 +155,27 @@ def test_keep_columns_come_from_the_first_row_of_a_group(spark):
     assert one.columns == ["k", "text", "label"] and sorted(r["k"] for r in one.collect()) == [1, 3]
     two = C.clean(df, C.CleanConfig(), keep=("k", "m"))
     assert sorted((r["k"], r["m"]) for r in two.collect()) == [(1, "y"), (3, "x")]
+
+
+def test_numbers_of_a_popular_name(spark):
+    """Rows of one slug beside many numbers in use, of the batch and taken: the k-th row gets the k-th free one."""
+    chance = random.Random(7)
+    names = ["a"] * 40 + [f"a-{n}" for n in chance.sample(range(2, 60), 20)] + ["b"] * 3 + ["b-1"]
+    chance.shuffle(names)
+    taken = ["a", "a-5", "a-61", "a-2", "c"]
+    df = spark.createDataFrame(list(enumerate(names)), "n long, name string").repartition(3)
+    held = spark.createDataFrame([(t,) for t in taken], "dataset_id string")
+    got = {r["n"]: r["dataset_id"] for r in C.build_dataset_ids(df, "name", "n", rows_per_slice=16, taken=held).collect()}
+    used, seen = set(names) | set(taken), {}
+    expected = {}
+    for n, name in enumerate(names):
+        if name not in seen and name not in taken:
+            seen[name] = 1
+            expected[n] = name
+            continue
+        number = seen.get(name, 1) + 1
+        while f"{name}-{number}" in used:
+            number += 1
+        seen[name] = number
+        expected[n] = f"{name}-{number}"
+    assert got == expected

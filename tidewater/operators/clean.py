@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import text as X
-from tidewater.functions.ordering import running_sum
+from tidewater.functions.ordering import running_sum, running_sum_by_range
+from tidewater.session import checkpointed
 
 # Label spellings that mean "no label".
 NULL_LABELS = ("none", "nan", "")
@@ -189,18 +190,21 @@ def build_dataset_ids(
         owned = owned.unionByName(held).groupBy("dataset_id").agg(F.bool_or("taken").alias("taken"))
     numbered = F.regexp_extract("dataset_id", r"^(.+)-([1-9][0-9]{0,8})$", 2)
     stem = F.regexp_extract("dataset_id", r"^(.+)-([1-9][0-9]{0,8})$", 1)
-    in_use = (
-        owned.select(stem.alias("_slug"), numbered.alias("_number"))
-        .where("_number <> '' AND _number <> '1'")
-        .groupBy("_slug")
-        .agg(F.array_sort(F.collect_set(F.col("_number").cast("long"))).alias("_in_use"))
-    )
+    in_use = checkpointed(owned.select(stem.alias("_slug"), numbered.alias("_number")).where("_number <> '' AND _number <> '1'"))
     first_taken = owned.where("taken").select(F.col("dataset_id").alias("_slug"), F.lit(1).alias("_shift"))
-    known = ranked.join(in_use, "_slug", "left").join(first_taken, "_slug", "left")
-    # The k-th row wants number k; each number in use that is not above it moves it up by one.
     rank = (F.col("_n") + F.coalesce("_shift", F.lit(0))).cast("long")
-    number = F.aggregate(
-        F.coalesce("_in_use", F.array().cast("array<bigint>")), rank, lambda n, used: F.when(used <= n, n + 1).otherwise(n)
-    )
+    known = ranked.join(first_taken, "_slug", "left").withColumn("_rank", rank)
+    number = rank = F.col("_rank")
+    if not in_use.isEmpty():
+        # The k-th row wants number k; each number in use that is not above it moves it up by one. So the j-th number in
+        # use, u, moves all rows from u - j + 1 on, and rows and these are counted in one sort.
+        used = in_use.select("_slug", F.col("_number").cast("long").alias("_number"))
+        placed = running_sum_by_range(used, ["_slug"], [F.col("_number")], F.lit(1), "_j")
+        moves = placed.select("_slug", (F.col("_number") - F.col("_j") + 1).alias("_rank"), F.lit(0).alias("_kind"))
+        rows = known.select("_slug", "_rank", F.lit(1).alias("_kind"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+        both = rows.unionByName(moves, allowMissingColumns=True)
+        counted = running_sum_by_range(both, ["_slug"], [F.col("_rank"), F.col("_kind")], 1 - F.col("_kind"), "_moved")
+        known = counted.where("_kind = 1").select("_row.*", "_slug", "_rank", "_moved")
+        number = rank + F.col("_moved")
     identity = F.when(rank == 1, F.col("_slug")).otherwise(F.concat_ws("-", "_slug", number.cast("string")))
-    return known.withColumn("dataset_id", identity).drop("_slug", "_n", "_in_use", "_shift")
+    return known.withColumn("dataset_id", identity).drop("_slug", "_n", "_shift", "_rank", "_moved")

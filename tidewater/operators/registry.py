@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.ordering import top_per_group
 from tidewater.operators.embed import artifact_search_text
-from tidewater.operators.search import search_text
 from tidewater.operators.lineage import ancestors, lineage_labels
+from tidewater.operators.search import search_text
 from tidewater.session import checkpointed
 
 # State of an external run -> state of the job.
@@ -46,10 +46,12 @@ def filtered(df: DataFrame, **conditions) -> DataFrame:
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Insert or replace by key; among incoming rows of one key the last by `order` wins.
 
-    Columns only one side has are added with nulls.
+    Columns only one side has are added with nulls. A null key is a key like any other.
     """
     newest = top_per_group(incoming, keys, [F.desc(c) if isinstance(c, str) else c for c in order], 1, "_n").drop("_n")
-    return existing.join(newest.select(*keys), list(keys), "left_anti").unionByName(newest, allowMissingColumns=True)
+    replaced = newest.select(*(F.col(k).alias(f"_new_{k}") for k in keys))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys])
+    return existing.join(replaced, same, "left_anti").unionByName(newest, allowMissingColumns=True)
 
 
 def one_per_key(changes: DataFrame, keys: Sequence[str], order: Sequence[Column | str] = ()) -> DataFrame:

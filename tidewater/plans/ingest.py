@@ -13,6 +13,7 @@ from tidewater.operators import profile as P
 from tidewater.operators.prepare import choose_split
 from tidewater.plans.base import query
 from tidewater.plans.cleaning import CLEAN_SQL, raw_labelled
+from tidewater.session import checkpointed
 from tidewater.sources import catalog
 from tidewater.sources.files import read_file
 
@@ -106,6 +107,6 @@ def ingest_file(
 )
 def clean_and_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Cleaned rows under the gate: all of them when the report passes, none when it does not."""
-    cleaned = C.clean(raw_labelled(spark, folder), C.SENTIMENT)
+    cleaned = checkpointed(C.clean(raw_labelled(spark, folder), C.SENTIMENT))
     report = P.report(cleaned, C.SENTIMENT.quality_rules, C.SENTIMENT.quality_threshold)
     return cleaned.where(report.select("passed").scalar())
