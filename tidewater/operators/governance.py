@@ -145,25 +145,25 @@ def query_audit(
 
 def encrypt_columns(df: DataFrame, columns: Sequence[str], key: str | bytes, key_id: str | None = None) -> DataFrame:
     """Replace columns by their AES-GCM form (binary); null stays null, equal values differ."""
-    secret = _key(df.sparkSession, key)
+    secret = secret_key(df.sparkSession, key)
     out = df.withColumns({c: F.aes_encrypt(F.col(c).cast("string"), secret) for c in columns})
     return out if key_id is None else out.withColumn("key_id", F.lit(key_id))
 
 
 def decrypt_columns(df: DataFrame, columns: Sequence[str], key: str | bytes) -> DataFrame:
     """Decrypt to text; a value the key does not open becomes null."""
-    secret = _key(df.sparkSession, key)
+    secret = secret_key(df.sparkSession, key)
     return df.withColumns({c: F.try_aes_decrypt(F.col(c), secret).cast("string") for c in columns})
 
 
 def rotate_key(df: DataFrame, columns: Sequence[str], old: str | bytes, new: str | bytes, key_id: str) -> DataFrame:
     """Encrypt again under a new key. A value the old key does not open fails the job instead of being lost."""
-    before, after = _key(df.sparkSession, old), _key(df.sparkSession, new)
+    before, after = secret_key(df.sparkSession, old), secret_key(df.sparkSession, new)
     opened = {c: F.aes_encrypt(F.aes_decrypt(F.col(c), before), after) for c in columns}
     return df.withColumns(opened).withColumn("key_id", F.lit(key_id))
 
 
-def _key(spark: SparkSession, key: str | bytes) -> Column:
+def secret_key(spark: SparkSession, key: str | bytes) -> Column:
     """The key as a scalar subquery over a one-row table: a literal would stand in plans and event logs."""
     raw = key.encode() if isinstance(key, str) else key
     if len(raw) not in (16, 24, 32):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.operators import envelope as V
 from tidewater.operators import governance as G
 from tidewater.plans.base import query, table
+from tidewater.session import checkpointed, ensure_checkpoint_dir
 
 ACTIONS = {"click": "read", "view": "EXPORT", "purchase": "write", "signup": "train", "error": "unknown"}
 ACTION_SQL = "CASE event_type WHEN 'click' THEN 'read' WHEN 'view' THEN 'EXPORT' WHEN 'purchase' THEN 'write' WHEN 'signup' THEN 'train' ELSE 'unknown' END"
@@ -109,6 +113,21 @@ def rotate_key(spark: SparkSession, folder: str) -> DataFrame:
     return G.decrypt_columns(G.rotate_key(stored, ["c_name"], SAMPLE_KEY, NEXT_KEY, "k2"), ["c_name"], NEXT_KEY)
 
 
+@query(
+    "envelope_rotation",
+    "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_name END AS c_name, c_acctbal, NULL::VARCHAR AS old_key FROM customer",
+)
+def envelope_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    """A data key for each nation; after a new master key the new one opens all names and the old one none."""
+    rows = secrets(spark, folder).join(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/keys-{uuid4().hex}"
+    stored = V.encrypt_by_group(rows, ["c_name"], "c_nationkey", V.add_groups(rows, "c_nationkey", path, SAMPLE_KEY, "m1"), SAMPLE_KEY)
+    stored = checkpointed(stored.withColumn("old_key", F.col("c_name")))
+    keys = V.rotate_master(spark, path, SAMPLE_KEY, NEXT_KEY, "m2")
+    opened = V.decrypt_by_group(stored, ["c_name"], "c_nationkey", keys, NEXT_KEY)
+    return V.decrypt_by_group(opened, ["old_key"], "c_nationkey", keys, SAMPLE_KEY).drop("c_nationkey")
+
+
 @query(
     "device_mismatches",
     """WITH f AS (SELECT event_id, user_id, ts, sha256('{"k": "' || json_extract_string(props, '$.k') || '", "type": "' || event_type || '"}') AS fp FROM events)
