@@ -305,7 +305,9 @@ class Bpe:
         def per_batch(texts: pa.Array) -> pa.Array:
             model = model_of(specification.value)
             chunks = [ids for some in slices(texts) for ids in model.encode(some)]
-            return list_array(chunks, np.dtype("<i4"), pa.int32())
+            out = list_array(chunks, np.dtype("<i4"), pa.int32())
+            pa.default_memory_pool().release_unused()  # else what a slice took stays with the worker
+            return out
 
         return per_batch(F.coalesce(text, F.lit("")))
 
@@ -319,7 +321,10 @@ class Bpe:
             chunks = [ids for some in slices(texts) for ids in model.encode(some)]
             ids = list_array(chunks, np.dtype("<i4"), pa.int32())
             names = pa.ListArray.from_arrays(ids.offsets, model.name_array.take(ids.values))
-            return pa.StructArray.from_arrays([ids, pc.binary_join(names, " ")], names=["ids", "decoded"])
+            out = pa.StructArray.from_arrays([ids, pc.binary_join(names, " ")], names=["ids", "decoded"])
+            del chunks, names
+            pa.default_memory_pool().release_unused()
+            return out
 
         return per_batch(F.coalesce(text, F.lit("")))
 

@@ -134,7 +134,9 @@ def token_ids(spark: SparkSession, path: str, text: Column, end: int | None, wid
     @F.arrow_udf(T.BinaryType())
     def per_batch(texts: pa.Array) -> pa.Array:
         model = library_of(specification.value, width)
-        return pa.array([ids + tail for some in slices(texts) for ids in model.encode(some)], pa.binary())
+        out = pa.array([ids + tail for some in slices(texts) for ids in model.encode(some)], pa.binary())
+        pa.default_memory_pool().release_unused()  # else what a slice took stays with the worker
+        return out
 
     return per_batch(F.coalesce(text, F.lit("")))
 
