@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tidewater.functions import text as X
 
 Embedder = Callable[[pa.Array], np.ndarray]
+# Terms whose hashes a task remembers.
+REMEMBERED_TERMS = 200_000
 
 
 def chunks(df: DataFrame, key: str, text: str = "text", size: int = 512, overlap: int = 0) -> DataFrame:
@@ -34,11 +36,19 @@ def chunks(df: DataFrame, key: str, text: str = "text", size: int = 512, overlap
 
 def hashed_words(dimensions: int = 64) -> Embedder:
     """Bag-of-words embedder without weights: counts per hash bucket, scaled to unit length."""
+    known: dict[str, int] = {}
+
+    def bucket(term: str) -> int:
+        found = known.get(term)
+        if found is None:
+            found = known[term] = int.from_bytes(md5(term.encode()).digest()[:4]) % dimensions
+        return found
 
     def embed(terms: pa.ListArray) -> np.ndarray:
+        if len(known) > REMEMBERED_TERMS:
+            known.clear()
         coded = terms.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        buckets = np.array([int(md5(t.encode()).hexdigest()[:8], 16) % dimensions for t in distinct], dtype=np.int64)
+        buckets = np.array(list(map(bucket, coded.dictionary.to_pylist())), dtype=np.int64)
         cells = pc.list_parent_indices(terms).to_numpy() * dimensions + buckets[coded.indices.to_numpy()]
         counts = np.bincount(cells, minlength=len(terms) * dimensions).reshape(len(terms), dimensions)
         norms = np.linalg.norm(counts, axis=1, keepdims=True)

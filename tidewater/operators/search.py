@@ -35,6 +35,8 @@ PAIRS_AT_ONCE = 1 << 16
 CODE_BITS = 256
 CELL_ROWS = 16_384
 QUERIES_AT_ONCE = 16
+# Rows of a part that are measured at least, or k if that is less.
+LEAST_MEASURED = 4
 
 
 def matches(filters: Mapping[str, Any] | None) -> Column:
@@ -222,6 +224,9 @@ def train_cells(
     vectors = chosen.select(array_to_vector(unit if metric == "cosine" else F.col("vector")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations, featuresCol="features", predictionCol="cell").fit(vectors)
     centers = np.asarray(model.clusterCenters(), dtype=np.float64)
+    if metric == "cosine":  # a mean of unit vectors is short, and short centres are all about as far
+        norms = np.linalg.norm(centers, axis=1, keepdims=True)
+        centers = centers / np.where(norms == 0, 1.0, norms)
     width, chance = centers.shape[1], np.random.default_rng(seed)
     turns = [np.linalg.qr(chance.normal(size=(width, width)))[0] for _ in range(-(-CODE_BITS // width))]
     return CellModel(centers, np.concatenate(turns, axis=1)[:, :CODE_BITS], metric)
@@ -272,7 +277,7 @@ def probe_table(queries: DataFrame, model: CellModel, probes: int) -> DataFrame:
 
 def measured_rows(size: Column, k: int, share: float) -> Column:
     """Of a part of so many rows, how many are measured for a query that probes it."""
-    return F.least(size, F.greatest(F.lit(k), F.ceil(size * share))).cast("long")
+    return F.least(size, F.greatest(F.lit(min(k, LEAST_MEASURED)), F.ceil(size * share))).cast("long")
 
 
 def probe_cost(index: DataFrame, queries: DataFrame, model: CellModel, k: int = 10, probes: int = 8, share: float = 0.25) -> DataFrame:
@@ -298,7 +303,7 @@ def nearest_by_cell(
     limits: BatchLimits = BatchLimits(),
 ) -> DataFrame:
     """Approximate top-k: a query meets the rows of its `probes` closest cells alone, and measures the `share` of them
-    whose codes differ least from its own, k at least (under cosine; other metrics measure all rows of the cells).
+    whose codes differ least from its own, a few at least (under cosine; other metrics measure all rows of the cells).
 
     `index` comes from `assign_cells`. Queries and rows meet by (cell, part), so a crowded cell is several groups, of
     about CELL_ROWS rows each; a query batch beyond the limit is cut into chunks that each meet the rows. Only the
@@ -363,7 +368,7 @@ def _score_parts(batches: Iterator[pa.RecordBatch], model: CellModel, k: int, sh
 
 def _nearest_in_part(rows: pa.RecordBatch, queries: np.ndarray, model: CellModel, k: int, share: float) -> Best:
     vectors, best = _matrix(rows["vector"]), Best(k)
-    measured = min(len(vectors), max(k, math.ceil(len(vectors) * share)))
+    measured = min(len(vectors), max(min(k, LEAST_MEASURED), math.ceil(len(vectors) * share)))
     if measured == len(vectors):
         best.offer(distances(vectors, queries, model.metric, k), rows["id"])
         return best

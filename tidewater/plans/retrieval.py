@@ -274,8 +274,8 @@ def _cell_recall(index: DataFrame, queries: DataFrame) -> DataFrame:
     """Recall of the cell search against the exact search, and the share of all distances that it measures, per query."""
     model = S.train_cells(index, cells=16)
     cells = checkpointed(S.assign_cells(index, model))
-    found = S.nearest_by_cell(cells, queries, model, k=10, probes=12)
-    cost = S.probe_cost(cells, queries, model, k=10, probes=12)
+    found = S.nearest_by_cell(cells, queries, model, k=10, probes=13, share=0.2)
+    cost = S.probe_cost(cells, queries, model, k=10, probes=13, share=0.2)
     share = F.col("computed") / F.lit(float(index.count()))
     return S.recall(found, S.nearest(index, queries, 10)).join(cost.select("query_id", share.alias("measured")), "query_id")
 
