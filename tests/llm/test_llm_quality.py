@@ -118,3 +118,25 @@ def test_odd_rows(odd, empty):
     got = quality.judge(odd).collect()
     assert len(got) == odd.count() and all(not r["kept"] for r in got if r["n_words"] < 10)
     assert quality.judge(empty).count() == 0
+
+
+def test_small_sources_are_judged_by_what_larger_sets_lend(spark):
+    """The outer tenth of fewer than ten documents is empty: alone they would all be kept, however odd."""
+    odd_text = lambda k: " ".join(w + "###" for w in plain(k).split())
+    rows = [(k, plain(k), "en", f"s{k % 80}") for k in range(640)]
+    rows += [(1000, odd_text(1), "en", "s1"), (1001, odd_text(2), "en", "alone"), (1002, odd_text(3), "xx", "alone"), (1003, odd_text(4), None, None)]
+    rows += [(1004, plain(5), "en", "plain"), (1005, repetitive(2), "en", "s2")]
+    rows += [(2000 + k, odd_text(k), "en", "code") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    dropped = lambda fences: {r["doc_id"] for r in quality.judge(df, fences).collect() if not r["kept"]}
+    assert dropped(Fences()) == set()
+    assert dropped(Fences(lent=20)) == {1000, 1001, 1002, 1003, 1005}
+
+
+def test_lent_documents_are_the_middles_of_equal_parts(spark):
+    values = [1, 1, 1, 2, 5, 8, 8, 9, 9, 9, 12]
+    cells = spark.createDataFrame([("g", 0, v, 1) for v in values], "group string, measure int, bucket long, n long")
+    for lent in (1, 2, 4, 20):
+        got = sorted(v for r in quality.lent_cells(cells, ["group"], lent).collect() for v in [r["bucket"]] * r["n"])
+        places = [-(-len(values) * (2 * k + 1) // (2 * lent)) - 1 for k in range(lent)]
+        assert got == [values[p] for p in places]

@@ -32,11 +32,16 @@ class Fences:
     in a hundred, a repeated line in two hundred, half a character of length. Every group has its own sketch, whatever
     its size. A sketch keeps `bits` leading bits of a measure: quantiles are exact below 2**bits and within 2**(1 - bits)
     above.
+
+    The outer tenth of fewer than ten documents is empty, so their own sketch drops none. With `lent`, the sketch of all
+    adds so many of its quantiles, a document each, to that of every language, which then lends as many to each of its
+    sources: from 20 on the only document of a source is judged by others, and a large source hardly feels them.
     """
 
     spread: int = 3
     room: tuple[int, ...] = (20, 5, 50, 500)
     bits: int = 7
+    lent: int = 0
 
 
 def count_words(data: bytes, characters: int) -> tuple[int, int, int, int, int]:
@@ -83,15 +88,39 @@ def bucket_top(lowest: Column, bits: int) -> Column:
     return lowest + F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.length(F.bin(lowest)) - bits)) - 1
 
 
-def sketches(measured: DataFrame, key: str, fences: Fences) -> DataFrame:
-    """Sketches (key, measure, bucket, n) of all measures: a count for each bucket, which merge by adding.
+def sketches(measured: DataFrame, keys: list[str], fences: Fences) -> DataFrame:
+    """Sketches (*keys, measure, bucket, n) of all measures: a count for each bucket, which merge by adding.
 
     Counts are added before the shuffle, so a group costs as many rows a task as it has buckets, however large it is.
     """
     cells = F.explode(
         F.array(*(F.struct(F.lit(k).alias("measure"), bucket(F.col(m), fences.bits).alias("bucket")) for k, m in enumerate(MEASURES)))
     )
-    return measured.select(key, cells.alias("cell")).groupBy(key, "cell.measure", "cell.bucket").agg(F.count("*").alias("n"))
+    return measured.select(*keys, cells.alias("cell")).groupBy(*keys, "cell.measure", "cell.bucket").agg(F.count("*").alias("n"))
+
+
+def lent_cells(cells: DataFrame, keys: list[str], lent: int) -> DataFrame:
+    """Of each sketch (*keys, measure, bucket, n) `lent` documents of equal weight: those in the middle of as many equal parts."""
+    group = Window.partitionBy(*keys, "measure")
+    merged = cells.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
+    middles = lambda upto: F.call_function("div", upto * (2 * lent) + F.col("total"), F.col("total") * 2)
+    counted = ranked.select(*keys, "measure", "bucket", (middles(F.col("upto")) - middles(F.col("upto") - F.col("n"))).alias("n"))
+    return counted.where("n > 0")
+
+
+def merged_sketches(cells: DataFrame, lent: int) -> DataFrame:
+    """Sketches (group, measure, bucket, n) with what all documents lend to each language, and a language to its groups.
+
+    A group gets at most `lent` rows for each measure, however many documents its language has.
+    """
+    if not lent:
+        return cells.select("group", "measure", "bucket", "n")
+    cells = checkpointed(cells)
+    of_all = cells.select("language").distinct().crossJoin(F.broadcast(lent_cells(cells, [], lent)))
+    of_languages = lent_cells(cells.select("language", "measure", "bucket", "n").unionByName(of_all), ["language"], lent)
+    of_groups = cells.select("group", "language").distinct().join(of_languages, "language")
+    return cells.drop("language").unionByName(of_groups.drop("language"))
 
 
 def fence_table(cells: DataFrame, key: str, fences: Fences) -> DataFrame:
@@ -123,7 +152,8 @@ def judge(
     """One row per input row: (identifier, COUNTS, base_failed, kept).
 
     Plain rules fail short and repetitive documents. The others, group by group of language and source, give the
-    sketches from which the limits come; a document is kept if all its measures lie within the limits of its group.
+    sketches from which the limits come, merged with what languages and the whole table lend; a document is kept if all
+    its measures lie within the limits of its group.
     Texts are read once; the narrow counts are written to the shared folder. The limits are one row a group: the join
     back leaves a popular group to adaptive execution, or is a broadcast if Spark finds the limits small.
 
@@ -135,8 +165,9 @@ def judge(
     counted = df.select(
         F.col(identifier).alias("identifier"),
         F.to_json(F.struct(F.col(language).alias("l"), F.col(source).alias("s"))).alias("group"),
+        F.to_json(F.struct(F.col(language).alias("l"))).alias("language"),
         counts_column(F.col(text)).alias("counts"),
-    ).select("identifier", "group", "counts.*")
+    ).select("identifier", "group", "language", "counts.*")
     words = F.greatest(F.col("n_words"), F.lit(1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     rows = checkpointed(
@@ -144,7 +175,8 @@ def judge(
             {name: F.call_function("div", 1000 * F.col(column), words) for name, column in MEASURES.items()}
         )
     )
-    limits = fence_table(sketches(rows.where("not base_failed"), "group", fences), "group", fences)
+    cells = sketches(rows.where("not base_failed"), ["group", "language"], fences)
+    limits = fence_table(merged_sketches(cells, fences.lent), "group", fences)
     inside = F.lit(True)
     for name in MEASURES:
         inside = inside & F.col(name).between(F.col(f"{name}_least"), F.col(f"{name}_most"))

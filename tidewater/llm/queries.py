@@ -32,6 +32,8 @@ END_OF_DOCUMENT = 2
 ID_BYTES = 2
 TOXIC_AT = 0.7
 SIMHASH = {"width": 3, "radius": 2}
+#: Sources of any size are judged: each takes 20 documents' weight from its language, and that from all.
+FENCES = quality.Fences(lent=20)
 #: Tools that conversations are read as calls of: a user's turn calls one, the assistant's next turn is its result.
 SHORT_WORDS = 20
 SCHEMAS = {
@@ -112,8 +114,19 @@ rated AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_
 cells AS (SELECT lang, source, k, (v >> s) << s AS bucket, ((v >> s) << s) + (1 << s) - 1 AS top FROM (
             SELECT lang, source, k, v, greatest(0, length(bin(v)) - 7) AS s FROM (
               SELECT lang, source, unnest([0, 1, 2, 3]) AS k, unnest([m0, m1, m2, m3]) AS v FROM rated WHERE NOT base_failed))),
-ranked AS (SELECT lang, source, k, bucket, top, count(*) OVER g AS total,
-                  count(*) OVER (PARTITION BY lang, source, k ORDER BY bucket) AS upto FROM cells
+own AS (SELECT lang, source, k, bucket, top, count(*) AS n FROM cells GROUP BY ALL),
+all_ranked AS (SELECT k, bucket, top, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY k ORDER BY bucket) AS upto, sum(sum(n)) OVER (PARTITION BY k) AS total
+               FROM own GROUP BY k, bucket, top),
+all_lent AS (SELECT k, bucket, top, (40 * upto + total) // (2 * total) - (40 * (upto - n) + total) // (2 * total) AS n FROM all_ranked),
+lang_cells AS (SELECT lang, k, bucket, top, n FROM own UNION ALL SELECT lang, k, bucket, top, n FROM (SELECT DISTINCT lang FROM own), all_lent),
+lang_ranked AS (SELECT lang, k, bucket, top, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, k ORDER BY bucket) AS upto,
+                       sum(sum(n)) OVER (PARTITION BY lang, k) AS total FROM lang_cells GROUP BY lang, k, bucket, top),
+lang_lent AS (SELECT lang, k, bucket, top, (40 * upto + total) // (2 * total) - (40 * (upto - n) + total) // (2 * total) AS n FROM lang_ranked),
+merged AS (SELECT lang, source, k, bucket, top, n FROM own
+           UNION ALL SELECT g.lang, g.source, l.k, l.bucket, l.top, l.n FROM (SELECT DISTINCT lang, source FROM own) g
+             JOIN lang_lent l ON g.lang IS NOT DISTINCT FROM l.lang WHERE l.n > 0),
+ranked AS (SELECT lang, source, k, bucket, top, sum(n) OVER g AS total,
+                  sum(n) OVER (PARTITION BY lang, source, k ORDER BY bucket) AS upto FROM merged
            WINDOW g AS (PARTITION BY lang, source, k)),
 tenths AS (SELECT lang, source, k, min(bucket) FILTER (upto * 10 >= total) AS low, min(bucket) FILTER (upto * 10 >= total * 5) AS middle,
                   min(bucket) FILTER (upto * 10 >= total * 9) AS high, min(top) FILTER (upto * 10 >= total * 9) AS top FROM ranked GROUP BY ALL),
@@ -130,7 +143,7 @@ FROM rated LEFT JOIN wide ON rated.lang IS NOT DISTINCT FROM wide.lang AND rated
 
 @query("op4_quality_rules", QUALITY_SQL)
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.judge(documents(spark, folder))
+    return quality.judge(documents(spark, folder), FENCES)
 
 
 @query("op5_mix_sources")
