@@ -53,6 +53,22 @@ def test_nearest_matches_brute_force(spark, vectors, metric, partitions, block):
         np.testing.assert_allclose([d for _, _, d in sorted(rows)], [d for d, _ in expected[q]], atol=1e-6)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_pairs_compared_at_a_time_are_bounded(spark, vectors, monkeypatch, metric):
+    """A batch of rows is compared part by part, so that memory does not grow with the queries of a block."""
+    index, queries = as_frame(spark, vectors), as_frame(spark, vectors[:40], "query_id")
+    whole = S.nearest(index.coalesce(1), queries, 5, metric).select("query_id", "id", "rank").collect()
+    measure = S.distances
+
+    def bounded(rows, asked, *args):
+        assert len(rows) * len(asked) <= 400
+        return measure(rows, asked, *args)
+
+    monkeypatch.setattr(S, "PAIRS_COMPARED", 400)
+    monkeypatch.setattr(S, "distances", bounded)
+    assert sorted(S.nearest(index.coalesce(1), queries, 5, metric).select("query_id", "id", "rank").collect()) == sorted(whole)
+
+
 def test_filter_comes_before_the_cut_and_k_may_exceed_the_table(spark, vectors):
     queries = as_frame(spark, vectors[:2], "query_id").drop("kind")
     hits = S.nearest(as_frame(spark, vectors), queries, 500, filters={"kind": 1})

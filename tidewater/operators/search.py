@@ -29,8 +29,9 @@ from tidewater.operators.fulltext import TextIndex
 from tidewater.operators.topk import DECIMALS, Best, BatchLimits, emit, top_k_schema
 
 RRF_CONSTANT = 60
-# Vector pairs measured at a time in a task.
+# Vector pairs measured at a time in a task, and compared at a time by their norms and products.
 PAIRS_AT_ONCE = 1 << 16
+PAIRS_COMPARED = 1 << 20
 # Bits of a vector's code, rows of a part of a cell, and queries whose codes a part compares at a time.
 CODE_BITS = 256
 CELL_ROWS = 16_384
@@ -125,9 +126,11 @@ def nearest(
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = Best(k)
+            rows = max(1, PAIRS_COMPARED // max(1, len(query_ids)))
             for batch in _with_vector(batches):
-                if batch.num_rows and len(query_ids):
-                    best.offer(distances(_matrix(batch.column(1)), vectors, metric, k), batch.column(0))
+                for start in range(0, batch.num_rows if len(query_ids) else 0, rows):
+                    part = batch.slice(start, rows)
+                    best.offer(distances(_matrix(part.column(1)), vectors, metric, k), part.column(0))
             yield from emit(best, query_ids, arrow_schema)
 
         return corpus.mapInArrow(score, schema)
