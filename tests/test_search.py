@@ -192,6 +192,26 @@ def test_search_opens_only_folders_of_asked_terms(spark, tmp_path):
         fresh.postings.groupBy("term").agg(F.max("n")).collect()
 
 
+def test_every_range_of_a_folder_has_its_own_task(spark, tmp_path, monkeypatch):
+    """Hashed to tasks, several ranges met in one, which read them all."""
+    monkeypatch.setattr(fulltext, "WRITTEN_DOCUMENTS", 8)
+    rows = random_texts(400, 3)
+    index = fulltext.write_text_index(spark.createDataFrame(rows, "id string, text string"), str(tmp_path), block_documents=8)
+    files = [(f.parent.name, f.name.split("-")[1]) for f in tmp_path.glob("postings/segment=0/bucket=*/*.parquet")]
+    groups = fulltext.posting_groups(400, 50, index.buckets)
+    assert groups == 4 and len({task for _, task in files}) == len(files) > len({bucket for bucket, _ in files})
+    queries = spark.createDataFrame([(1, "w3 w20 w0")], "query_id int, text string")
+    assert found_ids(S.search_text(index, queries, 5)) == {1: dense_bm25(rows, "w3 w20 w0", 5)}
+
+
+def test_more_documents_make_more_tasks_not_larger_ones():
+    for documents in (50_000, 500_000, 3_000_000, 30_000_000):
+        blocks, buckets = -(-documents // fulltext.BLOCK_DOCUMENTS), max(fulltext.LEAST_BUCKETS, -(-documents // fulltext.BUCKET_DOCUMENTS))
+        groups = fulltext.posting_groups(documents, blocks, buckets)
+        assert documents / (buckets * groups) <= fulltext.WRITTEN_DOCUMENTS and -(-blocks // groups) <= fulltext.TASK_BLOCKS
+        assert buckets * groups <= max(fulltext.LEAST_BUCKETS, 2 * documents / fulltext.WRITTEN_DOCUMENTS)
+
+
 def test_blocks_below_the_kth_score_are_skipped():
     schema = pa.schema([("term", pa.string()), ("max_count", pa.int32()), ("min_length", pa.int32()),
                         ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32()))])

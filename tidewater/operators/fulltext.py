@@ -29,6 +29,10 @@ from tidewater.session import ensure_checkpoint_dir
 BLOCK_DOCUMENTS = 512
 LEAST_BUCKETS, BUCKET_DOCUMENTS = 16, 1 << 16
 TASK_BLOCKS = 4096
+# Blocks that one task lists, documents whose postings one task writes on average, and documents that one task searches.
+LISTED_BLOCKS = 32
+WRITTEN_DOCUMENTS = 1 << 13
+SEARCHED_DOCUMENTS = 1 << 16
 # So many terms are compared in the scan, which then skips row groups; Parquet makes a range of more than these.
 PUSHED_TERMS = 10
 # Bounds are sums of floats in another order than scores; a block is skipped only if it is worse by more than this.
@@ -58,11 +62,13 @@ def posting_rows(documents: DataFrame, blocks: int, buckets: int) -> DataFrame:
     """Rows (bucket, term, block, n, occurrences, max_count, min_length, ids, counts, lengths) of `documents(id, text)`.
 
     Texts move once, to their blocks, where a task counts and lists the terms of one block at a time. A term that all
-    documents have is a row for each block, so none of its lists is longer than a block.
+    documents have is a row for each block, so none of its lists is longer than a block. Tasks are dealt their blocks in
+    turn, and more blocks make more tasks.
     """
     placed = documents.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    tasks = max(_partitions(documents.sparkSession), -(-blocks // LISTED_BLOCKS))
     split = (
-        placed.repartition(_partitions(documents.sparkSession), "block")
+        placed.repartitionById(tasks, F.pmod(F.col("block"), F.lit(tasks)).cast("int"))
         .sortWithinPartitions("block")
         .select("block", "id", X.terms(F.col("text")).alias("terms"))
     )
@@ -121,6 +127,11 @@ def _list_block(rows: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def posting_groups(documents: int, blocks: int, buckets: int) -> int:
+    """Ranges of blocks that the postings of a folder are written by, a task each: their size stays, their number grows."""
+    return min(blocks, max(-(-blocks // TASK_BLOCKS), -(-documents // (WRITTEN_DOCUMENTS * buckets))))
+
+
 def write_text_index(documents: DataFrame, path: str, segment: int = 0, block_documents: int = BLOCK_DOCUMENTS) -> TextIndex:
     """Index `documents(id, text)` as one segment below `path`; writing a segment again replaces it.
 
@@ -133,17 +144,19 @@ def write_text_index(documents: DataFrame, path: str, segment: int = 0, block_do
         buckets = text_index(spark, path).buckets
     else:
         buckets = max(LEAST_BUCKETS, -(-count // BUCKET_DOCUMENTS))
-    rows = posting_rows(documents, max(1, -(-count // block_documents)), buckets)
-    group = F.call_function("div", F.col("block"), F.lit(TASK_BLOCKS))
+    blocks = max(1, -(-count // block_documents))
+    rows = posting_rows(documents, blocks, buckets)
+    # Every range of blocks of a folder has its own task: hashed to tasks, several of so few would meet in one.
+    groups = posting_groups(count, blocks, buckets)
+    group = F.call_function("div", F.col("block") * groups, F.lit(blocks))
     folder = f"segment={segment}"
-    rows.repartition(_partitions(spark), "bucket", group).sortWithinPartitions("bucket", "term", "block").write.mode(
+    rows.repartitionById(buckets * groups, (F.col("bucket") * groups + group).cast("int")).sortWithinPartitions("bucket", "term", "block").write.mode(
         "overwrite"
     ).partitionBy("bucket").parquet(f"{path}/postings/{folder}")
     written = spark.read.schema(rows.schema).parquet(f"{path}/postings/{folder}")
-    # By folder first: that serves the sums too, and a folder gets one file.
-    narrow = written.select("bucket", "term", "n", "occurrences").repartition(_partitions(spark), "bucket")
-    terms = narrow.groupBy("bucket", "term").agg(F.sum("n").alias("n"), F.sum("occurrences").alias("occurrences"))
-    terms.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/{folder}")
+    terms = written.groupBy("bucket", "term").agg(F.sum("n").alias("n"), F.sum("occurrences").alias("occurrences"))
+    # A folder gets one file.
+    terms.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/{folder}")
     counted = spark.read.schema(terms.schema).parquet(f"{path}/terms/{folder}")
     totals = counted.agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("length")).select(
         F.lit(count).cast("long").alias("documents"), "length", F.lit(buckets).alias("buckets"), _id_type(documents).alias("id_type")
@@ -201,7 +214,7 @@ def search(
     if facts["terms"] <= PUSHED_TERMS:
         mine = mine & F.col("term").isin(sorted(r["term"] for r in asked.select("term").distinct().collect()))
     chunks = max(1, -(-facts["queries"] // limits.queries))
-    parts = max(1, -(-_partitions(spark) // chunks))
+    parts = max(1, -(-_partitions(spark) // chunks), -(-index.documents // SEARCHED_DOCUMENTS))
 
     known = index.terms.where(mine).groupBy("term").agg(F.sum("n").alias("n"))
     idf = F.log1p((index.documents - F.col("n") + 0.5) / (F.col("n") + 0.5))
