@@ -87,6 +87,27 @@ def test_lineage_has_no_depth_limit(spark):
     assert {(r["ancestor_id"], r["depth"]) for r in got.collect()} == {(i, 130 - i) for i in range(130)}
 
 
+@pytest.mark.parametrize("name", list(TREES))
+def test_popular_parents_are_broadcast_and_change_nothing(spark, monkeypatch, name):
+    plain = {tuple(r) for r in L.lineage_labels(edges(spark, TREES[name])).collect()}
+    monkeypatch.setattr(L, "FEW_JUMPS", 2)
+    assert {tuple(r) for r in L.lineage_labels(edges(spark, TREES[name])).collect()} == plain
+
+
+def test_lineage_rounds_follow_the_depth_and_not_the_artifacts(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(L, "checkpointed", lambda df, inner=L.checkpointed: made.append(1) or inner(df))
+
+    def rounds(artifacts):
+        made.clear()
+        width = round(artifacts**0.5)
+        tree = spark.range(artifacts).selectExpr("id", f"CASE WHEN id > {width} THEN id % {width} + 1 WHEN id > 0 THEN 0 END AS parent_id")
+        assert L.lineage_labels(tree).agg(F.max("depth")).first()[0] == 2
+        return len(made)
+
+    assert rounds(4000) == rounds(40)
+
+
 def test_update_with_repeated_unknown_and_null_keys(spark):
     table = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (None, "c", 7)], "id int, name string, n int")
     changes = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (1, "older", 0), (9, "q", 1), (None, "z", 1)], "id int, name string, seen int")

@@ -1,19 +1,21 @@
 """Interval labels of a forest: ancestors and depths from two numbers per artifact, without the closure.
 
-A walk around each tree passes every artifact twice, down and up. The walk is a linked list; pointer jumping gives each
-step its distance to the end and the depth there, in log2(steps) rounds of one join each. An artifact is above another if
-its two numbers enclose the other's. Rows stay two for each artifact, however deep or wide the trees are.
+A walk around each tree would pass every artifact twice, down and up; the two numbers are those places. They follow from
+the sizes of the subtrees: below its parent an artifact comes after the subtrees of its smaller siblings. Depths and sizes
+come from jumps towards the root whose length doubles, sums along the path likewise, so that log2(depth) rounds do. An
+artifact is above another if its two numbers enclose the other's. Rows stay one for each artifact, however deep or wide
+the trees are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,47 +23,75 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewater.session import checkpointed
 
-DOWN, UP = 0, 1
+#: At most so many artifacts, those that most jumps lead to, are broadcast in a round.
+BROADCAST_ROWS = 100_000
+#: Jumps to an artifact that a task takes well by a shuffle.
+FEW_JUMPS = 1000
 
 
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _siblings(forest: DataFrame) -> DataFrame:
-    """(id, parent_id, following): the next child of the same parent in order of id.
+def _forest(edges: DataFrame) -> DataFrame:
+    """(id, parent_id), a row for each artifact; a parent that is not listed, or the artifact itself, counts as none."""
+    single = edges.groupBy("id").agg(F.min("parent_id").alias("parent_id"))
+    known = single.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
+    parent = F.when(F.col("known") & (F.col("parent_id") != F.col("id")), F.col("parent_id"))
+    return checkpointed(single.join(known, "parent_id", "left").select("id", parent.alias("parent_id")))
 
-    Children are ordered in ranges of (parent, id), so that a parent with a third of all children is no single task; the
-    last child of a range is followed by the first of the next range with children of that parent.
+
+def _climbed(state: DataFrame, joined: Callable[[str], Column], names: list[str], size: bool = False) -> DataFrame:
+    """`state` (id, next, names...) with jumps that have doubled until they end above a root; those of a cycle never do.
+
+    A round looks up where a jump ends and goes on from there; `joined(name)` is the value of both stretches, of columns
+    `name` and `_name`. With `size` the artifacts of a jump's length below an artifact are summed in `size`. Artifacts to
+    which many jumps lead, as to a popular parent and near a root, are few and are broadcast; the others are shuffled.
     """
-    ranged = forest.where("parent_id IS NOT NULL").repartitionByRange(_partitions(forest), "parent_id", "id")
-    placed = checkpointed(ranged.withColumn("range", F.spark_partition_id()))
-    firsts = placed.groupBy("parent_id", "range").agg(F.min("id").alias("first"))
-    after = firsts.withColumn("after", F.lead("first").over(W.partitionBy("parent_id").orderBy("range"))).drop("first")
-    inside = F.lead("id").over(W.partitionBy("parent_id", "range").orderBy("id"))
-    return placed.withColumn("inside", inside).join(after, ["parent_id", "range"]).select(
-        "id", "parent_id", F.coalesce("inside", "after").alias("following")
-    )
+    rows = state.count()
+    many = max(FEW_JUMPS, rows // BROADCAST_ROWS)
+    for _ in range(rows.bit_length()):
+        if state.where("next IS NOT NULL").isEmpty():
+            break
+        below = [F.sum("size").alias("more")] if size else []
+        arrivals = state.where("next IS NOT NULL").groupBy(F.col("next").alias("id")).agg(F.count("*").alias("jumps"), *below)
+        met = state.join(arrivals, "id", "left")
+        met = checkpointed(met.withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more") if size else met)
+        far = met.where("jumps IS NOT NULL").select(
+            F.col("id").alias("next"), F.col("next").alias("_next"), *(F.col(n).alias(f"_{n}") for n in names), F.col("jumps").alias("_jumps")
+        )
+        hot = F.broadcast(far.where(F.col("_jumps") > many))
+        kept = ["size"] if size else []
+        jumped = [F.col("id"), F.col("_next").alias("next"), *(joined(n).alias(n) for n in names), *kept]
+        open_ = met.where("next IS NOT NULL")
+        state = checkpointed(
+            met.where("next IS NULL").select("id", "next", *names, *kept)
+            .unionByName(open_.join(hot, "next").select(*jumped))
+            .unionByName(open_.join(hot, "next", "left_anti").join(far.where(F.col("_jumps") <= many), "next").select(*jumped))
+        )
+    return state
 
 
-def _steps(edges: DataFrame) -> DataFrame:
-    """The walk as a list: (step, next, distance, weight), a step being (id, DOWN or UP); the last step of a tree has no next."""
-    single = edges.groupBy("id").agg(F.min("parent_id").alias("parent_id"))
-    known = single.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
-    parent = F.when(F.col("known") & (F.col("parent_id") != F.col("id")), F.col("parent_id"))
-    forest = checkpointed(single.join(known, "parent_id", "left").select("id", parent.alias("parent_id")))
-    siblings = _siblings(forest)
-    children = forest.where("parent_id IS NOT NULL").groupBy("parent_id").agg(F.min("id").alias("child"))
-    whole = forest.join(siblings.drop("parent_id"), "id", "left").join(children.withColumnRenamed("parent_id", "id"), "id", "left")
-    step = lambda name, way: F.struct(F.col(name).alias("id"), F.lit(way).alias("way"))
-    down = F.when(F.col("child").isNotNull(), step("child", DOWN)).otherwise(step("id", UP))
-    up = F.when(F.col("following").isNotNull(), step("following", DOWN)).when(F.col("parent_id").isNotNull(), step("parent_id", UP))
-    ways = F.array(
-        F.struct(step("id", DOWN).alias("step"), down.alias("next"), F.lit(1).cast("long").alias("weight")),
-        F.struct(step("id", UP).alias("step"), up.alias("next"), F.lit(-1).cast("long").alias("weight")),
-    )
-    listed = whole.select(F.explode(ways).alias("w")).select("w.*")
-    return listed.select("step", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("distance"), "weight")
+def _sum(name: str) -> Column:
+    return F.col(name) + F.col(f"_{name}")
+
+
+def _offsets(sized: DataFrame) -> DataFrame:
+    """(id, offset) of `sized` (id, parent_id, size): places from the parent's down to the artifact, 0 for a root.
+
+    Children are ordered in ranges of (parent, id), so that a parent with a third of all children is no single task;
+    a range begins with what the ranges before it have of the same parent.
+    """
+    ranged = sized.where("parent_id IS NOT NULL").repartitionByRange(_partitions(sized), "parent_id", "id")
+    placed = checkpointed(ranged.withColumn("range", F.spark_partition_id()))
+    parts = placed.groupBy("parent_id", "range").agg(F.sum("size").alias("sizes"))
+    before = W.rowsBetween(W.unboundedPreceding, -1)
+    earlier = F.sum("sizes").over(before.partitionBy("parent_id").orderBy("range"))
+    inside = F.sum("size").over(before.partitionBy("parent_id", "range").orderBy("id"))
+    started = placed.withColumn("inside", inside).join(parts.select("parent_id", "range", earlier.alias("earlier")), ["parent_id", "range"])
+    smaller = F.coalesce("inside", F.lit(0)) + F.coalesce("earlier", F.lit(0))
+    below = started.select("id", "parent_id", (2 * smaller + 1).alias("offset"))
+    return below.unionByName(sized.where("parent_id IS NULL").select("id", "parent_id", F.lit(0).cast("long").alias("offset")))
 
 
 def lineage_labels(edges: DataFrame) -> DataFrame:
@@ -71,43 +101,22 @@ def lineage_labels(edges: DataFrame) -> DataFrame:
     `b.depth - a.depth` above it. A parent that is not listed, or the artifact itself, makes a root. Of repeated ids the
     smallest parent counts. Artifacts that lie on a cycle or below one have no root, depth or numbers, and `cyclic`.
     """
-    steps = checkpointed(_steps(edges.where("id IS NOT NULL").select("id", "parent_id")))
-    # The end of a step's jump, and its sum of weights from the step up to there, the end's own left out.
-    state = checkpointed(steps.select("step", "next", "distance", "weight", F.col("step").alias("last")))
-    rounds = max(1, state.count().bit_length())
-    for _ in range(rounds):
-        ended = state.where("next IS NULL")
-        far = state.select(
-            F.col("step").alias("next"), F.col("next").alias("_next"), F.col("distance").alias("_distance"),
-            F.col("weight").alias("_weight"), F.col("last").alias("_last"),
-        )
-        jumped = state.where("next IS NOT NULL").join(far, "next").select(
-            "step", F.col("_next").alias("next"), (F.col("distance") + F.col("_distance")).alias("distance"),
-            (F.col("weight") + F.col("_weight")).alias("weight"), F.col("_last").alias("last"),
-        )
-        state = checkpointed(ended.unionByName(jumped))
-        if state.where("next IS NOT NULL").isEmpty():
-            break
-    open_ = F.bool_or(F.col("next").isNotNull())
-    value = lambda column, way: F.max(F.when(F.col("step.way") == way, F.col(column)))
-    ranked = state.groupBy(F.col("step.id").alias("id")).agg(
-        open_.alias("cyclic"),
-        value("last", DOWN)["id"].alias("root"),
-        # From a step down to the end, all that is still above is left: as many ups more than downs as the depth.
-        (-value("weight", DOWN)).alias("depth"),
-        value("distance", DOWN).alias("from_end"),
-        value("distance", UP).alias("leave_end"),
+    forest = _forest(edges.where("id IS NOT NULL").select("id", "parent_id"))
+    # A stretch goes from an artifact to the last one below the end of its jump.
+    step = F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long")
+    first = forest.select("id", F.col("parent_id").alias("next"), step.alias("depth"), F.col("id").alias("root"), F.lit(1).cast("long").alias("size"))
+    climbed = _climbed(first, lambda n: F.col("_root") if n == "root" else _sum(n), ["depth", "root"], size=True)
+    sized = checkpointed(climbed.where("next IS NULL").select("id", "depth", "root", "size").join(forest, "id"))
+    places = checkpointed(_offsets(sized.select("id", "parent_id", "size")).select("id", F.col("parent_id").alias("next"), "offset"))
+    entered = _climbed(places, _sum, ["offset"]).select("id", F.col("offset").alias("enter"))
+    labels = sized.join(entered, "id").select(
+        "id", "root", "depth", "enter", (F.col("enter") + 2 * F.col("size") - 1).alias("leave"), F.lit(False).alias("cyclic")
     )
-    known = F.when(~F.col("cyclic"), F.lit(True))
-    # Numbers fall towards the end of the walk; with their sign turned they grow.
-    return ranked.select(
-        "id",
-        F.when(known, F.col("root")).alias("root"),
-        F.when(known, F.col("depth")).alias("depth"),
-        F.when(known, -F.col("from_end")).alias("enter"),
-        F.when(known, -F.col("leave_end")).alias("leave"),
-        "cyclic",
+    none = F.lit(None)
+    cyclic = climbed.where("next IS NOT NULL").select(
+        "id", none.cast(forest.schema["id"].dataType).alias("root"), *(none.cast("long").alias(n) for n in ("depth", "enter", "leave")), F.lit(True).alias("cyclic")
     )
+    return labels.unionByName(cyclic)
 
 
 def ancestors(labels: DataFrame, wanted: DataFrame) -> DataFrame:
